@@ -1,7 +1,7 @@
 """Line dedup by overlapping three-line windows, in DataFrame functions.
 
 A text's lines are split at line feeds; lines that are blank are passed over and stay. Any three consecutive other lines, trimmed, make a window,
-known by two 64-bit hashes. A window's first occurrence is the least (doc_id, position) over the whole table. All later
+known by a 64-bit and a 32-bit hash. A window's first occurrence is the least (doc_id, position) over the whole table. All later
 occurrences are marked, and in each document the lines that marked windows cover are merged and removed. A removed line is always kept somewhere earlier.
 
 Windows are aggregated before the shuffle, so a passage that many documents share costs each task one row. The repeated windows, a small part, are written
@@ -20,52 +20,50 @@ from pyspark.sql import functions as F
 from .common import Stored
 
 SPAN = 3
-FIELDS = "struct<i:int,a:bigint,b:bigint>"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _full(lines: Column) -> Column:
-    """Line number and two hashes of each line that isn't blank."""
-    numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), F.trim(F.translate(line, "\t\r", "  ")).alias("t")))
-    return F.transform(F.filter(numbered, lambda x: x["t"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["t"]).alias("a"), F.xxhash64(F.lit(SPAN), x["t"]).alias("b")))
-
-
 def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (number of the window's first line among those not blank) and the window's hashes a, b."""
-    full = docs.where(F.col("text").contains("\n")).select(F.col("doc_id").cast("long").alias("doc_id"), _full(_lines(F.col("text"))).alias("full"))
+    """doc_id, the numbers i, j, k of a window's lines and its hashes a (64 bits) and b (32 bits)."""
+    trimmed = F.transform(_lines(F.col("text")), lambda line, i: F.struct(i.alias("i"), F.trim(F.translate(line, "\t\r", "  ")).alias("t")))
+    hashed = F.transform(F.filter(trimmed, lambda x: x["t"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["t"]).alias("a"), F.hash(x["t"]).alias("b")))
+    # a generator holds the array once: what follows refers to it several times
+    full = docs.where(F.col("text").contains("\n")).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(hashed)).alias("full"))
     part = lambda k: F.slice("full", F.lit(k + 1), F.greatest(F.size("full") - SPAN + 1, F.lit(0)))
-    joined = F.arrays_zip(part(0).alias("x"), part(1).alias("y"), part(2).alias("z"))
-    each = F.transform(joined, lambda w, k: F.struct(k.alias("pos"), F.xxhash64(w["x"]["a"], w["y"]["a"], w["z"]["a"]).alias("a"), F.xxhash64(w["x"]["b"], w["y"]["b"], w["z"]["b"]).alias("b")))
-    return full.where(F.size("full") >= SPAN).select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.pos", "w.a", "w.b")
+    w = F.col("w")
+    return full.select("doc_id", F.explode(F.arrays_zip(part(0).alias("x"), part(1).alias("y"), part(2).alias("z"))).alias("w")).select(
+        "doc_id", w["x"]["i"].alias("i"), w["y"]["i"].alias("j"), w["z"]["i"].alias("k"), F.xxhash64(w["x"]["a"], w["y"]["a"], w["z"]["a"]).alias("a"), F.hash(w["x"]["b"], w["y"]["b"], w["z"]["b"]).alias("b")
+    )
 
 
 def later_windows(docs: DataFrame) -> DataFrame:
-    """doc_id and gone, the sorted positions of windows that occur earlier in the table."""
-    every = windows(docs)
-    first = F.min(F.struct("doc_id", "pos")).alias("first")
-    repeated = Stored(every.groupBy("a", "b").agg(first, F.count("*").alias("n")).where("n > 1").select("a", "b", "first.*"), "windows").df
-    repeated = repeated.select(F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("doc_id").alias("first_doc"), F.col("pos").alias("first_pos"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
+    """doc_id and gone, the numbers of the lines that windows occurring earlier in the table cover."""
+    every = Stored(windows(docs), "windows").df
+    first = F.min(F.struct("doc_id", "i")).alias("first")
+    repeated = Stored(every.groupBy("a", "b").agg(first, F.count("*").alias("n")).where("n > 1").select("a", "b", "first.*"), "repeated").df
+    repeated = repeated.select(F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("doc_id").alias("first_doc"), F.col("i").alias("first_line"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("i") == F.col("first_line"))
     marked = every.join(repeated, (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb"))).where(~is_first)
-    return marked.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    return marked.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(F.array("i", "j", "k")))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the text freed of later occurrences, and then n_lines and removed (numbers of the removed lines) in struct ``_lines``."""
-    gone = later_windows(docs).select(F.col("doc_id").alias("_of"), "gone").withColumnRenamed("gone", "_gone")
+    gone = later_windows(docs).select(F.col("doc_id").alias("_of"), F.col("gone").alias("_gone"))
     found = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
-    lines = _lines(F.col("text"))
-    covered = F.array_distinct(F.flatten(F.transform("_gone", lambda p: F.array(*(p + k for k in range(SPAN))))))
-    numbers = F.transform(_full(lines), lambda x: x["i"])
-    # of rows that repeat a doc_id with other text only positions that this text has count
-    removed = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.array().cast("array<int>")).otherwise(F.array_compact(F.transform(covered, lambda p: F.get(numbers, p))))
-    staged = found.withColumn("_lines", F.struct(F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), removed.alias("removed")))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lines.removed"))
-    text = F.when(F.size("_lines.removed") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    return staged.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "_lines")
+    # only texts that lose lines are cut up; the generator holds their lines once
+    cut = F.explode(F.array(F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), _lines(F.col("text"))))).alias("_cut")
+    staged = found.select(*docs.columns, "_gone", cut)
+    # of rows that repeat a doc_id with other text only lines that this text has count
+    removed = F.coalesce(F.filter("_gone", lambda i: i < F.size("_cut")), F.array().cast("array<int>"))
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_cut") - 1), "_gone"), lambda i: F.get("_cut", i))
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    lines = F.struct(F.coalesce(n_lines, F.lit(0)).alias("n_lines"), F.when(F.col("_cut").isNull(), F.array().cast("array<int>")).otherwise(removed).alias("removed"))
+    return staged.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], lines.alias("_lines"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
