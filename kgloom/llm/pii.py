@@ -127,7 +127,8 @@ def _date(value: Column, key: str) -> tuple[Column, Column]:
     iso, us = value.rlike("^[0-9]{4}-"), value.contains("/")
     parts = F.split(value, "[-/.]")
     number = lambda k: F.lpad(F.get(parts, F.lit(k)), 2, "0")
-    written = F.when(iso, value).when(us, F.concat_ws("-", number(2), number(0), number(1))).otherwise(F.concat_ws("-", number(2), number(1), number(0)))
+    year = F.get(parts, F.lit(2))
+    written = F.when(iso, value).when(us, F.concat_ws("-", year, number(0), number(1))).otherwise(F.concat_ws("-", year, number(1), number(0)))
     day = F.try_to_date(written, "yyyy-MM-dd")
     since = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
     block = F.floor(since / 65536).cast("int")
