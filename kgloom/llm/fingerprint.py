@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions
 
 SAMPLES, SEED = 64, 17
-#: Terms whose draws a worker keeps, the commonest words soon among them: 64 * 3 floats each.
-KEPT_TERMS = 1 << 15
+#: Terms whose draws a worker keeps, the commonest words soon among them, and so many met last: 64 * 4 floats each.
+KEPT_TERMS, LATE_TERMS, SLICE = 1 << 15, 1 << 14, 1 << 12
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -53,41 +53,47 @@ def term_key(term: str) -> int:
 
 
 class Sampler:
-    """Signatures of texts. Draws of the first ``kept`` terms met are remembered; others are drawn again, so memory is bounded."""
-
-    def __init__(self, kept: int = KEPT_TERMS):
-        self.kept, self.place = kept, {}
-        self.keys = np.zeros(kept, np.uint64)
-        self.r, self.log_c, self.b, self.log_a = (np.zeros((kept, SAMPLES), np.float32) for _ in range(4))
+    """Signatures of texts. Draws of the first ``kept`` terms met and of those met last are remembered; others are drawn again, so memory is bounded."""
+
+    def __init__(self, kept: int = KEPT_TERMS, late: int = LATE_TERMS):
+        self.kept, self.late = kept, max(late, SLICE)
+        self.place: dict[str, int] = {}
+        self.late_terms: list[str] = []
+        rows = kept + self.late
+        self.keys = np.zeros(rows, np.uint64)
+        self.r, self.log_c, self.b, self.log_a = (np.zeros((rows, SAMPLES), np.float32) for _ in range(4))
+
+    def _forget_late(self) -> None:
+        for term in self.late_terms:
+            del self.place[term]
+        self.late_terms = []
+
+    def _rows(self, terms: list[str]) -> np.ndarray:
+        """Where the draws of at most ``SLICE`` terms are."""
+        new = [t for t in terms if t not in self.place]
+        if new and len(self.place) - len(self.late_terms) + len(new) > self.kept and len(self.late_terms) + len(new) > self.late:
+            self._forget_late()
+            new = [t for t in terms if t not in self.place]
+        if new:
+            stay = len(self.place) - len(self.late_terms)
+            n = min(len(new), self.kept - stay)
+            at = np.concatenate([np.arange(stay, stay + n), np.arange(self.kept + len(self.late_terms), self.kept + len(self.late_terms) + len(new) - n)])
+            self.keys[at] = [term_key(t) for t in new]
+            r, log_c, b = draws(self.keys[at])
+            self.r[at], self.log_c[at], self.b[at], self.log_a[at] = r, log_c, b, log_c + r * b - r
+            self.place.update(zip(new, at.tolist()))
+            self.late_terms += new[n:]
+        return np.fromiter(map(self.place.__getitem__, terms), np.int64, len(terms))
 
     def signature(self, text: str) -> np.ndarray:
         """A 16-bit digest of each sample; zeros for a text without words."""
         counts = Counter(text.lower().split())
         if not counts:
             return np.zeros(SAMPLES, np.uint16)
-        known, new = [], []
-        for term, n in counts.items():
-            at = self.place.get(term)
-            if at is None:
-                new.append((term, n))
-            else:
-                known.append((at, n))
-        parts = []
-        for first in range(0, len(known), 8192):
-            some = np.array(known[first : first + 8192], dtype=np.int64)
-            at = some[:, 0]
-            parts.append(self._best(self.keys[at], some[:, 1], self.log_a[at], lambda many, at=at: (self.r[at[many]], self.log_c[at[many]], self.b[at[many]])))
-        for first in range(0, len(new), 8192):
-            some = new[first : first + 8192]
-            keys = np.array([term_key(t) for t, _ in some], dtype=np.uint64)
-            r, log_c, b = draws(keys)
-            log_a = log_c + r * b - r
-            parts.append(self._best(keys, np.array([n for _, n in some]), log_a.copy(), lambda many, x=(r, log_c, b): tuple(y[many] for y in x)))
-            room = min(self.kept - len(self.place), len(some))
-            if room > 0:
-                at = slice(len(self.place), len(self.place) + room)
-                self.keys[at], self.r[at], self.log_c[at], self.b[at], self.log_a[at] = keys[:room], r[:room], log_c[:room], b[:room], log_a[:room]
-                self.place.update({t: at.start + k for k, (t, _) in enumerate(some[:room])})
+        terms, times, parts = list(counts), np.fromiter(counts.values(), np.int64, len(counts)), []
+        for first in range(0, len(terms), SLICE):
+            at = self._rows(terms[first : first + SLICE])
+            parts.append(self._best(self.keys[at], times[first : first + SLICE], self.log_a[at], lambda many, at=at: (self.r[at[many]], self.log_c[at[many]], self.b[at[many]])))
         least = np.stack([p[0] for p in parts])
         one = least.argmin(axis=0), np.arange(SAMPLES)
         return _digest(np.stack([p[1] for p in parts])[one], np.stack([p[2] for p in parts])[one])
