@@ -102,4 +102,4 @@ def new_topics(topics: DataFrame, since: Column, until: Column) -> DataFrame:
 
 def by_day(rows: DataFrame) -> DataFrame:
     """Timeline rows by day, newest day first."""
-    return rows.withColumn("day", F.to_date("ts")).groupBy("day").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return rows.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).groupBy("day").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
