@@ -88,7 +88,7 @@ def attachment_decision(mime: Column, size: Column, indexable: list[str], max_mb
 
 def looks_binary(raw: Column, limit: float = 0.05) -> Column:
     """By first bytes, or more than 5 % of characters that cannot be decoded."""
-    head, text = F.hex(F.substring(raw, 1, 8)), F.decode(raw, "UTF-8")
+    head, text = F.hex(F.substring(raw, 1, 8)), F.make_valid_utf8(raw.cast("string"))
     bad = F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))
     out = bad > limit * F.length(text)
     for p in BINARY_PREFIXES:

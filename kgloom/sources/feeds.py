@@ -128,7 +128,7 @@ def mail_messages(items: DataFrame, account: str) -> DataFrame:
     two = F.coalesce(F.flatten(F.transform("payload.parts", lambda p: F.coalesce(F.transform(p["parts"], leaf), none))), none)
     leaves = F.concat(top, one, two)
     text = lambda kind: F.get(F.filter("leaves", lambda p: (p["mime"] == kind) & p["data"].isNotNull()), F.lit(0))["data"]
-    decoded = lambda c: F.decode(F.unbase64(F.translate(c, "-_", "+/")), "UTF-8")
+    decoded = lambda c: F.make_valid_utf8(F.unbase64(F.translate(c, "-_", "+/")).cast("string"))
     return m.withColumn("leaves", leaves).select(
         F.concat(F.lit(f"gmail://{account}/message/"), "id").alias("source_id"),
         F.col("threadId").alias("thread_id"), F.col("historyId").cast("long").alias("history_id"),
