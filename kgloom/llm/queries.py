@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +57,41 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_toxicity, op3_secrets, op4_mixing, op5_line_dedup, op6_pii, op7_language, op8_simhash, op9_fingerprint, op10_packing)}
 
+def _secrets_sql() -> str:
+    quoted = lambda p: p.replace("'", "''")
+    found = lambda name, pattern, keep: f"""
+{name}_m AS (SELECT doc_id, regexp_extract_all(text, '{quoted(pattern)}') AS ms, regexp_split_to_array(text, '{quoted(pattern)}') AS ps FROM d WHERE regexp_matches(text, '{quoted(pattern)}')),
+{name}_u AS (SELECT doc_id, unnest(range(len(ms))) AS k, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p FROM {name}_m),
+{name} AS (SELECT doc_id, s, s + length(m) AS e, m FROM (SELECT doc_id, m, sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT - length(m) AS s FROM {name}_u) WHERE {keep})"""
+    size = secret_scan.WINDOW
+    runs, highs = [], []
+    for name, (chars, threshold) in secret_scan.CLASSES.items():
+        runs.append(found(name, f"{chars}{{{size},}}", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')"))
+        most = size * (math.log2(size) - threshold) + 1e-9
+        c = f"({size} - length(replace(w, x, '')))"
+        highs.append(f"SELECT doc_id, s + i AS s, s + i + {size} AS e FROM (SELECT doc_id, s, i, substr(m, i + 1, {size}) AS w FROM (SELECT doc_id, s, m, unnest(range(length(m) - {size - 1})) AS i FROM {name})) WHERE list_sum(list_transform(list_distinct(string_split(w, '')), lambda x: {c} * log2({c}))) <= {most!r}")
+    same = "|".join(f"{c if c.isalnum() else chr(92) + c}{{8}}" for c in "0123456789abcdefghijklmnopqrstuvwxyz+/_-")
+    allowed = " OR ".join(f"regexp_matches(x, '{p.replace('|(.)' + chr(92) + '1{7}', '|' + same)}')" for p in secret_scan.ALLOWED)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),{found("assign", secret_scan.ASSIGN, f"length(regexp_extract(m, '{quoted(secret_scan.ASSIGN)}', 2)) >= {secret_scan.LEAST_VALUE}")},
+{found("access", secret_scan.ACCESS, "true")},{found("hexes", secret_scan.HEX, "true")},{",".join(runs)},
+base AS (SELECT doc_id, s, 0 AS kind, e FROM assign UNION ALL SELECT doc_id, s, 1, e FROM access UNION ALL SELECT doc_id, s, 2, e FROM hexes),
+high AS ({" UNION ALL ".join(highs)}),
+edge AS (SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < s, true) AS new FROM high),
+island AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY s, e) AS n FROM edge),
+merged AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM island GROUP BY doc_id, n),
+more AS (SELECT m.doc_id, m.s, 3 AS kind, m.e FROM (SELECT m.*, substr(d.text, m.s + 1, m.e - m.s) AS x FROM merged m JOIN d ON m.doc_id = d.doc_id) m
+  WHERE NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND b.s < m.e AND m.s < b.e)),
+named AS (SELECT doc_id, s, kind, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || s || ':' || e AS t FROM (SELECT * FROM base UNION ALL SELECT * FROM more)),
+told AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c, count(*) FILTER (kind = 3) AS n,
+  string_agg(t, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(t, ',' ORDER BY s, kind) AS spans FROM named GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n, 0) AS n_entropy
+FROM d LEFT JOIN told ON d.doc_id = told.doc_id
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op3_secrets": _secrets_sql(),
     "op5_line_dedup": """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),

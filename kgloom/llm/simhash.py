@@ -65,13 +65,15 @@ def distances(points: np.ndarray, other) -> np.ndarray:
     return np.bitwise_count(points ^ other)
 
 
-# A top tree is a list of (vantage point, radius) by heap position: node k has 2k+1 inside and 2k+2 outside.
+# A top tree is an array of vantage points and one of radii by heap position: node k has 2k+1 inside and 2k+2 outside.
+# A radius of PASS marks a node that the sample was too thin for: everything goes on inside.
+PASS = -1
 
 
-def top_tree(sample: np.ndarray, depth: int, rng: np.random.Generator) -> list[tuple[np.uint64, int] | None]:
-    nodes: list = [None] * ((1 << depth) - 1)
+def top_tree(sample: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    vantages, radii = np.zeros((1 << depth) - 1, np.uint64), np.full((1 << depth) - 1, PASS, np.int64)
     parts = {0: sample}
-    for k in range(len(nodes)):
+    for k in range(len(radii)):
         part = parts.pop(k, sample[:0])
         if len(part) < 2:
             continue
@@ -80,34 +82,27 @@ def top_tree(sample: np.ndarray, depth: int, rng: np.random.Generator) -> list[t
         for vantage in part[rng.integers(0, len(part), min(12, len(part)))]:
             d = distances(part, vantage)
             radius = int(np.median(d))
-            inside = (d <= radius).mean()
-            crossing = ((d > radius - RADIUS) & (d <= radius)).mean() + 0.5 * abs(inside - 0.5)
+            inside = d <= radius
+            crossing = ((d > radius - RADIUS) & inside).mean() + 0.5 * abs(inside.mean() - 0.5)
             if best is None or crossing < best[0]:
-                best = (crossing, vantage, radius, d <= radius)
-        _, vantage, radius, inside = best
-        nodes[k] = (vantage, radius)
+                best = (crossing, vantage, radius, inside)
+        _, vantages[k], radii[k], inside = best
         parts[2 * k + 1], parts[2 * k + 2] = part[inside], part[~inside]
-    return nodes
+    return vantages, radii
 
 
-def route(points: np.ndarray, nodes: list, reach: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(points: np.ndarray, tree: tuple[np.ndarray, np.ndarray], reach: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the point, shard, and whether it is at home there. Queries are sent from the inside out only: the pair meets where its outer part is at home."""
+    vantages, radii = tree
     index, at, home = np.arange(len(points)), np.zeros(len(points), np.int64), np.ones(len(points), bool)
-    for level in range((len(nodes) + 1).bit_length() - 1):
-        new = []
-        for k in range((1 << level) - 1, (1 << (level + 1)) - 1):
-            here = at == k
-            i, h = index[here], home[here]
-            if nodes[k] is None:
-                new.append((i, np.full(len(i), 2 * k + 1), h))
-                continue
-            vantage, radius = nodes[k]
-            d = distances(points[i], vantage).astype(np.int64)
-            inner, crosses_out, crosses_in = d <= radius, d + reach > radius, d - reach <= radius
-            into, out = inner | (~h & crosses_in), ~inner | crosses_out
-            new += [(i[into], np.full(int(into.sum()), 2 * k + 1), (h & inner)[into]), (i[out], np.full(int(out.sum()), 2 * k + 2), (h & ~inner)[out])]
-        index, at, home = (np.concatenate(x) for x in zip(*new))
-    return index, at - len(nodes), home
+    for _ in range((len(radii) + 1).bit_length() - 1):
+        d, radius = distances(points[index], vantages[at]).astype(np.int64), radii[at]
+        splits = radius != PASS
+        inner = ~splits | (d <= radius)
+        into = inner | (~home & (d - reach <= radius))
+        out = splits & (~inner | (d + reach > radius))
+        index, at, home = np.concatenate([index[into], index[out]]), np.concatenate([2 * at[into] + 1, 2 * at[out] + 2]), np.concatenate([(home & inner)[into], (home & ~inner)[out]])
+    return index, at - len(radii), home
 
 
 class Forest:
@@ -217,12 +212,12 @@ def linked_fingerprints(distinct: DataFrame, n: int, shard: int = SHARD) -> Data
     spark = distinct.sparkSession
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard))))
     sampled = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow()["fp"].to_numpy()
-    nodes = top_tree(sampled.view(np.uint64), depth, np.random.default_rng(SEED))
+    tree = top_tree(sampled.view(np.uint64), depth, np.random.default_rng(SEED))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column("fp").to_numpy()
-            index, at, home = route(points.view(np.uint64), nodes)
+            index, at, home = route(points.view(np.uint64), tree)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(points[index]), pa.array(home)], ["shard", "fp", "home"])
 
     dealt = distinct.mapInArrow(deal, "shard long, fp long, home boolean")
@@ -271,6 +266,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its component; of rows that repeat one doc_id with different texts each may stay by its own text's component."""
-    grouped = near_duplicates(docs).select("doc_id", "component_id").where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(grouped, "doc_id", "left_semi")
+    """The rows of ``docs`` whose document is the first of its component. Rows that repeat a doc_id are one document; rows without a doc_id cannot be compared by it and stay."""
+    found = near_duplicates(docs.where("doc_id IS NOT NULL"))
+    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))

@@ -70,7 +70,7 @@ def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for whole in batches:
         for first in range(0, whole.num_rows, 256):
             batch = whole.slice(first, 256)
-            terms = [sorted({slot(t) for t in document_terms(raw.as_py().decode())}) for raw in batch.column("raw")]
+            terms = [sorted({slot(t) for t in document_terms(raw.as_py().decode(errors="replace"))}) for raw in batch.column("raw")]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(terms, pa.list_(pa.int32()))], ["toxic", "terms"])
 
 
@@ -166,7 +166,7 @@ def _features(voters: Voters):
                 for raw in batch.column("raw"):
                     raw = raw.as_py()
                     here: set[int] = set()
-                    for word in set(raw.decode().lower().split()):
+                    for word in set(raw.decode(errors="replace").lower().split()):
                         got = known.get(word)
                         if got is None:
                             got = tuple(place[s] for s in map(slot, document_terms(word)) if s in place)

@@ -7,12 +7,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kgloom.llm import fingerprint, language, line_dedup, media, mixing, packing, pii, secret_scan, simhash, toxicity
+from kgloom.llm import fingerprint, language, line_dedup, media, mixing, packing, pii, queries, secret_scan, simhash, toxicity
 
 random.seed(3)
 VOCAB = ["the", "of", "Ärger", "naïve", "stone", "river", "cloud", "window", "copper", "garden", "lantern", "harbor", "meadow", "silver", "thunder", "velvet"]
@@ -145,6 +146,17 @@ def test_entropy_windows_match_brute_force(table, spark):
     assert [[h.s, h.e] for h in got] == high and high
 
 
+def test_secrets_and_lines_match_their_sql(table, spark, tmp_path):
+    rows = [(k, t) for k, t in enumerate(SECRETS)] + [(100, None), (101, ""), (102, "a\nb\nc\nd"), (103, "x\nb\nc\nd"), (104, "b\nc\n\nd ")]
+    table(rows).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name, sql in queries.ORACLE.items():
+        want = con.sql(sql)
+        got = queries.QUERIES[name](spark, str(tmp_path)).select(*want.columns)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
 # --- mixing
 
 
@@ -400,12 +412,11 @@ def planted_points(n, rng):
     return np.unique(np.concatenate([points, near, near2]))
 
 
-@pytest.mark.parametrize("depth", [0, 1, 4])
+@pytest.mark.parametrize("depth", [0, 1, 4, 11])
 def test_trees_lose_no_pair(depth):
     rng = np.random.default_rng(depth)
     points = planted_points(3000, rng)
-    nodes = simhash.top_tree(points[:500], depth, rng)
-    index, shard, home = simhash.route(points, nodes)
+    index, shard, home = simhash.route(points, simhash.top_tree(points[:500], depth, rng))
     assert np.bincount(index[home], minlength=len(points)).tolist() == [1] * len(points)
     forest = simhash.Forest(len(points), most=100)
     for s in np.unique(shard):
