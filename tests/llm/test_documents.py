@@ -306,7 +306,7 @@ def luhn(d):
 
 
 def test_pseudonyms_keep_formats_and_links(table):
-    rows = [(k, t) for k, t in enumerate(PII)] + [(10, PII[0] + " " + PII[1]), (11, None), (12, ""), (13, "plain words only, nothing here 12")]
+    rows = [(k, t) for k, t in enumerate(PII)] + [(10, PII[0] + " " + PII[1]), (11, None), (12, ""), (13, "plain words only, nothing here 12"), (14, "(926) 555-9331 4041894974608795 86.227.24.100")]
     got = {r.doc_id: r for r in pii.pseudonymise(table(rows + rows[:1])).collect()}
     mail = re.findall(r"\S+@\S+[a-z]", got[0].text)
     assert mail[0] == mail[1] != "ann.lee99@mail3.example.com" and re.fullmatch(r"[a-z]{3}\.[a-z]{3}[0-9]{2}@mail3\.example\.com", mail[0])
@@ -319,7 +319,8 @@ def test_pseudonyms_keep_formats_and_links(table):
     assert phones[0][:3] == phones[1][3:] != ("988", "555", "2485")
     assert all(int(o) < 256 for o in re.search(r"from (\S+),", got[2].text)[1].split("."))
     assert got[3].n_date == 4 and got[3].n_ssn == 1 and "2/29/1983" in got[3].text and "000-12-3456" in got[3].text and "1984-02-29" not in got[3].text
-    assert [got[k].text for k in (11, 12, 13)] == [None, "", rows[-1][1]]
+    assert [got[k].text for k in (11, 12, 13)] == [None, "", rows[-2][1]]
+    assert (got[14].n_card, got[14].n_ip, got[14].n_phone) == (1, 1, 1)
 
 
 # --- language
