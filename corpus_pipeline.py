@@ -6,7 +6,6 @@ Each stage takes (spark, docs, sf_dir), works on all rows that the one before it
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kgloom.llm import language, line_dedup, mixing, packing, simhash
 from kgloom.llm.common import read_table, stored
@@ -21,9 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the later occurrences of three-line windows; n_chars follows the text."""
-    done = line_dedup.dedup_lines(docs)
-    length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return done.select(*[length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    return line_dedup.dedup_lines(docs)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

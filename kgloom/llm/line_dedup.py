@@ -50,29 +50,38 @@ def later_windows(docs: DataFrame) -> DataFrame:
     return marked.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(F.array("i", "j", "k")))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the text freed of later occurrences, and then n_lines and removed (numbers of the removed lines) in struct ``_lines``."""
-    gone = later_windows(docs).select(F.col("doc_id").alias("_of"), F.col("gone").alias("_gone"))
-    found = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
+def _deduped(docs: DataFrame) -> DataFrame:
+    """``d``, the whole row as a struct so that no column's name can clash, with text (after), n_lines and removed (numbers of the lines that go)."""
+    gone = later_windows(docs).withColumnRenamed("doc_id", "of")
+    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d")).join(gone, F.col("d.doc_id").cast("long").eqNullSafe(F.col("of")), "left")
     # only texts that lose lines are cut up; the generator holds their lines once
-    cut = F.explode(F.array(F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), _lines(F.col("text"))))).alias("_cut")
-    staged = found.select(*docs.columns, "_gone", cut)
-    # of rows that repeat a doc_id with other text only lines that this text has count
-    removed = F.coalesce(F.filter("_gone", lambda i: i < F.size("_cut")), F.array().cast("array<int>"))
-    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_cut") - 1), "_gone"), lambda i: F.get("_cut", i))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    lines = F.struct(F.coalesce(n_lines, F.lit(0)).alias("n_lines"), F.when(F.col("_cut").isNull(), F.array().cast("array<int>")).otherwise(removed).alias("removed"))
-    return staged.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], lines.alias("_lines"))
+    whole = F.col("d.text")
+    staged = found.select("d", "gone", F.explode(F.array(F.when(F.col("gone").isNotNull() & whole.isNotNull(), _lines(whole)))).alias("cut"))
+    none = F.array().cast("array<int>")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("cut") - 1), "gone"), lambda i: F.get("cut", i))
+    return staged.select(
+        "d",
+        F.when(F.col("cut").isNull(), whole).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.coalesce(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"),
+        # of rows that repeat a doc_id with other text only lines that this text has count
+        F.when(F.col("cut").isNull(), none).otherwise(F.coalesce(F.filter("gone", lambda i: i < F.size("cut")), none)).alias("removed"),
+    )
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text freed of later occurrences; n_chars, where there is one, follows the text."""
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return _deduped(docs).select(*(new[c].alias(c) if c in new else F.col(f"d.`{c}`").alias(c) for c in docs.columns))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers, comma-joined) and the text that stays."""
-    done = dedup_lines(docs.select("doc_id", "text"))
-    return done.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("_lines.n_lines")).cast("long").alias("n_lines"),
-        F.size("_lines.removed").cast("long").alias("n_removed"),
-        F.array_join(F.array_sort("_lines.removed"), ",").alias("removed"),
+    return _deduped(docs.select("doc_id", "text")).select(
+        F.col("d.doc_id").cast("long").alias("doc_id"),
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.array_sort("removed"), ",").alias("removed"),
         "text",
     )

@@ -155,12 +155,12 @@ def _drawn(sized: DataFrame) -> DataFrame:
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it: rows not taken go, rows taken twice occur twice."""
-    clash = set(docs.columns)
-    keyed = docs.withColumn("_mix_row", F.xxhash64("text"))
-    sized = Stored(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_mix_row").alias("row"), F.col("source").cast("string").alias("source"), size_in_words().alias("size")), "sized").df
+    sized = Stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("source").cast("string").alias("source"), size_in_words().alias("size")), "sized").df
     # rows that repeat id and text are told apart by their number alone: together they are taken as often as all of them are
-    taken = _drawn(sized).groupBy(F.col("doc_id").alias("_mix_id"), F.col("row").alias("_mix_key")).agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_n"))
-    joined = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_row") == F.col("_mix_key")))
-    each = F.floor(F.col("_mix_copies") / F.col("_mix_n")).cast("int")
+    taken = _drawn(sized).groupBy(F.col("doc_id").alias("id"), F.col("row").alias("key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    # the whole row is one struct, so no column's name can clash
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.xxhash64("text").alias("row"))
+    joined = whole.join(taken, F.col("d.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("row") == F.col("key")))
+    each = F.floor(F.col("copies") / F.col("n")).cast("int")
     times = F.when(each > 0, F.sequence(F.lit(1), each)).otherwise(F.array().cast("array<int>"))
-    return joined.withColumn("_mix_time", F.explode(times)).select(*[c for c in docs.columns if c in clash])
+    return joined.select("d", F.explode(times).alias("time")).select("d.*")
