@@ -90,10 +90,13 @@ def _high(candidate: Column, threshold: float) -> Column:
 
 
 def _entropy_spans(text: Column, base: Column) -> Column:
-    found = []
-    for chars, threshold in CLASSES.values():
+    def high(chars: str, threshold: float) -> Column:
         runs = _found(text, f"{chars}{{{WINDOW},}}", keep=lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"))
-        found.append(F.flatten(F.transform(runs, lambda r, t=threshold: F.transform(_high(r["m"], t), lambda h: F.struct((r["s"] + h["s"]).alias("s"), (r["s"] + h["e"]).alias("e"))))))
+        # lambdas of one parameter only: a second one would be given the element's index
+        placed = lambda r: F.transform(_high(r["m"], threshold), lambda h: F.struct((r["s"] + h["s"]).alias("s"), (r["s"] + h["e"]).alias("e")))
+        return F.flatten(F.transform(runs, placed))
+
+    found = [high(*of_class) for of_class in CLASSES.values()]
     ordered = F.array_sort(F.concat(*found))
     none = F.array().cast("array<struct<s:int,e:int>>")
 
