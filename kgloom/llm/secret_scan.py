@@ -29,6 +29,8 @@ LEAST_VALUE = 6
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
+#: Characters of a candidate that are walked at a time: a character's place costs a walk from the start of its block, so blocks keep long candidates linear.
+BLOCK = 64
 #: Class: its characters and the entropy in bits that a window must reach.
 CLASSES = {"hex": ("[0-9A-Fa-f]", 3.0), "alphanumeric": ("[A-Za-z0-9]", 3.7), "base64": ("[A-Za-z0-9+/_-]", 3.9)}
 #: Strings that are no secrets.
@@ -89,11 +91,19 @@ def _high(candidate: Column, threshold: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), zero, step)["spans"]
 
 
+def _high_in_blocks(candidate: Column, threshold: float) -> Column:
+    """As ``_high``, block by block: each block goes on into the next one by a window less one character, so that every window lies in the block it starts in."""
+    parts = F.regexp_extract_all(candidate, F.lit(f".{{1,{BLOCK}}}"), F.lit(0))
+    blocks = F.zip_with(parts, F.slice(parts, 2, F.size(parts)), lambda part, following: F.concat(part, F.coalesce(F.substring(following, 1, WINDOW - 1), F.lit(""))))
+    shifted = lambda block, i: F.transform(_high(block, threshold), lambda h: F.struct((h["s"] + i * BLOCK).alias("s"), (h["e"] + i * BLOCK).alias("e")))
+    return F.flatten(F.transform(blocks, shifted))
+
+
 def _entropy_spans(text: Column, base: Column) -> Column:
     def high(chars: str, threshold: float) -> Column:
         runs = _found(text, f"{chars}{{{WINDOW},}}", keep=lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"))
         # lambdas of one parameter only: a second one would be given the element's index
-        placed = lambda r: F.transform(_high(r["m"], threshold), lambda h: F.struct((r["s"] + h["s"]).alias("s"), (r["s"] + h["e"]).alias("e")))
+        placed = lambda r: F.transform(_high_in_blocks(r["m"], threshold), lambda h: F.struct((r["s"] + h["s"]).alias("s"), (r["s"] + h["e"]).alias("e")))
         return F.flatten(F.transform(runs, placed))
 
     found = [high(*of_class) for of_class in CLASSES.values()]

@@ -146,6 +146,34 @@ def test_entropy_windows_match_brute_force(table, spark):
     assert [[h.s, h.e] for h in got] == high and high
 
 
+def test_entropy_spans_of_long_runs_match_brute_force(table):
+    """Runs over many blocks, of lengths around a block's, with stretches of little entropy in between."""
+    rng, chars, size = random.Random(9), "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", secret_scan.WINDOW
+    pick = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    lengths = [*range(secret_scan.BLOCK - 2, secret_scan.BLOCK + size + 3), 2 * secret_scan.BLOCK, 5 * secret_scan.BLOCK + 7]
+    texts = ["é " + pick(n) + " z" for n in lengths] + ["".join(pick(rng.randrange(15, 60)) + "ab1" * rng.randrange(6, 30) for _ in range(40)), pick(30_000)]
+    got = {r.doc_id: r.spans for r in table(list(enumerate(texts))).transform(secret_scan.scan_secrets).collect()}
+    for k, text in enumerate(texts):
+        high = []
+        for pattern, least in secret_scan.CLASSES.values():
+            for m in re.finditer(f"{pattern}{{{size},}}", text):
+                if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+                    for s in range(m.start(), m.end() - size + 1):
+                        counts = np.array(list(Counter(text[s : s + size]).values()))
+                        if np.log2(size) - (counts * np.log2(counts)).sum() / size >= least - 1e-9:
+                            high.append((s, s + size))
+        merged = []
+        for s, e in sorted(high):
+            if merged and merged[-1][1] >= s:
+                merged[-1][1] = max(e, merged[-1][1])
+            else:
+                merged.append([s, e])
+        base = brute_spans(text)
+        kept = [(s, e) for s, e in merged if not any(re.search(p, text[s:e]) for p in secret_scan.ALLOWED) and not any(b[0] < e and s < b[2] for b in base)]
+        found = [tuple(map(int, x.split(":")[1:])) for x in got[k].split(",") if x.startswith("entropy")]
+        assert found == kept, k
+
+
 def test_secrets_and_lines_match_their_sql(table, spark, tmp_path):
     rows = [(k, t) for k, t in enumerate(SECRETS)] + [(100, None), (101, ""), (102, "a\nb\nc\nd"), (103, "x\nb\nc\nd"), (104, "b\nc\n\nd ")]
     table(rows).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
