@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
+from ..functions import text as T, vectors as V
 
 MIN_CLUSTER, MIN_CORPUS, MAX_VECTORS, REDUCED = 10, 20, 500_000, 32
 
@@ -54,3 +54,10 @@ def link_apps(apps: DataFrame, centroids: DataFrame, k: int = 3, least: float =
 def chunk_sources(members: DataFrame, chunks: DataFrame) -> DataFrame:
     """Documents of each cluster, through its chunks."""
     return members.join(chunks.select(F.col("chunk_id").alias("id"), "source_id"), "id").groupBy("cluster").agg(F.array_sort(F.collect_set("source_id")).alias("sources"))
+
+
+def cached_descriptions(apps: DataFrame, cache: DataFrame) -> DataFrame:
+    """``apps`` (app, name, version) with the stored description, null where it must be made anew: none stored, another major version, or an unknown application renamed."""
+    old = cache.select("app", F.col("name").alias("_name"), F.col("version").alias("_version"), F.col("description").alias("_description"))
+    stale = ~T.major_version(F.col("version")).eqNullSafe(T.major_version(F.col("_version"))) | ((F.col("_description") == "Unknown application") & ~F.col("name").eqNullSafe(F.col("_name")))
+    return apps.join(old, "app", "left").select("app", "name", "version", F.when(~F.coalesce(stale, F.lit(False)), F.col("_description")).alias("description"))

@@ -118,3 +118,11 @@ def unanswered(asked: DataFrame, answers: DataFrame, by: str, at: Column | str =
     """Rows without a later answer in the same group: the group's last answer is enough to know."""
     last = answers.groupBy(by).agg(F.max(at).alias("_last"))
     return asked.join(last, by, "left").where(F.col("_last").isNull() | (F.col("_last") <= F.col(at))).drop("_last")
+
+
+def taken_at(images: DataFrame, places: DataFrame, digits: int = 3) -> DataFrame:
+    """(image, place) of equal coordinates after rounding: an equi-join on rounded decimals."""
+    cell = lambda c, name: F.round(F.col(c), digits).cast(f"decimal(9,{digits})").alias(name)
+    i = images.select(F.col("id").alias("image"), cell("lat", "y"), cell("lon", "x"))
+    q = places.select(F.col("id").alias("place"), cell("lat", "y"), cell("lon", "x"))
+    return i.join(q, ["y", "x"]).select("image", "place").distinct()

@@ -56,6 +56,27 @@ def top_topics(cluster: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     return tagged.join(docs, "doc_id").groupBy("topic_name").agg(F.count("*").alias("doc_count")).orderBy(F.desc("doc_count"), "topic_name").limit(k)
 
 
+def active_topics(cluster: DataFrame, nodes: DataFrame, edges: DataFrame, since: datetime, k: int = 5) -> DataFrame:
+    """Topics of the person's documents dated since a time, by their number; documents without a time do not count."""
+    at = times.mixed_timestamp(F.coalesce(p("date"), p("start_time"), p("last_ts"), p("first_ts"), p("modified_at"), p("updated"), p("created"), p("modification_date")))
+    recent = nodes.where(at >= F.lit(since)).select(F.col("source_id").alias("src_id"))
+    return top_topics(cluster, edges.where("rel <> 'TAGGED'").unionByName(edges.where("rel = 'TAGGED'").join(recent, "src_id", "left_semi").select(*edges.columns)), k)
+
+
+def meeting_context(event_id: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A meeting or series with its attendees (mail address, or else name) and attachments; no row for an unknown id."""
+    here = _of(nodes, "CalendarEvent", "CalendarSeries").where(F.col("source_id") == event_id).limit(1)
+    named = lambda *names: nodes.select(F.col("source_id").alias("other"), F.coalesce(*map(p, names)).alias("name"))
+    listed = lambda ends, name, *names: ends.join(named(*names), "other").groupBy("source_id").agg(F.array_sort(F.collect_set("name")).alias(name))
+    people = edges.where(F.col("rel").isin("ORGANIZED_BY", "ATTENDED_BY", "CREATED_BY") & (F.col("dst_label") == "Person") & (F.col("src_id") == event_id))
+    files = edges.where((F.col("rel") == "ATTACHED_TO") & (F.col("src_label") == "Attachment") & (F.col("dst_id") == event_id))
+    attendees = listed(people.select(F.col("src_id").alias("source_id"), F.col("dst_id").alias("other")), "attendees", "email", "name")
+    attachments = listed(files.select(F.col("dst_id").alias("source_id"), F.col("src_id").alias("other")), "attachments", "title", "file_id")
+    rows = here.join(attendees, "source_id", "left").join(attachments, "source_id", "left")
+    none = F.array().cast("array<string>")
+    return rows.select(F.col("source_id").alias("event_id"), F.coalesce(p("summary"), F.lit("(no summary)")).alias("summary"), p("description").alias("description"), p("location").alias("location"), p("start_time").alias("start_time"), F.coalesce("attendees", none).alias("attendees"), F.coalesce("attachments", none).alias("attachments"))
+
+
 def related_people(cluster: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """Others on the person's documents, by the number of documents shared."""
     docs = person_documents(cluster, edges).select("doc_id").distinct()

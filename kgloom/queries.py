@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import driver_views as D
-from .functions import chunking, fuzzy, text as T, times, vectors as V
+from .functions import answers, chunking, fuzzy, text as T, times, vectors as V
 from .operators import clustering, filters, graph, identity, queue as Q, writers
 from .plans import activity, people, search
 from .sources import parsers, snapshots
@@ -552,3 +552,33 @@ def local_day_window(spark, sf_dir):
 def queue_retag(spark, sf_dir):
     path = F.element_at(F.array(*map(F.lit, ("/h/node_modules/a.js", "/h/Library/Uni/ü.pdf", "/h/notes/b.md", "/h/LibraryUni/c.pdf"))), (F.col("doc_id") % 4 + 1).cast("int"))
     return filters.retag(D.table(spark, sf_dir, "documents").select("doc_id", path.alias("source_id")), ["node_modules/"], ["Library/Uni"]).select("doc_id", "tag")
+
+
+# --- answers, images, descriptions
+
+
+@query(r"SELECT conv_id, turn, turn > 0 AND regexp_matches(text, '(?i)\b(it|that|this|them|those|these|more|also|first|second|third|fourth|fifth|last|previous|above|mentioned)\b') AS refers_back FROM conversations")
+def context_questions(spark, sf_dir):
+    return D.table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.refers_back(F.col("text"), F.col("turn")).alias("refers_back"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Concept' ELSE 'Project' END AS type, CASE WHEN event_id % 4 = 0 THEN 0.75 ELSE least(event_id % 4, 1) END::DOUBLE AS confidence FROM events WHERE event_id % 5 <> 0")
+def extracted_entities(spark, sf_dir):
+    name = "IF(event_id % 5 = 0, '5', concat('\"n', event_id, '\"'))"
+    said = F.expr(f"concat('{{\"entities\":[7,{{\"name\":', {name}, ',\"type\":\"', IF(event_id % 3 = 0, 'Zebra', 'Project'), '\"', IF(event_id % 4 = 0, '', concat(',\"confidence\":', event_id % 4)), '}}]}}')")
+    return D.table(spark, sf_dir, "events").select("event_id", F.explode(answers.entities(said)).alias("e")).select("event_id", "e.type", "e.confidence")
+
+
+@query("SELECT c_custkey AS image, s_suppkey AS place FROM customer JOIN supplier ON c_custkey % 500 = s_suppkey % 500 AND c_nationkey = s_nationkey")
+def images_at_places(spark, sf_dir):
+    images = D.table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "(c_custkey % 500) * 0.004D + 0.0003D AS lat", "c_nationkey * 0.003D AS lon")
+    places = D.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "(s_suppkey % 500) * 0.004D AS lat", "s_nationkey * 0.003D AS lon")
+    return graph.taken_at(images, places)
+
+
+@query("SELECT p_partkey AS app, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 3 <> 0 AND NOT (p_partkey % 5 = 0 AND p_partkey % 2 = 0) THEN CASE WHEN p_partkey % 5 = 0 THEN 'Unknown application' ELSE p_brand END END AS description FROM part")
+def description_cache(spark, sf_dir):
+    part = D.table(spark, sf_dir, "part")
+    apps = part.selectExpr("p_partkey AS app", "p_name AS name", "'2.1' AS version")
+    cache = part.where("p_partkey % 7 <> 0").selectExpr("p_partkey AS app", "IF(p_partkey % 2 = 0, 'old', p_name) AS name", "IF(p_partkey % 3 = 0, '1.9', '2.0.4') AS version", "IF(p_partkey % 5 = 0, 'Unknown application', p_brand) AS description")
+    return clustering.cached_descriptions(apps, cache).select("app", "description")
