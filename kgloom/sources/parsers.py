@@ -227,3 +227,11 @@ def route(files: DataFrame) -> DataFrame:
     """How a file is read, by type and size: text, pdf, image, or metadata alone."""
     mime, mb = T.plain_mime(F.col("mime_type")), 1 << 20
     return files.withColumn("route", F.when((mime.startswith("text/") | mime.isin("application/json", "application/yaml", "application/x-yaml")) & (F.col("size") <= 10 * mb), "text").when((mime == "application/pdf") & (F.col("size") <= 100 * mb), "pdf").when(mime.startswith("image/") & (F.col("size") <= 50 * mb), "image").otherwise("metadata_only"))
+
+
+def references(chunks: DataFrame, vaults: dict[str, str] | None = None, teams: dict[str, str] | None = None) -> DataFrame:
+    """(src_id, rel, dst_label, dst_id) of the source links in stored chunks (source_id, chunk_index, text), for documents indexed before links were kept. A document's chunks are joined in order; links to itself go."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c["text"])
+    whole = chunks.where("text IS NOT NULL").groupBy("source_id").agg(F.array_join(ordered, "\n").alias("text"))
+    found = whole.select(F.col("source_id").alias("src_id"), F.explode(T.source_links(F.col("text"), vaults, teams)).alias("l"))
+    return found.where(F.col("src_id") != F.col("l.object_id")).select("src_id", F.lit("REFERENCES").alias("rel"), F.col("l.object_label").alias("dst_label"), F.col("l.object_id").alias("dst_id")).distinct()

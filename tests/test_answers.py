@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import answers
 from kgloom.plans import people
+from kgloom.sources import parsers
 
 
 def said(spark, f, value):
@@ -53,3 +54,9 @@ def test_meeting_and_topics(spark):
     assert people.meeting_context("none", nodes, edges).count() == 0
     me = spark.createDataFrame([("p",)], "source_id string")
     assert [tuple(r) for r in people.active_topics(me, nodes, edges, datetime(2026, 1, 1, tzinfo=timezone.utc)).collect()] == [("of new", 1)]
+
+
+def test_references_from_chunks(spark):
+    chunks = spark.createDataFrame([("a", 1, "and omnifocus://task/7."), ("a", 0, "see gmail://x/message/1, gmail://x/message/1"), ("omnifocus://9", 0, "me: omnifocus://9"), ("b", 0, None)], "source_id string, chunk_index int, text string")
+    got = sorted(map(tuple, parsers.references(chunks).collect()))
+    assert got == [("a", "REFERENCES", "Email", "gmail://x/message/1"), ("a", "REFERENCES", "Task", "omnifocus://7")]
