@@ -3,10 +3,11 @@
 1. *Voters.* From a bounded sample of labelled rows (``LABEL_ROWS``, lowest id hashes first) the words and word beginnings
    most telling of the label become voters: each fires on a document that holds its word or beginning, else abstains.
    A few fixed pattern voters (shouting, repeated marks, drawn-out letters) join them.
-2. *Label model.* How often each voter fires, and each pair fires together, is counted over all documents. The rates given
-   either label start from the labelled sample and are brought in line with those counts; a pair that fires together more
-   often than independent voters would is correlated, and correlated voters share their weight. This gives every
-   document a posterior from the votes that it got.
+2. *Label model.* Every voter, pattern or word, has a rate of firing given toxic and one given clean. Both start from the labelled
+   sample and are then estimated by expectation and maximisation over the votes of all documents: a voter's rates follow from how far
+   the others agree with it. The labelled sample is the anchor: its counts go in with the weight ``ANCHOR`` of all documents, and the
+   prior is its own. A pair that fires together more often than the label explains is correlated; of correlated voters that
+   fire, the strongest counts in full and the others for what it leaves. This gives every document a posterior from its votes.
 3. *Classifier.* A logistic regression over the telling words and beginnings is trained on the posteriors of a bounded
    sample of documents (``TRAIN_ROWS`` from either side of the prior) and scores every document.
 
@@ -39,6 +40,8 @@ DOUBT, LEAST_SHARE = 1.5, 0.02
 #: Share of toxic documents among those that a word voter fires on.
 LEAST_PRECISION = 0.8
 CUT_OFF = 0.7
+#: Weight of the labelled sample in the label model, as a share of all documents; rounds of its estimation.
+ANCHOR, ROUNDS = 0.2, 8
 HELD_OUT_FOLD, FOLDS = 1, 3
 PATTERNS = ("shouting", "repeated marks", "drawn-out letters")
 _MARKS, _DRAWN = re.compile(rb"[!?]{3,}"), re.compile(rb"([a-z])\1{3}", re.IGNORECASE)
@@ -70,12 +73,13 @@ def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for whole in batches:
         for first in range(0, whole.num_rows, 256):
             batch = whole.slice(first, 256)
-            terms = [sorted({slot(t) for t in document_terms(raw.as_py().decode(errors="replace"))}) for raw in batch.column("raw")]
+            texts = [raw.as_py() for raw in batch.column("raw")]
+            terms = [sorted({slot(t) for t in document_terms(raw.decode(errors="replace"))}) + [(1 << HASH_BITS) + k for k in pattern_votes(raw)] for raw in texts]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(terms, pa.list_(pa.int32()))], ["toxic", "terms"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Labels and hashed terms of at most ``rows`` labelled documents outside the held-out fold."""
+    """Labels and hashed terms, then the pattern voters that fire (numbered after all hashes), of at most ``rows`` labelled documents outside the held-out fold."""
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(crc_of_id(), F.lit(FOLDS)) != HELD_OUT_FOLD))
         .groupBy("doc_id")
@@ -138,8 +142,8 @@ def choose_voters(toxic: np.ndarray, terms: list[np.ndarray]) -> Voters | None:
     if not n_toxic or not n_clean:
         return None
     size = 1 << HASH_BITS
-    gather = lambda label: np.bincount(np.concatenate([np.empty(0, np.int64), *(t for t, y in zip(terms, toxic) if y == label)]), minlength=size)
-    in_toxic, in_clean = gather(1), gather(0)
+    gather = lambda label: np.bincount(np.concatenate([np.empty(0, np.int64), *(t for t, y in zip(terms, toxic) if y == label)]), minlength=size + len(PATTERNS))
+    (in_toxic, of_toxic), (in_clean, of_clean) = (np.split(gather(label), [size]) for label in (1, 0))
     p, q = (in_toxic + 0.5) / (n_toxic + 1), (in_clean + DOUBT) / (n_clean + 1)
     lift = np.log(p / q)
     share_toxic = in_toxic / np.maximum(in_toxic + in_clean, 1)
@@ -148,8 +152,10 @@ def choose_voters(toxic: np.ndarray, terms: list[np.ndarray]) -> Voters | None:
     order = order[weight[order] > 0]
     telling = _voters(toxic, terms, order, in_toxic, share_toxic, max(LEAST_DOCS, LEAST_SHARE * n_toxic))
     slots = np.concatenate([telling, order[~np.isin(order, telling)]])
-    rates = lambda r: np.concatenate([r[telling], np.full(len(PATTERNS), 0.01)])
-    return Voters(slots, len(telling), n_toxic / (n_toxic + n_clean), rates(p), rates(q))
+    # a pattern that the sample hardly holds tells little: both rates lean on half a document at its rate over both labels
+    either = (of_toxic + of_clean + 0.5) / (n_toxic + n_clean + 1)
+    rates = lambda r, of, n: np.concatenate([r[telling], (of + 0.5) / (n + 0.5 / either)])
+    return Voters(slots, len(telling), n_toxic / (n_toxic + n_clean), rates(p, of_toxic, n_toxic), rates(q, of_clean, n_clean))
 
 
 def _features(voters: Voters):
@@ -207,39 +213,84 @@ def vote_counts(found: DataFrame, voters: Voters) -> tuple[int, np.ndarray]:
 
 @dataclass
 class LabelModel:
-    """Log-odds of the prior and of each vote, and the correlations of voters beyond what the label explains."""
+    """Log-odds of the prior and the rates of each voter given either label, and the correlations of voters beyond what the label explains."""
 
     base: float
-    vote: np.ndarray
+    toxic: np.ndarray
+    clean: np.ndarray
     correlation: np.ndarray
 
+    def __post_init__(self):
+        self.vote = np.log(self.toxic / self.clean)
+        # abstaining tells a little too; correlated voters abstain together, so they share it
+        self.silent = np.log((1 - self.toxic) / (1 - self.clean)) / self.correlation.sum(axis=1)
+        self.none = self.base + float(self.silent.sum())
+
     def logit(self, fired: list[int]) -> float:
-        """Of the posterior, from the voters that fired; correlated ones among these share their weight."""
+        """Of the posterior, from the voters that fired and those that did not; one correlated with a stronger one that fired counts for the rest."""
         if not fired:
-            return self.base
-        return self.base + float((self.vote[fired] / self.correlation[np.ix_(fired, fired)].sum(axis=1)).sum())
-
+            return self.none
+        at = np.asarray(fired)
+        at = at[np.argsort(-np.abs(self.vote[at]), kind="stable")]
+        explained = np.tril(self.correlation[np.ix_(at, at)], -1).max(axis=1)
+        return self.none + float((self.vote[at] * (1 - explained) - self.silent[at]).sum())
 
-def fit_label_model(voters: Voters, n: int, pairs: np.ndarray, rounds: int = 20) -> LabelModel:
-    """Accuracies and correlations from the labelled sample's rates and the counts over all documents.
 
-    Rates given the label are scaled together so that they explain how often the voter fires over all documents; pairs
-    that fire together more often than that explains are correlated.
-    """
-    prior, fires = voters.prior, np.diag(pairs) / max(n, 1)
-    toxic, clean = voters.fires_toxic.copy(), voters.fires_clean.copy()
-    seen = fires > 0
-    for _ in range(rounds):
-        expected = prior * toxic + (1 - prior) * clean
-        scale = np.where(seen, fires / expected, 1.0) ** 0.5
-        toxic, clean = np.clip(toxic * scale, 1e-6, 0.999), np.clip(clean * scale, 1e-6, 0.999)
-    together = pairs / max(n, 1)
+def _correlations(prior: float, toxic: np.ndarray, clean: np.ndarray, n: int, pairs: np.ndarray) -> np.ndarray:
+    fires, together = np.diag(pairs) / max(n, 1), pairs / max(n, 1)
     independent = prior * np.outer(toxic, toxic) + (1 - prior) * np.outer(clean, clean)
     spread = np.sqrt(fires * (1 - fires)) + 1e-9
     correlation = np.clip((together - independent) / np.outer(spread, spread), 0, 1)
     correlation[correlation < 0.1] = 0
     np.fill_diagonal(correlation, 1)
-    return LabelModel(float(np.log(prior / (1 - prior))), np.log(toxic / clean), correlation)
+    return correlation
+
+
+def vote_sets(found: DataFrame, voters: Voters) -> DataFrame:
+    """votes (the voters that fire) and n, the number of documents with just these votes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([voters.fired(r) for r in batch.column("found").to_pylist()], pa.list_(pa.int32()))], ["votes"])
+
+    return found.mapInArrow(run, "votes array<int>").groupBy("votes").agg(F.count("*").alias("n"))
+
+
+def expected_counts(sets: DataFrame, model: LabelModel) -> tuple[float, np.ndarray]:
+    """Over all documents: how many are toxic by the model, and how many of these each voter fires on."""
+    k = len(model.vote)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(k + 1)
+        for batch in batches:
+            for votes, n in zip(batch.column("votes").to_pylist(), batch.column("n").to_pylist()):
+                weight = n / (1 + np.exp(-model.logit(votes)))
+                sums[votes] += weight
+                sums[k] += weight
+        yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), pa.array(sums)], ["voter", "n"])
+
+    out = np.zeros(k + 1)
+    for voter, n in sets.mapInArrow(run, "voter int, n double").groupBy("voter").agg(F.sum("n").alias("n")).collect():  # k + 1 rows at most
+        out[voter] = n
+    return float(out[k]), out[:k]
+
+
+def fit_label_model(voters: Voters, n: int, pairs: np.ndarray, expect, rounds: int = ROUNDS) -> LabelModel:
+    """Rates and correlations from the votes of all documents, anchored by the labelled sample's rates.
+
+    ``expect`` gives a model's expected counts over all documents (``expected_counts``). A round takes them under the rates so far and makes the rates anew.
+    """
+    prior, fires = voters.prior, np.diag(pairs).astype(float)
+    toxic, clean = voters.fires_toxic, voters.fires_clean
+    base, anchor = float(np.log(prior / (1 - prior))), ANCHOR * n
+    made = lambda: LabelModel(base, *(np.clip(r, 1e-6, 0.999) for r in (toxic, clean)), _correlations(prior, toxic, clean, n, pairs))
+    model = made()
+    for _ in range(rounds if n else 0):
+        n_toxic, by_voter = expect(model)
+        toxic = (by_voter + anchor * prior * voters.fires_toxic) / (n_toxic + anchor * prior)
+        clean = (np.maximum(fires - by_voter, 0) + anchor * (1 - prior) * voters.fires_clean) / (n - n_toxic + anchor * (1 - prior))
+        model = made()
+    return model
 
 
 def train(rows: list[list[int]], posterior: np.ndarray, weight: np.ndarray, size: int, rounds: int = 300) -> np.ndarray:
@@ -268,11 +319,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return docs.select(doc_id, F.coalesce(held_out, F.lit(False)).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("posterior"), F.lit(0).alias("n_votes"))
     found = Stored(docs.select(doc_id, utf8("text").alias("raw")).mapInArrow(_features(voters), "doc_id long, found array<int>"), "toxicity").df
     n, pairs = vote_counts(found, voters)
-    model = fit_label_model(voters, n, pairs)
+    sets = Stored(vote_sets(found, voters), "votes").df
+    model = fit_label_model(voters, n, pairs, lambda model: expected_counts(sets, model))
     size, first = len(voters.slots) + len(PATTERNS), len(voters.slots)
     sides = _sample_sides(found, voters, model)
     weight = np.array([share for _, _, share in sides])
-    w = train([r for r, _, _ in sides], 1 / (1 + np.exp(-np.array([z for _, z, _ in sides]))), weight, size) if sides else np.append(np.zeros(size), model.base)
+    w = train([r for r, _, _ in sides], 1 / (1 + np.exp(-np.array([z for _, z, _ in sides]))), weight, size) if sides else np.append(np.zeros(size), model.none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

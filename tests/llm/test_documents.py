@@ -76,6 +76,32 @@ def test_toxicity_learns_planted_words(spark, table):
     assert right >= 0.97 * len(truth)
 
 
+def test_pattern_voters_vote(spark, table):
+    rng, rows = random.Random(6), []
+    for k in range(1200):
+        toxic = k % 6 == 0
+        rows.append((k, prose(30, rng) + (" grumblefink" if toxic else "") + (" now!!!" if toxic and k % 12 or k % 40 == 1 else "")))
+    marks = spark.createDataFrame([(k, int(k % 6 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.posterior for r in toxicity.score_toxicity(table([*rows, (5000, "stone grumblefink"), (5001, "stone grumblefink now!!!"), (5002, "stone now!!!"), (5003, "stone")]), marks).collect()}
+    assert got[5001] >= got[5000] > 0.9 and got[5002] > got[5003]
+
+
+def test_voter_rates_follow_agreement_over_all_documents():
+    """The sample holds the third voter to be right and as rare in clean documents as the others; over all documents it agrees with none."""
+    rng, n, prior = np.random.default_rng(7), 20_000, 0.2
+    true_toxic, true_clean = np.array([0.6, 0.5, 0.05, 0.01, 0.01, 0.01]), np.array([0.01, 0.02, 0.05, 0.01, 0.01, 0.01])
+    votes = rng.random((n, 6)) < np.where(rng.random((n, 1)) < prior, true_toxic, true_clean)
+    rows = [np.nonzero(v)[0].tolist() for v in votes]
+    told = toxicity.Voters(np.arange(3), 3, prior, np.array([0.5, 0.5, 0.5, 0.01, 0.01, 0.01]), np.array([0.01, 0.01, 0.01, 0.01, 0.01, 0.01]))
+
+    def expect(model):
+        p = 1 / (1 + np.exp(-np.array([model.logit(r) for r in rows])))
+        return p.sum(), votes.T @ p
+
+    vote = toxicity.fit_label_model(told, n, votes.T.astype(float) @ votes, expect).vote
+    assert vote[2] < np.log(50) - 0.5 and min(vote[0], vote[1]) > 2.5 > vote[2]
+
+
 def test_toxicity_without_labels_or_rows(spark, table):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.score_toxicity(table(ODD), none).collect()] == [0.0] * len(ODD)
