@@ -3,8 +3,9 @@
 Base spans are the leftmost non-overlapping matches of three patterns; those that are too short go after matching. Candidates of the method are maximal runs of a
 character class (``CLASSES``) of at least ``WINDOW`` characters. A window slides over each: the sum of c * log2(c) over its character counts is kept up to date by
 the count of the character that leaves and of the one that enters, and entropy = log2(W) - sum / W. Windows at or over the class's
-threshold are merged, over all classes, into spans of kind ``entropy``. A merged span is suppressed if its string is on the
-allow list (``ALLOWED``: plain words, plain numbers, UUIDs, alphabets, placeholders) or if it overlaps a base span, which is reported already.
+threshold that hold no allowed part (``PART``: alphabets, placeholders) are merged, over all classes, into spans of kind ``entropy``. Allowed parts and base spans, which
+are reported already, are cut out of a merged span; what remains of it is kept, unless it, or the merged span, is allowed as a whole (plain words, plain numbers, UUIDs).
+What base spans leave of a merged span is of kind ``rest``, so ``entropy`` and n_entropy mean spans that no base span touches.
 
 Everything is one projection: no shuffle, no Python. Positions are code points, ends exclusive.
 
@@ -26,20 +27,21 @@ ASSIGN = HEAD + "([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 LEAST_VALUE = 6
-KINDS = ("assign", "access", "hex", "entropy")
+KINDS = ("assign", "access", "hex", "entropy", "rest")
 
 WINDOW = 20
 #: Characters of a candidate that are walked at a time: a character's place costs a walk from the start of its block, so blocks keep long candidates linear.
 BLOCK = 64
 #: Class: its characters and the entropy in bits that a window must reach.
 CLASSES = {"hex": ("[0-9A-Fa-f]", 3.0), "alphanumeric": ("[A-Za-z0-9]", 3.7), "base64": ("[A-Za-z0-9+/_-]", 3.9)}
-#: Strings that are no secrets.
+#: Strings that are no secrets: three that are so as a whole, and parts that are so wherever they occur.
 ALLOWED = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"(?i)0123456789|abcdefghij|example|placeholder|changeme|x{6}|(.)\1{7}",
 )
+WHOLE, PART = ALLOWED[:-1], ALLOWED[-1]
 
 
 def _found(text: Column, pattern: str, keep=lambda m: F.lit(True)) -> Column:
@@ -68,7 +70,7 @@ def _count(window: Column, char: Column) -> Column:
 
 
 def _high(candidate: Column, threshold: float) -> Column:
-    """Merged windows (from, to), relative to the candidate, whose entropy reaches the threshold."""
+    """Merged windows (from, to), relative to the candidate, whose entropy reaches the threshold and that hold no allowed part."""
     most = WINDOW * (math.log2(WINDOW) - threshold) + 1e-9
     f = lambda c: F.element_at(_weights(), c + 1)
     none = F.array().cast("array<struct<s:int,e:int>>")
@@ -85,7 +87,7 @@ def _high(candidate: Column, threshold: float) -> Column:
         touching = (F.size(spans) > 0) & (F.try_element_at(spans, F.lit(-1))["e"] >= start)
         merged = F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), F.array(F.struct(F.try_element_at(spans, F.lit(-1))["s"].alias("s"), k.alias("e"))))
         added = F.concat(spans, F.array(F.struct(start.alias("s"), k.alias("e"))))
-        hit = (k >= WINDOW) & (total <= most)
+        hit = (k >= WINDOW) & (total <= most) & ~F.substring(candidate, start + 1, F.lit(WINDOW)).rlike(PART)
         return F.struct(total.alias("sum"), F.when(hit & touching, merged).when(hit, added).otherwise(spans).alias("spans"))
 
     return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), zero, step)["spans"]
@@ -115,14 +117,37 @@ def _entropy_spans(text: Column, base: Column) -> Column:
         joined = F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
         return F.when((F.size(spans) > 0) & (last["e"] >= x["s"]), joined).otherwise(F.concat(spans, F.array(x)))
 
+    def string(x: Column) -> Column:
+        return F.substring(text, x["s"] + 1, x["e"] - x["s"])
+
     def suspicious(x: Column) -> Column:
-        string = F.substring(text, x["s"] + 1, x["e"] - x["s"])
-        ok = ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-        for pattern in ALLOWED:
-            ok = ok & ~string.rlike(pattern)
+        ok = F.lit(True)
+        for pattern in WHOLE:
+            ok = ok & ~string(x).rlike(pattern)
         return ok
 
-    return F.filter(F.aggregate(ordered, none, step), suspicious)
+    def remains(x: Column) -> Column:
+        # an allowed part may begin before the span or end after it: windows that hold it whole are not in the span
+        first = F.greatest(x["s"] - WINDOW, F.lit(0))
+        around = F.substring(text, first + 1, x["e"] - first + WINDOW)
+        placed = F.transform(_found(around, PART), lambda f: F.struct((first + f["s"]).alias("s"), (first + f["e"]).alias("e")))
+        allowed = F.filter(placed, lambda f: (f["s"] < x["e"]) & (x["s"] < f["e"]))
+        taken = F.transform(F.filter(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])), lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e")))
+        cuts = F.array_sort(F.concat(allowed, taken))
+        zero = F.struct(x["s"].alias("at"), none.alias("spans"))
+
+        def cut(state: Column, c: Column) -> Column:
+            piece = F.array(F.struct(state["at"].alias("s"), c["s"].alias("e")))
+            return F.struct(F.greatest(state["at"], c["e"]).alias("at"), F.when(c["s"] > state["at"], F.concat(state["spans"], piece)).otherwise(state["spans"]).alias("spans"))
+
+        def rest(state: Column) -> Column:
+            return F.when(state["at"] < x["e"], F.concat(state["spans"], F.array(F.struct(state["at"].alias("s"), x["e"].alias("e"))))).otherwise(state["spans"])
+
+        kept = F.filter(F.aggregate(cuts, zero, cut, rest), suspicious)
+        kind = F.when(F.size(taken) > 0, KINDS.index("rest")).otherwise(KINDS.index("entropy"))
+        return F.transform(kept, lambda k: F.struct(k["s"].alias("s"), kind.alias("kind"), k["e"].alias("e")))
+
+    return F.flatten(F.transform(F.filter(F.aggregate(ordered, none, step), suspicious), remains))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -138,7 +163,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     written = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["s"], x["e"])), ",")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text")).select("doc_id", "_text", assign.alias("_assign"), access.alias("_access"), hex_.alias("_hex"))
     base = found.withColumn("_base", F.concat(label(F.col("_assign"), 0), label(F.col("_access"), 1), label(F.col("_hex"), 2)))
-    nothing = F.array().cast("array<struct<s:int,e:int>>")
+    nothing = F.array().cast("array<struct<s:int,kind:int,e:int>>")
     more = base.withColumn("_more", F.when(text.rlike(f"[A-Za-z0-9+/_-]{{{WINDOW}}}"), _entropy_spans(text, F.col("_base"))).otherwise(nothing))
     return more.select(
         "doc_id",
@@ -146,6 +171,6 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         F.size("_access").cast("long").alias("n_access"),
         F.size("_hex").cast("long").alias("n_hex"),
         F.sha2(written(F.col("_base")), 256).alias("base_sha256"),
-        written(F.concat("_base", label(F.col("_more"), 3))).alias("spans"),
-        F.size("_more").cast("long").alias("n_entropy"),
+        written(F.concat("_base", "_more")).alias("spans"),
+        F.size(F.filter("_more", lambda x: x["kind"] == KINDS.index("entropy"))).cast("long").alias("n_entropy"),
     )

@@ -200,6 +200,19 @@ def test_entropy_spans_of_long_runs_match_brute_force(table):
         assert found == kept, k
 
 
+def test_entropy_spans_lose_only_what_is_allowed_or_reported(table):
+    key = "Zq8vT3xLp0RmWc7YbN2dKfH5sJgUaE9i"
+    rng, chars = random.Random(10), "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    long = "".join(rng.choice(chars) for _ in range(900))
+    hexes = "deadbeef0123cafe4567babe"
+    texts = ["example/" + key, key + "AAAAAAAA" + key[::-1], long + "G" + hexes + "K" + long[::-1], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdefghij0123"]
+    got = {r.doc_id: [x for x in r.spans.split(",") if x] for r in secret_scan.scan_secrets(table(list(enumerate(texts)))).collect()}
+    assert got[0] == ["entropy:7:40"]
+    assert got[1] == ["entropy:0:32", "entropy:40:72"]
+    assert got[2] == ["rest:0:901", "hex:901:925", "rest:925:1826"]
+    assert got[3] == got[4] == []
+
+
 def test_secrets_and_lines_match_their_sql(table, spark, tmp_path):
     rows = [(k, t) for k, t in enumerate(SECRETS)] + [(100, None), (101, ""), (102, "a\nb\nc\nd"), (103, "x\nb\nc\nd"), (104, "b\nc\n\nd ")]
     table(rows).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
