@@ -155,12 +155,19 @@ def _drawn(sized: DataFrame) -> DataFrame:
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it: rows not taken go, rows taken twice occur twice."""
-    sized = Stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("source").cast("string").alias("source"), size_in_words().alias("size")), "sized").df
-    # rows that repeat id and text are told apart by their number alone: together they are taken as often as all of them are
-    taken = _drawn(sized).groupBy(F.col("doc_id").alias("id"), F.col("row").alias("key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    doc_id, row = F.col("doc_id").cast("long"), F.xxhash64(*columns, *(c.isNull() for c in columns))
+    sized = Stored(docs.select(doc_id.alias("doc_id"), row.alias("row"), F.col("source").cast("string").alias("source"), size_in_words().alias("size")), "sized").df
+    # equal rows can't be told apart: together they are taken as often as all of them are
+    taken = Stored(_drawn(sized).groupBy(F.col("doc_id").alias("id"), F.col("row").alias("key")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n")), "taken").df
     # the whole row is one struct, so no column's name can clash
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.xxhash64("text").alias("row"))
-    joined = whole.join(taken, F.col("d.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("row") == F.col("key")))
-    each = F.floor(F.col("copies") / F.col("n")).cast("int")
-    times = F.when(each > 0, F.sequence(F.lit(1), each)).otherwise(F.array().cast("array<int>"))
-    return joined.select("d", F.explode(times).alias("time")).select("d.*")
+    whole = docs.select(F.struct(*columns).alias("d"), row.alias("row"))
+    joined = lambda some: whole.join(some, F.col("d.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("row") == F.col("key"))).drop("row")
+    repeated = lambda df, times: df.select("d", F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int"))).otherwise(F.array().cast("array<int>"))).alias("time")).select("d.*")
+    out = repeated(joined(taken.where("n = 1")), F.col("copies"))
+    if taken.where("n > 1").isEmpty():
+        return out
+    # n equal rows have n ranks in a row: each gets floor(copies / n), and copies mod n of them one more. The salt spreads a large group over tasks
+    several = ranked(joined(taken.where("n > 1")).withColumn("salt", F.rand(SEED)), F.col("id"), F.col("key"), F.col("salt"), name="place")
+    one_more = (F.col("place") % F.col("n") < F.col("copies") % F.col("n")).cast("int")
+    return out.unionByName(repeated(several, F.floor(F.col("copies") / F.col("n")) + one_more))

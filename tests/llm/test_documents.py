@@ -296,6 +296,23 @@ def test_mixed_rows_repeat_rows(table):
     assert Counter((r.doc_id, len(r.text.split())) for r in out.collect()) == +want
 
 
+def test_mixed_rows_of_equal_rows(table):
+    """Equal rows, with and without an id, are taken together as often as the mix takes them: no copy is lost to rounding."""
+    rows = [(None, "one two three", "en", "a")] * 1000 + [(7, "four five", "en", "a")] * 5 + [(k, prose(6, random.Random(k)), "en", "b") for k in range(100, 200)]
+    rows += [(None, "one two three", "de", "a"), (None, "one two three", "en", "b"), (None, "one two three", None, "b")]
+    docs = table(rows)
+    want, words, target = Counter(), Counter(), {}
+    source = {7: "a", **{k: "b" for k in range(100, 200)}}
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += r.copies
+        target[source.get(r.doc_id)] = r.target
+    out = mixing.mixed_rows(docs).collect()
+    got = Counter(r.doc_id for r in out)
+    for r in out:
+        words[r.source] += len(r.text.split())
+    assert 0 < want[None] < 1000 and abs(got[None] - want[None]) <= 3 and abs(words["a"] - target["a"]) <= 6 and abs(words["b"] - target["b"]) <= 12
+
+
 # --- line dedup
 
 
