@@ -1,14 +1,14 @@
 """Line dedup by overlapping three-line windows, in DataFrame functions.
 
 A text's lines are split at line feeds; lines that are blank are passed over and stay. Any three consecutive other lines, trimmed, make a window,
-known by a 64-bit and a 32-bit hash. A window's first occurrence is the least (doc_id, position) over the whole table. All later
-occurrences are marked, and in each document the lines that marked windows cover are merged and removed. A removed line is always kept somewhere earlier.
+known by a 64-bit and a 32-bit hash. A document is an id and a text, the text known by its hash. A window's first occurrence is the least (doc_id, text, position) over
+the whole table. All later occurrences are marked, and in each document the lines that marked windows cover are merged and removed. A removed line is always kept somewhere earlier.
 
 Windows are aggregated before the shuffle, so a passage that many documents share costs each task one row. The repeated windows, a small part, are written
 and joined back to all windows; Spark splits a hot window's part of that join.
 
-Defined cases: a null text stays null with no lines; fewer than three lines that are not blank have no window and stay whole; rows that repeat a doc_id count as one
-document, so equal rows keep and lose the same lines; an empty table gives no rows; columns of ``docs`` other than doc_id and text pass through ``dedup_lines``
+Defined cases: a null text stays null with no lines; fewer than three lines that are not blank have no window and stay whole; rows that repeat both doc_id and text count as
+one document, so they keep and lose the same lines; rows of one doc_id, or of none, with different texts are documents of their own; an empty table gives no rows; columns of ``docs`` other than doc_id and text pass through ``dedup_lines``
 untouched, whatever their names.
 """
 
@@ -27,33 +27,33 @@ def _lines(text: Column) -> Column:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, the numbers i, j, k of a window's lines and its hashes a (64 bits) and b (32 bits)."""
+    """doc_id, the text's hash, the numbers i, j, k of a window's lines and its hashes a (64 bits) and b (32 bits)."""
     trimmed = F.transform(_lines(F.col("text")), lambda line, i: F.struct(i.alias("i"), F.trim(F.translate(line, "\t\r", "  ")).alias("t")))
     hashed = F.transform(F.filter(trimmed, lambda x: x["t"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["t"]).alias("a"), F.hash(x["t"]).alias("b")))
     # a generator holds the array once: what follows refers to it several times
-    full = docs.where(F.col("text").contains("\n")).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(hashed)).alias("full"))
+    full = docs.where(F.col("text").contains("\n")).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.explode(F.array(hashed)).alias("full"))
     part = lambda k: F.slice("full", F.lit(k + 1), F.greatest(F.size("full") - SPAN + 1, F.lit(0)))
     w = F.col("w")
-    return full.select("doc_id", F.explode(F.arrays_zip(part(0).alias("x"), part(1).alias("y"), part(2).alias("z"))).alias("w")).select(
-        "doc_id", w["x"]["i"].alias("i"), w["y"]["i"].alias("j"), w["z"]["i"].alias("k"), F.xxhash64(w["x"]["a"], w["y"]["a"], w["z"]["a"]).alias("a"), F.hash(w["x"]["b"], w["y"]["b"], w["z"]["b"]).alias("b")
+    return full.select("doc_id", "hash", F.explode(F.arrays_zip(part(0).alias("x"), part(1).alias("y"), part(2).alias("z"))).alias("w")).select(
+        "doc_id", "hash", w["x"]["i"].alias("i"), w["y"]["i"].alias("j"), w["z"]["i"].alias("k"), F.xxhash64(w["x"]["a"], w["y"]["a"], w["z"]["a"]).alias("a"), F.hash(w["x"]["b"], w["y"]["b"], w["z"]["b"]).alias("b")
     )
 
 
 def later_windows(docs: DataFrame) -> DataFrame:
-    """doc_id and gone, the numbers of the lines that windows occurring earlier in the table cover."""
+    """doc_id, hash and gone, the numbers of the lines that windows occurring earlier in the table cover."""
     every = Stored(windows(docs), "windows").df
-    first = F.min(F.struct("doc_id", "i")).alias("first")
+    first = F.min(F.struct("doc_id", "hash", "i")).alias("first")
     repeated = Stored(every.groupBy("a", "b").agg(first, F.count("*").alias("n")).where("n > 1").select("a", "b", "first.*"), "repeated").df
-    repeated = repeated.select(F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("doc_id").alias("first_doc"), F.col("i").alias("first_line"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("i") == F.col("first_line"))
+    repeated = repeated.select(F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("doc_id").alias("first_doc"), F.col("hash").alias("first_hash"), F.col("i").alias("first_line"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("hash") == F.col("first_hash")) & (F.col("i") == F.col("first_line"))
     marked = every.join(repeated, (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb"))).where(~is_first)
-    return marked.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(F.array("i", "j", "k")))).alias("gone"))
+    return marked.groupBy("doc_id", "hash").agg(F.array_distinct(F.flatten(F.collect_set(F.array("i", "j", "k")))).alias("gone"))
 
 
 def _deduped(docs: DataFrame) -> DataFrame:
     """``d``, the whole row as a struct so that no column's name can clash, with text (after), n_lines and removed (numbers of the lines that go)."""
-    gone = later_windows(docs).withColumnRenamed("doc_id", "of")
-    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d")).join(gone, F.col("d.doc_id").cast("long").eqNullSafe(F.col("of")), "left")
+    gone = later_windows(docs).withColumnsRenamed({"doc_id": "of", "hash": "of_hash"})
+    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d")).join(gone, F.col("d.doc_id").cast("long").eqNullSafe(F.col("of")) & (F.xxhash64(F.col("d.text")) == F.col("of_hash")), "left")
     # only texts that lose lines are cut up; the generator holds their lines once
     whole = F.col("d.text")
     staged = found.select("d", "gone", F.explode(F.array(F.when(F.col("gone").isNotNull() & whole.isNotNull(), _lines(whole)))).alias("cut"))
@@ -63,8 +63,7 @@ def _deduped(docs: DataFrame) -> DataFrame:
         "d",
         F.when(F.col("cut").isNull(), whole).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.coalesce(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"),
-        # of rows that repeat a doc_id with other text only lines that this text has count
-        F.when(F.col("cut").isNull(), none).otherwise(F.coalesce(F.filter("gone", lambda i: i < F.size("cut")), none)).alias("removed"),
+        F.when(F.col("cut").isNull(), none).otherwise(F.coalesce("gone", none)).alias("removed"),
     )
 
 

@@ -343,6 +343,15 @@ def test_line_dedup_matches_brute_force(table):
     assert any(r.n_removed for r in got)
 
 
+def test_line_dedup_of_texts_that_share_an_id(table):
+    """Texts without an id, or of one id, are documents of their own: a line goes only where its window occurs again, and of each window one occurrence stays."""
+    for doc_id in (None, 5):
+        texts = ["a\nb\nc", "p\nq\nr\ns", "x\na\nb\nc", "own 1\nown 2\nown 3\nown 4", "a\nb\nc\nz"]
+        out = {r.text for r in line_dedup.line_report(table([(doc_id, t) for t in texts] + [(doc_id, texts[1])])).collect()}
+        assert {"p\nq\nr\ns", "own 1\nown 2\nown 3\nown 4"} <= out
+        assert sum("a\nb\nc" in t for t in out) == 1 and {"x", "x\na\nb\nc"} & out and {"z", "a\nb\nc\nz"} & out
+
+
 def test_line_dedup_keeps_other_columns(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc", 7, "x"), (2, "q\na\nb\nc", 8, "y")], "doc_id long, text string, gone long, i string")
     out = line_dedup.dedup_lines(docs).orderBy("doc_id").collect()
