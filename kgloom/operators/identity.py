@@ -58,13 +58,14 @@ def longest_names(persons: DataFrame, key: Column) -> DataFrame:
 def best_matches(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
     """Each left name's best right name at or over the floor and its own threshold, ties to the first: (left_id, right_id, score)."""
     tagged = left.select(F.concat(F.lit("l:"), "id").alias("id"), "name").unionByName(right.select(F.concat(F.lit("r:"), "id").alias("id"), "name"))
-    pairs = fuzzy.similar_pairs(tagged, floor).where(F.col("a").startswith("l:") & F.col("b").startswith("r:"))
-    first = tagged.withColumn("key", fuzzy.token_sorted(F.col("name"))).where("key <> ''")
-    # equal names are linked to the name's first row alone: give every left row its name's matches
-    head = first.groupBy("key").agg(F.min("id").alias("head"), F.min(F.when(F.col("id").startswith("r:"), F.col("id"))).alias("r"))
-    own = first.where(F.col("id").startswith("l:")).join(head, "key")
-    equal = own.where("r IS NOT NULL").select("id", F.col("r").alias("hit"), F.lit(100.0).alias("score"))
-    near = own.join(pairs.select(F.col("a").alias("head"), F.col("b").alias("hit"), "score"), "head").select("id", "hit", "score")
+    keyed = tagged.withColumn("key", fuzzy.token_sorted(F.col("name"))).where("key <> ''")
+    # prepared names are compared, whichever side holds them; then every left row gets its name's matches
+    pairs = fuzzy.similar_pairs(keyed.groupBy("key").agg(F.min_by("name", "id").alias("name")).withColumnRenamed("key", "id"), floor)
+    both = pairs.select(F.col("a").alias("key"), F.col("b").alias("near"), "score").unionByName(pairs.select(F.col("b").alias("key"), F.col("a").alias("near"), "score"))
+    own = keyed.where(F.col("id").startswith("l:")).select("id", "key")
+    heads = keyed.where(F.col("id").startswith("r:")).groupBy("key").agg(F.min("id").alias("hit"))
+    equal = own.join(heads, "key").select("id", "hit", F.lit(100.0).alias("score"))
+    near = own.join(both, "key").join(heads.withColumnRenamed("key", "near"), "near").select("id", "hit", "score")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "hit")) == 1
     best = equal.unionByName(near).distinct().withColumn("best", rank).where("best")
     return best.select(F.substring("id", 3, 1 << 20).alias("left_id"), F.substring("hit", 3, 1 << 20).alias("right_id"), "score")

@@ -187,6 +187,12 @@ def test_bridge(spark):
     assert {(r.src_id, r.dst_id) for r in identity.bridge_entities(entities, persons(spark)).collect()} == {("entity:1", "p1"), ("entity:3", "p1")}
 
 
+def test_bridge_when_a_right_name_is_on_the_left_too(spark):
+    entities = spark.createDataFrame([("e1", "Jon Smith", "Person"), ("e2", "John Smith", "Person")], "source_id string, name string, type string")
+    found = identity.bridge_entities(entities, spark.createDataFrame([("p", "John Smith")], "source_id string, name string"))
+    assert {(r.src_id, r.dst_id) for r in found.collect()} == {("e1", "p"), ("e2", "p")}
+
+
 def test_curation(spark):
     edges = spark.createDataFrame([("Person", "a", "SAME_AS", "Person", "b")], "src_label string, src_id string, rel string, dst_label string, dst_id string")
     left, never = identity.split(edges, spark.createDataFrame([], "a string, b string"), "b", "a")
