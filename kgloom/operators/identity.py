@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, text as T
+from ..tables import written
 from . import graph
 
 PERSON_FLOOR, BRIDGE_FLOOR, FIND_FLOOR, COSINE_FLOOR = 95.0, 93.0, 90.0, 0.92
@@ -23,14 +24,31 @@ def same_as(pairs: DataFrame, kind: str, confidence: Column | float = 1.0) -> Da
     )
 
 
+def _unblocked(pairs: DataFrame, never: DataFrame, how: str = "left_anti") -> DataFrame:
+    """Pairs (a, b) that ``never`` does not hold either way round; ``left_semi``: those that it does hold."""
+    both = never.select("a", "b").unionByName(never.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return pairs.join(both, ["a", "b"], how)
+
+
 def by_key(persons: DataFrame, key: Column, kind: str, never: DataFrame | None = None, id_col: str = "source_id") -> DataFrame:
-    """Identity edges among persons of one key. Each is tied to the least of the group, not to all: components are the same, and k persons cost k - 1 edges."""
+    """Identity edges among persons of one key. Each is tied to the least of the group, not to all: components are the same, and k persons cost k - 1 edges.
+
+    Persons blocked with the least one are tied to the least of its partners they are not blocked with, and are then a group of their own, until none is left.
+    """
     keyed = persons.select(F.col(id_col).alias("b"), key.alias("key")).where("key IS NOT NULL AND key <> ''")
-    first = keyed.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = keyed.join(first, "key").where("a <> b").select("a", "b")
-    if never is not None:
-        pairs = pairs.join(never.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return same_as(pairs, kind)
+    tied = lambda group: group.join(group.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1"), "key").where("a <> b").select("key", "a", "b")
+    pairs = tied(keyed)
+    if never is None:
+        return same_as(pairs.select("a", "b"), kind)
+    out = _unblocked(pairs, never).select("a", "b")
+    while True:
+        rest = written(_unblocked(pairs, never, "left_semi").select("key", "b").distinct(), "blocked")
+        if rest.isEmpty():
+            return same_as(out.distinct(), kind)
+        partners = _unblocked(pairs, never).select("key", F.col("b").alias("a"))
+        links = _unblocked(rest.join(partners, "key").where("a <> b"), never).groupBy("key", "b").agg(F.min("a").alias("a"))
+        pairs = written(tied(rest), "tied")
+        out = out.unionByName(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).unionByName(_unblocked(pairs, never).select("a", "b"))
 
 
 def by_email(persons: DataFrame, never: DataFrame | None = None) -> DataFrame:

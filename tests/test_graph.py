@@ -193,6 +193,13 @@ def test_bridge_when_a_right_name_is_on_the_left_too(spark):
     assert {(r.src_id, r.dst_id) for r in found.collect()} == {("e1", "p"), ("e2", "p")}
 
 
+def test_blocked_hub_keeps_links(spark):
+    rows = spark.createDataFrame([(k, "x@y.z") for k in ("1", "2", "3", "4")], "source_id string, email string")
+    edges = lambda *blocks: {(r.src_id, r.dst_id) for r in identity.by_email(rows, spark.createDataFrame(blocks, "a string, b string")).collect()}
+    assert edges(("3", "1")) == {("1", "2"), ("1", "4"), ("2", "3")}
+    assert edges(("1", "2"), ("1", "3"), ("4", "1")) == {("2", "3"), ("2", "4")}
+
+
 def test_curation(spark):
     edges = spark.createDataFrame([("Person", "a", "SAME_AS", "Person", "b")], "src_label string, src_id string, rel string, dst_label string, dst_id string")
     left, never = identity.split(edges, spark.createDataFrame([], "a string, b string"), "b", "a")
