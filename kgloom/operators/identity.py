@@ -60,10 +60,11 @@ def by_chat_id(persons: DataFrame, never: DataFrame | None = None) -> DataFrame:
 
 
 def by_name(persons: DataFrame, never: DataFrame | None = None) -> DataFrame:
-    """Fuzzy names at 95 or what their length asks for."""
+    """Fuzzy names at 95 or what their length asks for. Equal names keep their links where blocks hit the first; similar ones are tied through the first of each name alone."""
     pairs = fuzzy.similar_pairs(persons, PERSON_FLOOR, "source_id", "name")
     if never is not None:
-        pairs = pairs.join(never.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        equal = by_key(persons, fuzzy.token_sorted(F.col("name")), "fuzzy_name", never).select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"), F.lit(100.0).alias("score"))
+        pairs = _unblocked(pairs, never).select("a", "b", "score").unionByName(equal).distinct()
     return same_as(pairs, "fuzzy_name", F.col("score") / 100.0)
 
 

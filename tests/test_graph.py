@@ -198,6 +198,8 @@ def test_blocked_hub_keeps_links(spark):
     edges = lambda *blocks: {(r.src_id, r.dst_id) for r in identity.by_email(rows, spark.createDataFrame(blocks, "a string, b string")).collect()}
     assert edges(("3", "1")) == {("1", "2"), ("1", "4"), ("2", "3")}
     assert edges(("1", "2"), ("1", "3"), ("4", "1")) == {("2", "3"), ("2", "4")}
+    named = spark.createDataFrame([(k, "Ann Example") for k in ("1", "2", "3")], "source_id string, name string")
+    assert {(r.src_id, r.dst_id) for r in identity.by_name(named, spark.createDataFrame([("1", "3")], "a string, b string")).collect()} == {("1", "2"), ("2", "3")}
 
 
 def test_curation(spark):
