@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast by hint only when its measured size is at most this.
-BROADCAST_BYTES = 8 << 20
 #: Words are maximal runs of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,7 +23,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Where it is unset (tests on one machine) a temporary folder is made and set on the context.
+    Where it is unset a temporary folder is made and set on the context, but only on one machine: executors elsewhere would not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -32,6 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="kgloom-")
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
@@ -73,6 +74,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return Stored(df, label).df
 
 
+@contextlib.contextmanager
+def scratch():
+    """Removes, at the end, the tables that were stored meanwhile. A result that still reads them is written first, by the function given: it stays."""
+    held, result = len(_scratch), []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        result.append(Stored(df, label))
+        return result[-1].df
+
+    try:
+        yield keep
+    finally:
+        stay = {r.path for r in result}
+        for spark, path in [x for x in _scratch[held:] if x[1] not in stay]:
+            _remove(spark, path)
+            _scratch.remove((spark, path))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
