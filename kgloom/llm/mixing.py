@@ -10,11 +10,12 @@ two fractional documents or so, its smallest, as it settles documents by falling
 documents are rounded so that the words miss the target least (the landing).
 
 Defined cases: a null text has size 0 and its row is kept with taken 0; a null source is a source of its own; a source without words has target 0;
-repeated rows are documents of their own; reruns agree, as every draw is keyed by ids and groups; an empty table gives no rows; extra columns are not read.
+repeated rows are documents of their own, numbered so that many of them share no group; reruns agree, as every draw is keyed by ids and groups; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -27,7 +28,7 @@ from .common import WORD, Stored, shuffle_partitions
 
 WEIGHTS, MOST, GROUP, SEED = (1, 2, 3), 3, 1024, 41
 EPS = 1e-9
-ITEMS = "doc_id long, row long, source string, size long, source_size long, target double, whole int, p double"
+ITEMS = "doc_id long, row long, again long, source string, size long, source_size long, target double, whole int, p double"
 
 
 def size_in_words(text: str = "text") -> Column:
@@ -46,6 +47,17 @@ def ranked(df: DataFrame, *order: Column, name: str) -> DataFrame:
     return cut.df.withColumn(name, inside - 1).join(F.broadcast(starts), "part").withColumn(name, F.col(name) + F.col("first")).drop("part", "first")
 
 
+def numbered_repeats(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with ``again``: 0 for a row whose keys no other row has, else a number that its equals don't have. A hash of keys and number then spreads a group of any size over tasks."""
+    repeats = Stored(df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*(F.col(k).alias(f"_{k}") for k in keys)), "repeats").df
+    if repeats.isEmpty():
+        return df.withColumn("again", F.lit(0).cast("long"))
+    equal = functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    once = df.join(repeats, equal, "left_anti").withColumn("again", F.lit(0).cast("long"))
+    several = ranked(df.join(repeats, equal, "left_semi").withColumn("_salt", F.rand(SEED)), *map(F.col, keys), F.col("_salt"), name="again")
+    return once.unionByName(several.drop("_salt").withColumn("again", F.col("again").cast("long") + 1))
+
+
 def source_targets(sized: DataFrame) -> DataFrame:
     """source, n, source_size and target. Shares are raised together until the sources under their limit hold the rest: one small aggregate a round."""
     totals = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("source_size"))
@@ -108,7 +120,7 @@ def landing(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.nda
 
 def _fly(level: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "tie", "doc_id", "row"], ascending=[False, True, True, True], kind="stable")
+        group = group.sort_values(["size", "tie", "doc_id", "row", "again"], ascending=[False, True, True, True, True], kind="stable")
         key = f"{SEED}/{level}/{group['source'].iloc[0]}/{group['part'].iloc[0]}"
         rng = np.random.default_rng(xxhash.xxh64_intdigest(key.encode()))
         size, p = group["size"].to_numpy(), flight(group["size"].to_numpy(), group["p"].to_numpy(), rng)
@@ -127,18 +139,19 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def _drawn(sized: DataFrame) -> DataFrame:
     """``sized`` (doc_id, row, source, size) with source_size, target and copies."""
+    sized = numbered_repeats(sized, ["doc_id", "row", "source", "size"])
     targets = source_targets(sized).withColumnRenamed("source", "of")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio + EPS).cast("int")
     rest = F.when(ratio - whole > EPS, ratio - whole).otherwise(0.0)
-    open_ = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "row", "source", "size", "source_size", "target", whole.alias("whole"), rest.alias("p"))
+    open_ = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "row", "again", "source", "size", "source_size", "target", whole.alias("whole"), rest.alias("p"))
     level, settled = 0, []
     while True:
         counts = open_.groupBy("source").agg(F.count("*").alias("n")).select(F.col("source").alias("of"), F.ceil(F.col("n") / GROUP).cast("long").alias("parts"))
         dealt = (
             open_.join(counts, F.col("source").eqNullSafe(F.col("of")))
             .withColumn("tie", F.xxhash64("doc_id", F.lit(SEED)))
-            .withColumn("part", F.pmod(F.xxhash64("doc_id", "row", F.lit(SEED + 1 + level)), F.col("parts")))
+            .withColumn("part", F.pmod(F.xxhash64("doc_id", "row", "again", F.lit(SEED + 1 + level)), F.col("parts")))
             .drop("of")
         )
         flown = Stored(dealt.groupBy("source", "part").applyInPandas(_fly(level), ITEMS), f"flight{level}").df
