@@ -8,7 +8,7 @@ Ids are those of the tokenizer file (``tokenizers``); the same vocabulary as ran
 faster. A text that spells a special token goes to ``tokenizers`` itself.
 
 Defined cases: null and empty texts are the end id alone; a text of any length is cut into as many pieces as it needs; repeated rows are packed
-as often as they occur; ties in length go by document and start; an empty table gives no rows; extra columns are not read.
+as often as they occur, numbered so that many of them share no group; ties in length go by document and start; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored
+from .mixing import numbered_repeats
 
 SEQUENCE, END_ID, GROUP, SEED = 2048, 1, 4096, 29
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -100,7 +101,7 @@ def _pack_group(group: pd.DataFrame) -> pd.DataFrame:
     placed = first_fit_decreasing(group["length"].tolist())
     group["sequence_id"] = (np.int64(group["part"].iloc[0]) << 32) + np.array([p[0] for p in placed], dtype=np.int64)
     group["offset"] = np.array([p[1] for p in placed], dtype=np.int64)
-    return group.drop(columns="part")
+    return group.drop(columns=["part", "again"])
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str | None = RANKS) -> DataFrame:
@@ -118,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str | None = RANK
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str | None = RANKS, group: int = GROUP) -> DataFrame:
     """The columns of ``SCHEMA``: a row for each piece, with its sequence and its place there."""
-    cut_up = Stored(pieces(docs, tokenizer, ranks), "pieces").df
+    cut_up = numbered_repeats(Stored(pieces(docs, tokenizer, ranks), "pieces").df, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
     groups = max(1, math.ceil(cut_up.count() / group))
-    dealt = cut_up.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", F.lit(SEED)), F.lit(groups)))
+    dealt = cut_up.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "again", F.lit(SEED)), F.lit(groups)))
     return dealt.groupBy("part").applyInPandas(_pack_group, SCHEMA)
