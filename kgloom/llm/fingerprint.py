@@ -9,7 +9,7 @@ The edited text of a document ends with the beginning of the next document by id
 ranges, one text shuffle in all; each range also gets the first row of the next. Inside a range rows stream by.
 
 Defined cases: null is the empty text; texts without words share one fingerprint, with likeness 1 to each other; a lone document is its own
-next; rows that repeat a doc_id follow each other by text; extra columns are not read; an empty table gives no rows.
+next; rows that repeat a doc_id follow each other by text; rows without a doc_id come first; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import reached
 from .common import shuffle_partitions
 
 SAMPLES, SEED = 64, 17
@@ -143,15 +144,16 @@ def _ranges(docs: DataFrame, parts: int) -> tuple[list, list[tuple]]:
     """Bounds of ``parts`` ranges of doc_id, and (first doc_id of a range, the range before it) in a circle: a row for each range."""
     bounds = sorted(set(docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     bounds = [int(b) for b in bounds]
-    firsts = sorted((r["range"], r["first"]) for r in docs.groupBy(_range_of(bounds).alias("range")).agg(F.min("doc_id").alias("first")).collect())
+    # rows without an id come first
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id")))["id"]
+    firsts = sorted(((r["range"], r["first"]) for r in docs.groupBy(_range_of(bounds).alias("range")).agg(first.alias("first")).collect()), key=lambda x: x[0])
     return bounds, [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
 
 
 def _range_of(bounds: list):
     if not bounds:
         return F.lit(0)
-    # a binary search's worth of comparisons: how many bounds the id has reached
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))), F.lit(0))
+    return reached(F.expr(f"array({', '.join(f'{b}L' for b in bounds)})"), F.col("doc_id"))
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
