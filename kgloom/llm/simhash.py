@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, shuffle_partitions, stored, utf8
+from .common import Stored, stored, utf8
 
 SEED, WORDS, RADIUS = 42, 3, 2
-#: Fingerprints that a shard is meant for, the sample that a top tree is built on, rows of a leaf, links held before they are merged.
-SHARD, SAMPLE, LEAF, LINKS = 60_000, 20_000, 512, 1 << 20
+#: Fingerprints of a shard when all fit into one, and the power by which the number of shards grows with them: each level of the tree makes more queries, so shards grow a little too.
+SHARD, GROWTH = 60_000, 0.75
+#: The least sample that a top tree is built on and what it has for each shard, queries that a shard takes in at a time, rows of a leaf, links held before they are merged.
+SAMPLE, OF_SHARD, ASKING, LEAF, LINKS = 20_000, 64, 1 << 20, 512, 1 << 20
 
 
 def fingerprint(raw: bytes) -> int:
@@ -176,12 +178,16 @@ def search(points: np.ndarray, homes: np.ndarray, forest: Forest, rng: np.random
 
 
 def _search_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition sorted by shard: links of each shard as (fingerprint, least fingerprint linked to it here)."""
-    held, shard = [], None
+    """Of a partition sorted by shard, homes first: links of each shard as (fingerprint, least fingerprint linked to it here).
+
+    A shard's homes are held; its queries, which may be many times more, are held against them a bounded number at a time.
+    """
+    homes_held, asking, waiting, asked, shard = [], [], 0, False, None
 
     def links() -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        points, homes = table["fp"].to_numpy().view(np.uint64), table["home"].to_numpy(zero_copy_only=False)
+        at_home = np.concatenate([np.empty(0, np.int64), *homes_held])
+        points = np.concatenate([at_home, *asking]).view(np.uint64)
+        homes = np.arange(len(points)) < len(at_home)
         forest = Forest(len(points))
         search(points, homes, forest, np.random.default_rng(len(points)))
         root = forest.merge()
@@ -193,25 +199,32 @@ def _search_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return pa.RecordBatch.from_arrays([pa.array(signed[linked]), pa.array(least[root][linked])], ["a", "b"])
 
     for batch in batches:
-        shards = batch.column("shard").to_numpy()
+        shards, prints, at_home = batch.column("shard").to_numpy(), batch.column("fp").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False)
         bounds = np.concatenate([[0], np.nonzero(np.diff(shards))[0] + 1, [len(shards)]])
         for lo, hi in zip(bounds, bounds[1:]):
             if lo == hi:
                 continue
-            if held and shards[lo] != shard:
-                yield links()
-                held = []
-            shard = shards[lo]
-            held.append(batch.slice(lo, hi - lo))
-    if held:
+            if shards[lo] != shard:
+                if homes_held and (asking or not asked):
+                    yield links()
+                homes_held, asking, waiting, asked, shard = [], [], 0, False, shards[lo]
+            points, n_homes = prints[lo:hi], int(at_home[lo:hi].sum())
+            if n_homes:
+                homes_held.append(points[:n_homes])
+            if n_homes < hi - lo and homes_held:
+                asking.append(points[n_homes:])
+                waiting += hi - lo - n_homes
+                if waiting >= max(ASKING, sum(map(len, homes_held))):
+                    yield links()
+                    asking, waiting, asked = [], 0, True
+    if homes_held and (asking or not asked):
         yield links()
 
 
 def linked_fingerprints(distinct: DataFrame, n: int, shard: int = SHARD) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints within ``RADIUS`` of each other. ``n`` is their number."""
-    spark = distinct.sparkSession
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / shard))))
-    sampled = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow()["fp"].to_numpy()
+    depth = max(0, int(np.ceil(GROWTH * np.log2(max(1, n) / shard))))
+    sampled = distinct.orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, OF_SHARD << depth)).toArrow()["fp"].to_numpy()
     tree = top_tree(sampled.view(np.uint64), depth, np.random.default_rng(SEED))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +234,8 @@ def linked_fingerprints(distinct: DataFrame, n: int, shard: int = SHARD) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(points[index]), pa.array(home)], ["shard", "fp", "home"])
 
     dealt = distinct.mapInArrow(deal, "shard long, fp long, home boolean")
-    parts = min(1 << depth, max(shuffle_partitions(spark), (1 << depth) // 4))
-    return dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_search_shard, "a long, b long")
+    # a task for each shard, whatever the hash of its number
+    return dealt.repartitionById(1 << depth, F.col("shard").cast("int")).sortWithinPartitions("shard", F.desc("home")).mapInArrow(_search_shard, "a long, b long")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
