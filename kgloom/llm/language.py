@@ -1,7 +1,7 @@
 """Language by compression: zstandard with a raw-content dictionary for each language; the smallest result wins.
 
 A dictionary is text of one language from a bounded sample of learning rows (``SAMPLE_ROWS`` for each language, lowest id
-hashes first, ``DICTIONARY_BYTES`` in all). A text is encoded in blocks of ``BLOCK`` bytes, each by itself, so that a
+hashes first, ``DICTIONARY_BYTES`` in all). The ``LANGUAGES`` with most rows are learned, so all dictionaries together are at most 24 MB. A text is encoded in blocks of ``BLOCK`` bytes, each by itself, so that a
 long text cannot teach the encoder its language and every dictionary works alike at any length. All blocks of the whole
 text count. Texts and dictionaries are lower-cased and freed of ASCII digits and punctuation first. The score is the margin of the smallest total over the next, as a share of the next (0 to 1). A text whose margin
 is under ``MARGIN`` is rejected; its nearest language is reported beside the flag.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id
 
-SAMPLE_ROWS, DICTIONARY_BYTES, BLOCK, LEVEL, MARGIN = 256, 192 << 10, 2048, 6, 0.002
+SAMPLE_ROWS, LANGUAGES, DICTIONARY_BYTES, BLOCK, LEVEL, MARGIN = 256, 128, 192 << 10, 2048, 6, 0.002
 HELD_OUT_FOLD, FOLDS = 0, 5
 UNKNOWN = "und"
 _DROPPED = bytes(c for c in range(33, 127) if not chr(c).isalpha())
@@ -41,9 +41,10 @@ def learn_dictionaries(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = DIC
     # the lowest hashes of each language, gathered before any shuffle: a bounded buffer for each language and task
     part = F.substring("text", 1, 2 * size // rows)  # of a sample row for learning only: predictions read whole texts
     key = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id"))
-    ids = learn.groupBy("lang", (F.xxhash64("doc_id") % 4096).alias("salt")).agg(F.min(key).alias("k"))
-    chosen = ids.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list("k")), 1, rows).alias("ks")).select("lang", F.explode("ks.doc_id").alias("doc_id"))
-    texts = learn.select("doc_id", "lang", part.alias("part")).join(F.broadcast(chosen), ["doc_id", "lang"])
+    ids = learn.groupBy("lang", (F.xxhash64("doc_id") % 4096).alias("salt")).agg(F.min(key).alias("k"), F.count("*").alias("n"))
+    of_language = ids.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list("k")), 1, rows).alias("ks"), F.sum("n").alias("n"))
+    chosen = of_language.orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", F.explode("ks.doc_id").alias("doc_id"))
+    texts = learn.select("doc_id", "lang", part.alias("part")).join(F.broadcast(chosen), ["doc_id", "lang"])  # at most LANGUAGES * rows pairs
     got: dict[str, list] = {}
     for row in texts.distinct().collect():  # languages * rows parts of texts
         got.setdefault(row["lang"], []).append((row["doc_id"], row["part"]))
