@@ -9,7 +9,8 @@ so different values of a format get different pseudonyms, and equal values the s
 * ip: the 32-bit address is permuted as eight hexadecimal digits
 * phone: the ten digits after a country code; its punctuation stays
 * ssn: the nine digits, permuted again until they are valid
-* date: the day's number within its block of 65,536 days (1920-01-01 to 2099-06-06 is one); year-month-day, month/day/year, day.month.year
+* date: the day's number within its block of 65,536 days (1920-01-01 to 2099-06-06 is one); year-month-day, month/day/year (day/month/year where only that is a date), day.month.year,
+  with leading zeros only where the date has them
 * email: the letters and digits of the local part; the domain stays
 
 Defined cases: a null text stays null; what doesn't validate stays; the whole text is replaced match by match, left to right, so no pseudonym is replaced again; repeated rows give
@@ -22,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "not a secret: set your own"
+#: Where a session names its secret key, and the public key of tests and demonstrations, which protects nothing.
+KEY_SETTING, KEY = "spark.kgloom.pii.key", "not a secret: set your own"
 DIGITS, SMALL, LARGE, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 #: Fixed patterns, in the order in which they are tried at a place.
@@ -124,17 +126,24 @@ def _ssn(value: Column, key: str) -> tuple[Column, Column]:
 
 
 def _date(value: Column, key: str) -> tuple[Column, Column]:
-    iso, us = value.rlike("^[0-9]{4}-"), value.contains("/")
+    iso, slash = value.rlike("^[0-9]{4}-"), value.contains("/")
     parts = F.split(value, "[-/.]")
     number = lambda k: F.lpad(F.get(parts, F.lit(k)), 2, "0")
     year = F.get(parts, F.lit(2))
-    written = F.when(iso, value).when(us, F.concat_ws("-", year, number(0), number(1))).otherwise(F.concat_ws("-", year, number(1), number(0)))
-    day = F.try_to_date(written, "yyyy-MM-dd")
+    written = lambda month, day: F.try_to_date(F.concat_ws("-", year, number(month), number(day)), "yyyy-MM-dd")
+    month_first, day_first = written(0, 1), written(1, 0)
+    # with slashes the month comes first, unless only the other order is a date
+    turned = slash & month_first.isNull()
+    day = F.when(iso, F.try_to_date(value, "yyyy-MM-dd")).when(slash & ~turned, month_first).otherwise(day_first)
     since = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
     block = F.floor(since / 65536).cast("int")
     moved = feistel(F.lpad(F.lower(F.hex(since - block * 65536)), 4, "0"), "date", key, (HEX,))
     new = F.date_add(F.lit(FIRST_DAY).cast("date"), block * 65536 + F.conv(moved, 16, 10).cast("int"))
-    out = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(us, F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
+    # numbers without leading zeros stay without
+    padded = value.rlike("^(0|[0-9]{2}[./](0|[0-9]{2}[./]))")
+    two = lambda n: F.when(padded, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
+    month, of_month, full = two(F.month(new)), two(F.dayofmonth(new)), F.date_format(new, "yyyy")
+    out = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(turned, F.concat_ws("/", of_month, month, full)).when(slash, F.concat_ws("/", month, of_month, full)).otherwise(F.concat_ws(".", of_month, month, full))
     return day.isNotNull(), out
 
 
@@ -161,8 +170,9 @@ def pseudonyms(matches: Column, key: str = KEY) -> Column:
     return F.transform(matches, one)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, the text with pseudonyms, and how many values of each kind were replaced. One projection: no shuffle."""
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """The key is the session's (``KEY_SETTING``) where none is given. doc_id, the text with pseudonyms, and how many values of each kind were replaced. One projection: no shuffle."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     text = F.col("_text")
     none = F.array().cast("array<struct<kind:string,new:string>>")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).withColumn("_some", text.rlike("[@0-9]") & text.rlike(ANY))
