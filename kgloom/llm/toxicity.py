@@ -6,8 +6,9 @@
 2. *Label model.* Every voter, pattern or word, has a rate of firing given toxic and one given clean. Both start from the labelled
    sample and are then estimated by expectation and maximisation over the votes of all documents: a voter's rates follow from how far
    the others agree with it. The labelled sample is the anchor: its counts go in with the weight ``ANCHOR`` of all documents, and the
-   prior is its own. A pair that fires together more often than the label explains is correlated; of correlated voters that
-   fire, the strongest counts in full and the others for what it leaves. This gives every document a posterior from its votes.
+   prior is its own. Voters that fire together more often than the label explains are correlated: the strongest such ties form a forest
+   (by mutual information given the label), and a voter with a parent there has one rate where the parent fires and one where it does not, for each label, estimated in
+   the same rounds. A voter that only repeats its parent so adds nothing. This gives every document a posterior from its votes.
 3. *Classifier.* A logistic regression over the telling words and beginnings is trained on the posteriors of a bounded
    sample of documents (``TRAIN_ROWS`` from either side of the prior) and scores every document.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ LEAST_PRECISION = 0.8
 CUT_OFF = 0.7
 #: Weight of the labelled sample in the label model, as a share of all documents; rounds of its estimation.
 ANCHOR, ROUNDS = 0.2, 8
+#: A tie counts when the correlation of two voters given the label is at least this, and twice its information over all documents at least that (a chance of about 1e-7 without a tie).
+LEAST_TIE, LEAST_EVIDENCE = 0.1, 32.0
 HELD_OUT_FOLD, FOLDS = 1, 3
 PATTERNS = ("shouting", "repeated marks", "drawn-out letters")
 _MARKS, _DRAWN = re.compile(rb"[!?]{3,}"), re.compile(rb"([a-z])\1{3}", re.IGNORECASE)
@@ -101,6 +104,15 @@ class Voters:
     prior: float
     fires_toxic: np.ndarray
     fires_clean: np.ndarray
+    #: Shares of the documents of either label that each pair fires on; none are known: as if the label explained them all.
+    pairs_toxic: np.ndarray | None = None
+    pairs_clean: np.ndarray | None = None
+    #: The labelled documents' votes: how many of either label (clean, toxic) have just these.
+    sample: dict[tuple[int, ...], list[int]] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.pairs_toxic = np.outer(self.fires_toxic, self.fires_toxic) if self.pairs_toxic is None else self.pairs_toxic
+        self.pairs_clean = np.outer(self.fires_clean, self.fires_clean) if self.pairs_clean is None else self.pairs_clean
 
     @property
     def votes(self) -> int:
@@ -141,21 +153,33 @@ def choose_voters(toxic: np.ndarray, terms: list[np.ndarray]) -> Voters | None:
     n_toxic, n_clean = int((toxic == 1).sum()), int((toxic == 0).sum())
     if not n_toxic or not n_clean:
         return None
-    size = 1 << HASH_BITS
-    gather = lambda label: np.bincount(np.concatenate([np.empty(0, np.int64), *(t for t, y in zip(terms, toxic) if y == label)]), minlength=size + len(PATTERNS))
-    (in_toxic, of_toxic), (in_clean, of_clean) = (np.split(gather(label), [size]) for label in (1, 0))
+    # only slots that occur are counted; the patterns follow after them
+    first_pattern = 1 << HASH_BITS
+    seen, at = np.unique(np.concatenate([np.empty(0, np.int64), *terms]), return_inverse=True)
+    label = np.repeat(toxic, [len(t) for t in terms])
+    in_toxic, in_clean = (np.bincount(at[label == y], minlength=len(seen)) for y in (1, 0))
+    is_term = seen < first_pattern
     p, q = (in_toxic + 0.5) / (n_toxic + 1), (in_clean + DOUBT) / (n_clean + 1)
     lift = np.log(p / q)
     share_toxic = in_toxic / np.maximum(in_toxic + in_clean, 1)
-    weight = np.where((in_toxic >= LEAST_DOCS) & (share_toxic > 0.5), lift * np.sqrt(in_toxic), 0)
+    weight = np.where(is_term & (in_toxic >= LEAST_DOCS) & (share_toxic > 0.5), lift * np.sqrt(in_toxic), 0)
     order = np.argsort(-weight, kind="stable")[:FEATURES]
     order = order[weight[order] > 0]
-    telling = _voters(toxic, terms, order, in_toxic, share_toxic, max(LEAST_DOCS, LEAST_SHARE * n_toxic))
-    slots = np.concatenate([telling, order[~np.isin(order, telling)]])
+    places = np.split(at, np.cumsum([len(t) for t in terms])[:-1]) if terms else []
+    telling = _voters(toxic, places, order, in_toxic, share_toxic, max(LEAST_DOCS, LEAST_SHARE * n_toxic))
+    slots = seen[np.concatenate([telling, order[~np.isin(order, telling)]])]
     # a pattern that the sample hardly holds tells little: both rates lean on half a document at its rate over both labels
+    of_pattern = lambda counts: np.array([counts[seen == first_pattern + k].sum() for k in range(len(PATTERNS))])
+    of_toxic, of_clean = of_pattern(in_toxic), of_pattern(in_clean)
     either = (of_toxic + of_clean + 0.5) / (n_toxic + n_clean + 1)
     rates = lambda r, of, n: np.concatenate([r[telling], (of + 0.5) / (n + 0.5 / either)])
-    return Voters(slots, len(telling), n_toxic / (n_toxic + n_clean), rates(p, of_toxic, n_toxic), rates(q, of_clean, n_clean))
+    place = {int(s): k for k, s in enumerate(seen[telling])} | {first_pattern + k: len(telling) + k for k in range(len(PATTERNS))}
+    pairs, sample = np.zeros((2, len(place), len(place))), {}
+    for y, found in zip(toxic, terms):
+        fired = sorted(place[s] for s in found.tolist() if s in place)
+        pairs[int(y)][np.ix_(fired, fired)] += 1
+        sample.setdefault(tuple(fired), [0, 0])[int(y)] += 1
+    return Voters(slots, len(telling), n_toxic / (n_toxic + n_clean), rates(p, of_toxic, n_toxic), rates(q, of_clean, n_clean), pairs[1] / n_toxic, pairs[0] / n_clean, sample)
 
 
 def _features(voters: Voters):
@@ -213,37 +237,72 @@ def vote_counts(found: DataFrame, voters: Voters) -> tuple[int, np.ndarray]:
 
 @dataclass
 class LabelModel:
-    """Log-odds of the prior and the rates of each voter given either label, and the correlations of voters beyond what the label explains."""
+    """Log-odds of the prior, and each voter's rates of firing given either label: where its parent is silent (or it has none, -1), and where its parent fires."""
 
     base: float
     toxic: np.ndarray
     clean: np.ndarray
-    correlation: np.ndarray
+    parent: np.ndarray
+    toxic_after: np.ndarray
+    clean_after: np.ndarray
+    #: What part of a silence counts where some voter fires: authors choose a few of many words, of one language, so silences are not independent given the label as the rates have it.
+    quiet: float = 1.0
 
     def __post_init__(self):
-        self.vote = np.log(self.toxic / self.clean)
-        # abstaining tells a little too; correlated voters abstain together, so they share it
-        self.silent = np.log((1 - self.toxic) / (1 - self.clean)) / self.correlation.sum(axis=1)
-        self.none = self.base + float(self.silent.sum())
+        odds = lambda t, c: (np.log(t / c), np.log((1 - t) / (1 - c)))
+        self.vote, silent = odds(self.toxic, self.clean)
+        self.vote_after, silent_after = odds(self.toxic_after, self.clean_after)
+        self.silent, self.silent_after = silent * self.quiet, silent_after * self.quiet
+        self.children = [np.nonzero(self.parent == k)[0].tolist() for k in range(len(self.parent))]
+        self.none, self.some = self.base + float(silent.sum()), self.base + float(self.silent.sum())
+        self.known: dict[tuple[int, ...], float] = {}
 
     def logit(self, fired: list[int]) -> float:
-        """Of the posterior, from the voters that fired and those that did not; one correlated with a stronger one that fired counts for the rest."""
-        if not fired:
-            return self.none
-        at = np.asarray(fired)
-        at = at[np.argsort(-np.abs(self.vote[at]), kind="stable")]
-        explained = np.tril(self.correlation[np.ix_(at, at)], -1).max(axis=1)
-        return self.none + float((self.vote[at] * (1 - explained) - self.silent[at]).sum())
-
-
-def _correlations(prior: float, toxic: np.ndarray, clean: np.ndarray, n: int, pairs: np.ndarray) -> np.ndarray:
-    fires, together = np.diag(pairs) / max(n, 1), pairs / max(n, 1)
-    independent = prior * np.outer(toxic, toxic) + (1 - prior) * np.outer(clean, clean)
-    spread = np.sqrt(fires * (1 - fires)) + 1e-9
-    correlation = np.clip((together - independent) / np.outer(spread, spread), 0, 1)
-    correlation[correlation < 0.1] = 0
-    np.fill_diagonal(correlation, 1)
-    return correlation
+        """Of the posterior, from the voters that fired and those that did not."""
+        key = tuple(fired)
+        if (out := self.known.get(key)) is None:
+            out, among = self.some if fired else self.none, set(fired)
+            for j in fired:
+                out += float((self.vote_after if self.parent[j] in among else self.vote)[j] - self.silent[j])
+                out += sum(float(self.silent_after[c] - self.silent[c]) for c in self.children[j] if c not in among)
+            if len(self.known) < 100_000:
+                self.known[key] = out
+        return out
+
+
+def correlated(n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The parent of each voter, -1 for none: a maximum spanning forest of the ties, each tree rooted at its first voter.
+
+    ``n`` holds the documents of both labels, ``pairs`` for each label how many of them each pair of voters fires on.
+    """
+    k = pairs.shape[1]
+    information, correlation, total = np.zeros((k, k)), np.zeros((k, k)), max(float(n.sum()), 1e-9)
+    for of, joint in zip(n, pairs):
+        if of <= 0:
+            continue
+        both, one = joint / of, np.clip(np.diag(joint) / of, 1e-12, 1 - 1e-12)
+        x, y = one[:, None], one[None, :]
+        for cell, free in ((both, x * y), (x - both, x * (1 - y)), (y - both, (1 - x) * y), (1 - x - y + both, (1 - x) * (1 - y))):
+            information += of / total * np.where(cell > 1e-12, cell * np.log(np.maximum(cell, 1e-12) / free), 0)
+        correlation += of / total * (both - x * y) / np.sqrt(x * (1 - x) * y * (1 - y))
+    parent, tree = np.full(k, -1), np.arange(k)
+    ties: list[list[int]] = [[] for _ in range(k)]
+    i, j = np.nonzero(np.triu((correlation >= LEAST_TIE) & (2 * total * information >= LEAST_EVIDENCE), 1))
+    for at in np.argsort(-information[i, j], kind="stable"):
+        a, b = int(i[at]), int(j[at])
+        if tree[a] != tree[b]:
+            ties[a].append(b)
+            ties[b].append(a)
+            tree[tree == max(tree[a], tree[b])] = min(tree[a], tree[b])
+    for root in np.unique(tree):
+        stack = [int(root)]
+        while stack:
+            one = stack.pop()
+            for other in ties[one]:
+                if other != parent[one]:
+                    parent[other] = one
+                    stack.append(other)
+    return parent
 
 
 def vote_sets(found: DataFrame, voters: Voters) -> DataFrame:
@@ -257,43 +316,77 @@ def vote_sets(found: DataFrame, voters: Voters) -> DataFrame:
 
 
 def expected_counts(sets: DataFrame, model: LabelModel) -> tuple[float, np.ndarray]:
-    """Over all documents: how many are toxic by the model, and how many of these each voter fires on."""
+    """Over all documents: how many are toxic by the model, and how many of these each pair of voters (a voter with itself too) fires on."""
     k = len(model.vote)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(k + 1)
+        sums, total = np.zeros((k, k)), 0.0
         for batch in batches:
             for votes, n in zip(batch.column("votes").to_pylist(), batch.column("n").to_pylist()):
                 weight = n / (1 + np.exp(-model.logit(votes)))
-                sums[votes] += weight
-                sums[k] += weight
-        yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), pa.array(sums)], ["voter", "n"])
+                total += weight
+                if votes:
+                    sums[np.ix_(votes, votes)] += weight
+        i, j = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1), pa.int32()), pa.array(np.append(j, -1), pa.int32()), pa.array(np.append(sums[i, j], total))], ["i", "j", "n"])
+
+    total, out = 0.0, np.zeros((k, k))
+    for i, j, n in sets.mapInArrow(run, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # k * k rows at most
+        if i < 0:
+            total = n
+        else:
+            out[i, j] = n
+    return total, out
+
 
-    out = np.zeros(k + 1)
-    for voter, n in sets.mapInArrow(run, "voter int, n double").groupBy("voter").agg(F.sum("n").alias("n")).collect():  # k + 1 rows at most
-        out[voter] = n
-    return float(out[k]), out[:k]
+def counted_silence(model: LabelModel, sample: dict[tuple[int, ...], list[int]]) -> LabelModel:
+    """The model with the part of a silence under which the labelled sample is likeliest; all of it without a sample."""
+
+    def loss(of: LabelModel) -> float:
+        z = np.array([of.logit(list(fired)) for fired in sample])
+        clean, toxic = np.array(list(sample.values()), dtype=float).T
+        return float((toxic * np.logaddexp(0, -z) + clean * np.logaddexp(0, z)).sum())
+
+    return min((replace(model, quiet=part / 10) for part in range(10, -1, -1)), key=loss) if sample else model
 
 
 def fit_label_model(voters: Voters, n: int, pairs: np.ndarray, expect, rounds: int = ROUNDS) -> LabelModel:
-    """Rates and correlations from the votes of all documents, anchored by the labelled sample's rates.
+    """Rates and correlations from the votes of all documents, anchored by the labelled sample's.
 
-    ``expect`` gives a model's expected counts over all documents (``expected_counts``). A round takes them under the rates so far and makes the rates anew.
+    ``expect`` gives a model's expected counts over all documents (``expected_counts``). A round takes them under the rates so far and makes the rates anew; the forest is
+    that of the first round's counts.
     """
-    prior, fires = voters.prior, np.diag(pairs).astype(float)
-    toxic, clean = voters.fires_toxic, voters.fires_clean
+    prior, k = voters.prior, voters.votes
     base, anchor = float(np.log(prior / (1 - prior))), ANCHOR * n
-    made = lambda: LabelModel(base, *(np.clip(r, 1e-6, 0.999) for r in (toxic, clean)), _correlations(prior, toxic, clean, n, pairs))
-    model = made()
+    kept = lambda r: np.clip(r, 1e-6, 0.999)
+    alone = np.full(k, -1)
+    model = LabelModel(base, *map(kept, (voters.fires_toxic, voters.fires_clean)), alone, *map(kept, (voters.fires_toxic, voters.fires_clean)))
+    parent = None
+
+    def counts(of: float, joint: np.ndarray, share: float, fires: np.ndarray, sample: np.ndarray) -> tuple:
+        """Of one label: documents, each voter's, its parent's, and those of both."""
+        own, up = np.diag(joint) + anchor * share * fires, np.where(parent >= 0, parent, np.arange(k))
+        together = joint[np.arange(k), up] + anchor * share * sample[np.arange(k), up]
+        return of + anchor * share, own, own[up], np.minimum(together, np.minimum(own, own[up]))
+
+    def rates(labels: tuple[tuple, tuple]) -> list[np.ndarray]:
+        """Of toxic and clean documents: rates where the parent is silent, then where it fires. They lean on one document at the rate over both labels, so a voter that hardly fires otherwise than its parent tells nothing."""
+        alone, after = [(own - both, held - up) for held, own, up, both in labels], [(both, up) for _, _, up, both in labels]
+        lean = lambda pair: sum(x for x, _ in pair) / np.maximum(sum(y for _, y in pair), 1e-9)
+        smooth = lambda pair: [(x + lean(pair)) / (y + 1) for x, y in pair]
+        return [kept(np.where(parent >= 0, x, own / held)) for part in (alone, after) for x, (held, own, _, _) in zip(smooth(part), labels)]
+
     for _ in range(rounds if n else 0):
-        n_toxic, by_voter = expect(model)
-        toxic = (by_voter + anchor * prior * voters.fires_toxic) / (n_toxic + anchor * prior)
-        clean = (np.maximum(fires - by_voter, 0) + anchor * (1 - prior) * voters.fires_clean) / (n - n_toxic + anchor * (1 - prior))
-        model = made()
+        n_toxic, by_pair = expect(model)
+        rest = np.maximum(pairs - by_pair, 0)
+        if parent is None:
+            parent = correlated(np.array([n_toxic + anchor * prior, n - n_toxic + anchor * (1 - prior)]), np.stack([by_pair + anchor * prior * voters.pairs_toxic, rest + anchor * (1 - prior) * voters.pairs_clean]))
+        toxic, clean, toxic_after, clean_after = rates((counts(n_toxic, by_pair, prior, voters.fires_toxic, voters.pairs_toxic), counts(n - n_toxic, rest, 1 - prior, voters.fires_clean, voters.pairs_clean)))
+        model = counted_silence(LabelModel(base, toxic, clean, parent, toxic_after, clean_after), voters.sample)
     return model
 
 
-def train(rows: list[list[int]], posterior: np.ndarray, weight: np.ndarray, size: int, rounds: int = 300) -> np.ndarray:
+def train(rows: list[list[int]], posterior: np.ndarray, weight: np.ndarray, size: int, rounds: int = 800) -> np.ndarray:
     """Logistic regression on soft labels by full-batch gradient steps with momentum; the last coefficient is the base."""
     at = np.concatenate([np.empty(0, np.int64), *(np.asarray(r, np.int64) for r in rows)])
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -303,7 +396,7 @@ def train(rows: list[list[int]], posterior: np.ndarray, weight: np.ndarray, size
     for _ in range(rounds):
         z = w[-1] + np.bincount(row, w[at], len(rows))
         gap = (1 / (1 + np.exp(-z)) - posterior) * weight / total
-        step = np.append((np.bincount(at, gap[row], size) + 2e-4 * w[:-1]) / (share + 1e-3), gap.sum())
+        step = np.append((np.bincount(at, gap[row], size) + 5e-5 * w[:-1]) / (share + 1e-3), gap.sum())
         speed = 0.9 * speed - 0.05 * step
         w += speed
     return w

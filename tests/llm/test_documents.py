@@ -96,12 +96,45 @@ def test_voter_rates_follow_agreement_over_all_documents():
 
     def expect(model):
         p = 1 / (1 + np.exp(-np.array([model.logit(r) for r in rows])))
-        return p.sum(), votes.T @ p
+        return p.sum(), votes.T @ (votes * p[:, None])
 
     vote = toxicity.fit_label_model(told, n, votes.T.astype(float) @ votes, expect).vote
     assert vote[2] < np.log(50) - 0.5 and min(vote[0], vote[1]) > 2.5 > vote[2]
 
 
+def test_planted_rates_and_a_copied_voter_are_recovered():
+    """Six voters of known rates, of which the last repeats the first nine times in ten: rates within 0.03, the tie found, and the copy adds next to nothing to a posterior."""
+    rng, n, prior = np.random.default_rng(17), 40_000, 0.2
+    true_toxic, true_clean = np.array([0.6, 0.5, 0.4, 0.3, 0.2, 0.0]), np.array([0.02, 0.03, 0.01, 0.05, 0.02, 0.0])
+    y = rng.random(n) < prior
+    votes = rng.random((n, 6)) < np.where(y[:, None], true_toxic, true_clean)
+    votes[:, 5] = votes[:, 0] & (rng.random(n) < 0.9)
+    rows = [np.nonzero(v)[0].tolist() for v in votes]
+    sample = slice(0, 2_000)
+    shares = lambda label: votes[sample][y[sample] == label].mean(axis=0) + 1e-3
+    pairs = lambda label: (lambda v: v.T @ v / len(v))(votes[sample][y[sample] == label].astype(float))
+    told = toxicity.Voters(np.arange(3), 3, prior, shares(True), shares(False), pairs(True), pairs(False))
+
+    def expect(model):
+        p = 1 / (1 + np.exp(-np.array([model.logit(r) for r in rows])))
+        return p.sum(), votes.T @ (votes * p[:, None])
+
+    model = toxicity.fit_label_model(told, n, votes.T.astype(float) @ votes, expect)
+    assert model.parent.tolist() == [-1, -1, -1, -1, -1, 0]
+    assert np.abs(model.toxic[:5] - true_toxic[:5]).max() < 0.03 and np.abs(model.clean[:5] - true_clean[:5]).max() < 0.03
+    assert abs(model.toxic_after[5] - 0.9) < 0.03 and abs(model.clean_after[5] - 0.9) < 0.03
+    assert abs(model.logit([0, 5]) - model.logit([0])) < 2.5 and model.logit([0, 5]) - model.none < 1.2 * np.log(0.6 / 0.02 * 0.98 / 0.4)
+    # the posterior is that of the rates multiplied out, vote by vote
+    for fired in itertools.chain.from_iterable(itertools.combinations(range(6), k) for k in range(4)):
+        both = []
+        for p, alone, after in ((prior, model.toxic, model.toxic_after), (1 - prior, model.clean, model.clean_after)):
+            for j in range(6):
+                rate = after[j] if model.parent[j] in fired else alone[j]
+                p *= rate if j in fired else 1 - rate
+            both.append(p)
+        assert model.logit(list(fired)) == pytest.approx(np.log(both[0] / both[1]))
+
+
 def test_toxicity_without_labels_or_rows(spark, table):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.score_toxicity(table(ODD), none).collect()] == [0.0] * len(ODD)
@@ -635,3 +668,111 @@ def test_tournament_is_first_fit():
         want.append((k, 2048 - rooms[k]))
         rooms[k] -= n
     assert packing.first_fit_decreasing(lengths) == want
+
+
+# --- hot groups, odd ids, long inputs
+
+
+def test_equal_rows_share_no_group(spark, table):
+    docs = table([(1, "one two three", "en", "a")] * 3000 + [(k, prose(5, random.Random(k)), "en", "a") for k in range(10, 40)])
+    keyed = mixing.numbered_repeats(docs.select("doc_id", "source"), ["doc_id", "source"]).collect()
+    assert len(keyed) == 3030 and len({r.again for r in keyed if r.doc_id == 1}) == 3000 and {r.again for r in keyed if r.doc_id != 1} == {0}
+    got = packing.pack(docs, group=100).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in got)
+    assert len(got) == 3030 and len(sizes) > 25 and max(sizes.values()) < 200
+    mixed = mixing.mix(docs).collect()
+    assert sum(r.taken for r in mixed if r.doc_id == 1) + sum(r.taken for r in mixed if r.doc_id != 1) == pytest.approx(mixed[0].target, abs=6)
+
+
+def test_last_document_is_followed_by_the_first_without_an_id(table):
+    rows = [(None, "first of all words"), (3, "three a b c d"), (9, "nine words that go on and on")]
+    got = {r.doc_id: r for r in fingerprint.fingerprint_with_edit(table(rows)).collect()}
+    edited = fingerprint.edited_text(rows[2][1], rows[0][1])
+    assert got[9].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[None].edited_sha256 == hashlib.sha256(fingerprint.edited_text(rows[0][1], rows[1][1]).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("at_once", [1, 50, 1 << 20])
+def test_shards_take_queries_in_parts(monkeypatch, at_once):
+    """All links are found whatever the number of queries held at a time; several shards share a partition."""
+    monkeypatch.setattr(simhash, "ASKING", at_once)
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    points = planted_points(600, rng)
+    index, shard, home = simhash.route(points, simhash.top_tree(points, 3, rng))
+    order = np.lexsort((~home, shard))
+    columns = [shard[order], points[index][order].view(np.int64), home[order]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + 97]) for c in columns], ["shard", "fp", "home"]) for k in range(0, len(order), 97)]
+    place = {int(p): k for k, p in enumerate(points.view(np.int64))}
+    forest = simhash.Forest(len(points))
+    for links in simhash._search_shard(iter(batches)):
+        forest.link(*(np.array([place[x] for x in links.column(c).to_pylist()], dtype=np.int64) for c in ("a", "b")))
+    whole = simhash.Forest(len(points))
+    a, b = np.nonzero(simhash.distances(points[:, None], points[None, :]) <= 2)
+    whole.link(a, b)
+    assert (forest.merge() == whole.merge()).all()
+
+
+def brute_pairs(time, bin_):
+    """Every peak with each of its next ones that are near, by two plain loops."""
+    out = []
+    for i in range(len(time)):
+        for j in range(i + 1, min(len(time), i + 1 + media.FAN_OUT)):
+            if time[j] - time[i] <= media.REACH:
+                out.append((int(time[i]), int(bin_[i]) * 32768 + int(bin_[j]) * 64 + int(time[j] - time[i])))
+    return sorted(out)
+
+
+def test_peaks_and_pairs_match_brute_force():
+    """Peaks by a direct transform of each frame, and pairs by loops."""
+    rng = np.random.default_rng(3)
+    samples = np.frombuffer(prose(900).encode()[:5000], dtype=np.uint8)
+    time, bin_ = media.peaks(samples)
+    frames = 1 + -(-(len(samples) - media.FRAME) // media.HOP)
+    padded = np.concatenate([samples.astype(float) - 128, np.zeros(frames * media.HOP + media.FRAME)])
+    # the silence after the last sample is zero, as the file's middle level is
+    heights, bins = np.zeros((frames, 4)), np.zeros((frames, 4), int)
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME)) / media.FRAME)
+    for f in range(frames):
+        spectrum = np.abs(turn @ (padded[f * media.HOP : f * media.HOP + media.FRAME] * np.hanning(media.FRAME)))
+        for b, (lo, hi) in enumerate(zip(media.BANDS, media.BANDS[1:])):
+            bins[f, b] = lo + int(np.argmax(spectrum[lo:hi]))
+            heights[f, b] = spectrum[bins[f, b]]
+    want = [(f, bins[f, b]) for f in range(frames) for b in range(4) if heights[f, b] > 1e-3 and (f == 0 or heights[f, b] > heights[f - 1, b]) and (f == frames - 1 or heights[f, b] >= heights[f + 1, b])]
+    assert list(zip(time.tolist(), bin_.tolist())) == want and len(want) > 10
+    times, codes = media.peak_pairs(time, bin_)
+    assert sorted(zip(times.tolist(), codes.tolist())) == brute_pairs(time, bin_)
+    crowd = np.sort(rng.integers(0, 4000, 300))
+    assert sorted(zip(*(x.tolist() for x in media.peak_pairs(crowd, crowd % 250)))) == brute_pairs(crowd, crowd % 250)
+
+
+def test_language_sizes_match_brute_force():
+    """The choice, the margin and the rejection from sizes that are computed anew, encoder by encoder."""
+    import zstandard
+
+    rng = random.Random(30)
+    words = {"x": ["alpha", "beta", "gamma", "delta"], "y": ["uno", "dos", "tres", "cuatro"], "z": ["eins", "zwei", "drei", "vier"]}
+    make = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    dictionaries = tuple((lang, make(lang, 400).encode()) for lang in words)
+    texts = [make(lang, n) for lang in words for n in (1, 20, 900)] + [make("x", 30) + " " + make("y", 30), "12 34", "q", "Alpha BETA!!"]
+    for text in texts:
+        raw = bytes(c for c in text.lower().encode() if not (33 <= c < 127 and not chr(c).isalpha()))
+        sizes = {}
+        for lang, content in dictionaries:
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            encoder = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_content_size=False)
+            sizes[lang] = sum(len(encoder.compress(raw[k : k + language.BLOCK])) for k in range(0, len(raw), language.BLOCK))
+        best, second = sorted((n, lang) for lang, n in sizes.items())[:2]
+        margin = (second[0] - best[0]) / max(1, second[0])
+        want = (best[1], margin, margin < language.MARGIN) if any(c.isalpha() for c in text) else ("und", 0.0, True)
+        assert language.classify(text, dictionaries) == want
+
+
+def test_dates_keep_their_format(spark):
+    rows = ["on 13/02/2024 and 2/9/1983, 02/09/1983, 12/15/2020, 2024-02-29, 5.6.1999, 05.06.1999, 31/02/2020"]
+    out = spark.createDataFrame([(1, rows[0])], "doc_id long, text string").transform(pii.pseudonymise).first()
+    forms = [re.sub("[0-9]+", lambda m: "d" if len(m[0]) < 3 else "y", x) for x in re.findall(r"[0-9]+[./-][0-9]+[./-][0-9]+", out.text)]
+    assert out.n_date == 7 and forms == ["d/d/y", "d/d/y", "d/d/y", "d/d/y", "y-d-d", "d.d.y", "d.d.y", "d/d/y"] and out.text.endswith("31/02/2020")
+    dates = re.findall(r"[0-9]+[./-][0-9]+[./-][0-9]+", out.text)
+    assert all(len(x) == 10 for k, x in enumerate(dates) if k not in (1, 5)) and not dates[1].startswith("0") and "13/02/2024" not in out.text
+    assert [int(x) for x in dates[1].split("/")] == [int(x) for x in dates[2].split("/")]
