@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kgloom.llm import language, line_dedup, mixing, packing, simhash
-from kgloom.llm.common import read_table, stored
+from kgloom.llm.common import read_table, scratch
 from kgloom.shipping import ensure_importable
 
 
@@ -55,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:
+            docs = keep(stage(spark, docs, sf_dir), name)
     return docs
