@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Doublings of a running total: arrays hold fewer than 2^30 elements.
 _STEPS = [1 << k for k in range(30)]
-_DOUBLING, _HALVING = (f"array({', '.join(map(str, steps))})" for steps in (_STEPS, _STEPS[::-1]))
+_DOUBLING = f"array({', '.join(map(str, _STEPS))})"
 SPANS = "array<struct<s:int,e:int>>"
 
 
@@ -29,10 +29,11 @@ def running(values: Column, combine: Callable[[Column, Column], Column]) -> Colu
     return let(values, doubled)
 
 
-def reached(ordered: Column, value: Column) -> Column:
-    """How many elements of an ascending array are at most ``value``: a binary search."""
+def reached(ordered: Column, value: Column, most: int = _STEPS[-1]) -> Column:
+    """How many elements of an ascending array (of at most ``most``) are at most ``value``: a binary search."""
+    halving = f"array({', '.join(str(s) for s in reversed(_STEPS) if s <= most)})"
     inside = lambda at, h: (at + h <= F.size(ordered)) & (F.get(ordered, at + h - 1) <= value)
-    return F.aggregate(F.expr(_HALVING), F.lit(0), lambda at, h: F.when(inside(at, h), at + h).otherwise(at))
+    return F.aggregate(F.expr(halving), F.lit(0), lambda at, h: F.when(inside(at, h), at + h).otherwise(at))
 
 
 def union(spans: Column) -> Column:

@@ -153,7 +153,7 @@ def _ranges(docs: DataFrame, parts: int) -> tuple[list, list[tuple]]:
 def _range_of(bounds: list):
     if not bounds:
         return F.lit(0)
-    return reached(F.expr(f"array({', '.join(f'{b}L' for b in bounds)})"), F.col("doc_id"))
+    return reached(F.expr(f"array({', '.join(f'{b}L' for b in bounds)})"), F.col("doc_id"), len(bounds))
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
