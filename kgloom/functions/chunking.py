@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,30 +13,40 @@ from pyspark.sql import functions as F
 
 SIZE, OVERLAP, LEAST = 512, 64, 100
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
-_MESSAGE = re.compile(r"^\[\d{2}:\d{2} UTC\]", re.MULTILINE)
+# Fixed value: how a rendered message begins; replies in a thread are indented.
+_MESSAGE = re.compile(r"^(?:  )?\[\d{2}:\d{2} UTC\]", re.MULTILINE)
+
+
+def chunk_bounds(ends: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Chunks as (first word, word after the last), from where each sentence ends. A chunk takes the sentences that end within ``size`` words of its start, one at least,
+    and starts ``overlap`` words before the end of the one before, if that has so many."""
+    out, first, done = [], 0, 0
+    while done < len(ends):
+        done = max(done + 1, bisect_right(ends, first + size))
+        out.append((first, ends[done - 1]))
+        first = ends[done - 1] - (overlap if 0 < overlap <= ends[done - 1] - first else 0)
+    return out
+
+
+def joined_short(bounds: list[tuple[int, int]], size: int, least: int) -> list[list[tuple[int, int]]]:
+    """Chunks under ``least`` words put to the one before, and a first one that stays short to the next, up to 1.5 times the size together."""
+    length = lambda parts: sum(e - s for s, e in parts)
+    fits = lambda parts, more: length(parts) + length(more) <= int(size * 1.5)
+    groups: list[list[tuple[int, int]]] = []
+    for part in bounds:
+        short = groups and length([part]) < least and fits(groups[-1], [part])
+        groups[-1:] = [groups[-1] + [part]] if short else groups[-1:] + [[part]]
+    if len(groups) > 1 and length(groups[0]) < least and fits(*groups[:2]):
+        groups = [groups[0] + groups[1], *groups[2:]]
+    return groups
 
 
 def chunk_text(text: str | None, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> list[str]:
-    """Chunks of whole sentences of about ``size`` words, each beginning with the last ``overlap`` of the one before; short ones join a neighbour up to 1.5 times the size."""
-    full: list[list[str]] = []
-    held: list[str] = []
-    for words in filter(None, (s.split() for s in _SENTENCE.split(text or ""))):
-        if held and len(held) + len(words) > size:
-            full.append(held)
-            held = held[-overlap:] if 0 < overlap <= len(held) else []
-        held = held + words
-    if held:
-        full.append(held)
-    joined: list[list[str]] = []
-    most = int(size * 1.5)
-    for words in full:
-        if joined and len(words) < least and len(joined[-1]) + len(words) <= most:
-            joined[-1] = joined[-1] + words
-        else:
-            joined.append(words)
-    if len(joined) > 1 and len(joined[0]) < least and len(joined[0]) + len(joined[1]) <= most:
-        joined[:2] = [joined[0] + joined[1]]
-    return [" ".join(words) for words in joined]
+    """Chunks of whole sentences of about ``size`` words, each beginning with the last ``overlap`` of the one before; short ones join a neighbour."""
+    sentences = [s.split() for s in _SENTENCE.split(text or "")]
+    words = list(chain.from_iterable(sentences))
+    ends = [n for n, s in zip(accumulate(map(len, sentences)), sentences) if s]
+    return [" ".join(chain.from_iterable(words[s:e] for s, e in group)) for group in joined_short(chunk_bounds(ends, size, overlap), size, least)]
 
 
 def message_blocks(text: str) -> list[str]:
@@ -46,22 +58,16 @@ def message_blocks(text: str) -> list[str]:
 
 
 def chunk_messages(text: str | None, size: int = SIZE, overlap: int = 3) -> list[str]:
-    """Chunks of whole messages ending at the boundary nearest to ``size`` words; the next shares ``overlap`` messages but always gets on."""
+    """Chunks of whole messages ending at the boundary nearest to ``size`` words (the earlier of two alike); the next shares ``overlap`` messages but always gets on."""
     blocks = message_blocks(text or "")
-    counts, out, first = [len(b.split()) for b in blocks], [], 0
+    total = [0, *accumulate(len(b.split()) for b in blocks)]
+    out, first = [], 0
     while first < len(blocks):
-        last, total = first, counts[first]
-        while last + 1 < len(blocks):
-            more = total + counts[last + 1]
-            if more > size and more - size >= size - total:
-                break
-            last, total = last + 1, more
-            if more > size:
-                break
-        out.append("\n".join(blocks[first : last + 1]))
-        if last + 1 == len(blocks):
-            break
-        first = max(last + 1 - max(0, overlap), first + 1)
+        under = bisect_right(total, total[first] + size) - 1
+        gap = lambda at: abs(total[at] - total[first] - size)
+        end = max(under, first + 1) if under in (first, len(blocks)) else min((under, under + 1), key=gap)
+        out.append("\n".join(blocks[first:end]))
+        first = len(blocks) if end == len(blocks) else max(end - max(0, overlap), first + 1)
     return out
 
 
@@ -82,14 +88,12 @@ def estimate(text: str | None) -> int:
 
 def split_windows(times: list[float], texts: list[str | None], gap: float = 1800, most: int = 512, overlap: int = 3) -> list[list[int]]:
     """Positions of the messages in each window: a longer gap closes one; so does reaching ``most`` tokens, and then the next begins with the last ``overlap`` messages."""
-    windows: list[list[int]] = []
-    held: list[int] = []
-    for k in sorted(range(len(times)), key=times.__getitem__):
-        if held and times[k] - times[held[-1]] > gap:
-            windows.append(held)
-            held = []
-        elif held and sum(estimate(texts[j]) for j in held) + estimate(texts[k]) >= most:
-            windows.append(held)
-            held = held[-overlap:] if overlap > 0 else []
-        held = held + [k]
-    return windows + [held] if held else windows
+    order = sorted(range(len(times)), key=times.__getitem__)
+    total = [0, *accumulate(estimate(texts[k]) for k in order)]
+    first, bounds = 0, []
+    for at in range(1, len(order)):
+        apart = times[order[at]] - times[order[at - 1]] > gap
+        if apart or total[at + 1] - total[first] >= most:
+            bounds.append((first, at))
+            first = at if apart else max(first, at - max(0, overlap))
+    return [order[s:e] for s, e in [*bounds, (first, len(order))] if s < e]

@@ -9,12 +9,70 @@ from ..functions import text as T
 
 #: Relations that triples may have, and what other words for them become.
 PREDICATES = (
-    "RELATED_TO WORKS_AT WORKS_FOR WORKS_ON KNOWS COLLABORATES_WITH USES USED_BY CREATED_BY CREATED PART_OF BELONGS_TO CONTAINS DEPENDS_ON IS_A HAS_A "
-    "LOCATED_IN MANAGES REPORTS_TO CONTRIBUTED_TO BASED_ON DERIVED_FROM ASSOCIATED_WITH FOUNDED FUNDED_BY PUBLISHED AUTHORED EMPLOYED_BY AFFILIATED_WITH "
-    "MEMBER_OF MENTIONS REFERENCES IMPLEMENTS EXTENDS INTEGRATES_WITH SUCCEEDED_BY PRECEDED_BY SAME_AS SIMILAR_TO OPPOSITE_OF INFLUENCED_BY SUPPORTS "
-    "CONFLICTS_WITH ACQUIRED_BY INVESTED_IN DEVELOPED_BY MAINTAINED_BY OWNED_BY LED_BY TAUGHT_BY ATTENDED PARTICIPATED_IN SPOKE_AT INSTALLED_VIA "
-    "CATEGORIZED_AS PROVIDES HAS_ROLE MEETS_WITH LOCATED_AT SENT_BY SENT_TO HOSTED_BY SCHEDULED_AT"
-).split()
+    "RELATED_TO",
+    "WORKS_AT",
+    "WORKS_FOR",
+    "WORKS_ON",
+    "KNOWS",
+    "COLLABORATES_WITH",
+    "USES",
+    "USED_BY",
+    "CREATED_BY",
+    "CREATED",
+    "PART_OF",
+    "BELONGS_TO",
+    "CONTAINS",
+    "DEPENDS_ON",
+    "IS_A",
+    "HAS_A",
+    "LOCATED_IN",
+    "MANAGES",
+    "REPORTS_TO",
+    "CONTRIBUTED_TO",
+    "BASED_ON",
+    "DERIVED_FROM",
+    "ASSOCIATED_WITH",
+    "FOUNDED",
+    "FUNDED_BY",
+    "PUBLISHED",
+    "AUTHORED",
+    "EMPLOYED_BY",
+    "AFFILIATED_WITH",
+    "MEMBER_OF",
+    "MENTIONS",
+    "REFERENCES",
+    "IMPLEMENTS",
+    "EXTENDS",
+    "INTEGRATES_WITH",
+    "SUCCEEDED_BY",
+    "PRECEDED_BY",
+    "SAME_AS",
+    "SIMILAR_TO",
+    "OPPOSITE_OF",
+    "INFLUENCED_BY",
+    "SUPPORTS",
+    "CONFLICTS_WITH",
+    "ACQUIRED_BY",
+    "INVESTED_IN",
+    "DEVELOPED_BY",
+    "MAINTAINED_BY",
+    "OWNED_BY",
+    "LED_BY",
+    "TAUGHT_BY",
+    "ATTENDED",
+    "PARTICIPATED_IN",
+    "SPOKE_AT",
+    "INSTALLED_VIA",
+    "CATEGORIZED_AS",
+    "PROVIDES",
+    "HAS_ROLE",
+    "MEETS_WITH",
+    "LOCATED_AT",
+    "SENT_BY",
+    "SENT_TO",
+    "HOSTED_BY",
+    "SCHEDULED_AT",
+)
 SYNONYMS = {
     "ATTENDS": "ATTENDED",
     "ATTENDEE": "ATTENDED",
