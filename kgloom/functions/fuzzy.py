@@ -47,8 +47,8 @@ def threshold(name: Column) -> Column:
     return F.when(length < 4, 100.0).when(length < 6, 95.0).otherwise(88.0)
 
 
-def similar_pairs(names: DataFrame, floor: float, id_col: str = "id", name_col: str = "name") -> DataFrame:
-    """Pairs a < b of rows whose ratio reaches both the floor and the threshold of each name: (a, b, name_a, name_b, score).
+def similar_pairs(names: DataFrame, floor: float, id_col: str = "id", name_col: str = "name", by_length: bool = True) -> DataFrame:
+    """Pairs a < b of rows whose ratio reaches both the floor and, ``by_length``, the threshold of each name: (a, b, name_a, name_b, score).
 
     Distinct prepared names are compared; further rows of one name are linked to its first, so a name that many rows share costs a row each. Blocking loses nothing:
     a common subsequence is no longer than the overlap of both multisets of characters, and two sets with an overlap of at least o share an element among the n - o + 1 rarest of each.
@@ -72,7 +72,7 @@ def similar_pairs(names: DataFrame, floor: float, id_col: str = "id", name_col:
     in_reach = (F.least("n_a", "n_b") * 200.0 >= (F.col("n_a") + F.col("n_b")) * t - 1e-9) & (F.col("id_a") < F.col("id_b"))
     pairs = a.join(b, "tag").where(in_reach).drop("tag").dropDuplicates(["key_a", "key_b"])
     scored = pairs.withColumn("score", sorted_ratio("key_a", "key_b"))
-    enough = F.greatest(F.lit(t), threshold(F.col("name_a")), threshold(F.col("name_b")))
+    enough = F.greatest(F.lit(t), threshold(F.col("name_a")), threshold(F.col("name_b"))) if by_length else F.lit(t)
     between = scored.where(F.col("score") >= enough).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "name_a", "name_b", "score")
     same = named.alias("x").join(keys.alias("y"), "key").where("x.id > y.id").select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), F.col("y.name").alias("name_a"), F.col("x.name").alias("name_b"), F.lit(100.0).alias("score"))
     return between.unionByName(same)

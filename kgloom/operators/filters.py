@@ -6,6 +6,7 @@ import fnmatch
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,9 +71,9 @@ def glob_regex(patterns: list[str]) -> str:
     return "(?s)" + "|".join(out) if out else "(?!)"
 
 
-@F.udf(StringType())
-def _composed(s):
-    return None if s is None else unicodedata.normalize("NFC", s)
+@F.pandas_udf(StringType())
+def _composed(paths: pd.Series) -> pd.Series:
+    return paths.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
 def matches_any(path: Column, patterns: list[str]) -> Column:
@@ -110,15 +111,31 @@ def retag(queue: DataFrame, exclude: list[str], index_only: list[str]) -> DataFr
     return queue.withColumn("tag", F.when(matches_any(path, exclude), "exclude").when(matches_any(path, index_only), "index_only").otherwise("normal"))
 
 
+#: Functions that reach out of the data, and table names that read files.
+_OUTSIDE = ("reflect", "java_method", "try_reflect", "input_file_name", "read_files")
+
+
+def _tree(plan) -> str:
+    return plan.treeString()
+
+
 def read_only(spark: SparkSession, statement: str, limit: int = 1000) -> DataFrame:
-    """Runs one SELECT or WITH statement, with a limit where it has none; anything else is refused before it runs."""
-    plain = unicodedata.normalize("NFKC", statement)
-    plain = re.sub(r"/\*.*?\*/|--[^\n]*", " ", plain, flags=re.DOTALL).strip().rstrip(";")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(plain)
-    if not re.match(r"(?i)(select|with)\b", plain) or re.search(r"(?i)\b(insert|create|drop|merge|delete|update|alter|truncate|load|cache|refresh|set)\s", re.sub(r"'[^']*'|`[^`]*`", "", plain)) or "Command" in plan.getClass().getName():
-        raise ValueError("only SELECT statements are run")
-    df = spark.sql(plain)
-    return df if re.search(r"(?i)\blimit\s+\d+\s*$", plain) else df.limit(limit)
+    """Runs one SELECT or WITH statement, with a limit where it has none; anything else is refused before it runs.
+
+    The parsed plan decides, not the text: commands, writes, functions that call out of the data and tables named by a path (``parquet.`/x```) are refused.
+    """
+    state = spark._jsparkSession.sessionState()
+    plan = state.sqlParser().parsePlan(re.sub(r"[\u00a0\u2000-\u200b\u202f\u3000\ufeff]", " ", statement).strip().rstrip(";"))
+    unresolved = _tree(plan)
+    names = {m.lower() for m in re.findall(r"'([A-Za-z_][\w]*)\(", unresolved)}
+    tables = re.findall(r"UnresolvedRelation \[([^\]]*)\]", unresolved)
+    kinds = set(re.findall(r"(?m)^[\s:+|-]*'?([A-Z]\w+)", unresolved))
+    by_path = [t for t in tables if re.search(r"[/\\:]|\.", t.split(",")[-1])]
+    outside = names & set(_OUTSIDE)
+    if "Command" in plan.getClass().getName() or any(k.endswith("Command") or k.startswith(("Insert", "Create", "Drop", "Delete", "Update", "Merge", "Set", "Cache", "Truncate", "Alter", "Load", "Refresh", "ScriptTransformation")) for k in kinds) or outside or by_path:
+        raise ValueError("only SELECT statements over tables are run")
+    df = spark.sql(statement.strip().rstrip(";"))
+    return df if kinds & {"GlobalLimit", "LocalLimit"} and plan.getClass().getSimpleName() in ("GlobalLimit", "LocalLimit") else df.limit(limit)
 
 
 def safe_name(name: str) -> str:

@@ -96,39 +96,48 @@ def bridge_entities(entities: DataFrame, persons: DataFrame) -> DataFrame:
     return same_as(found.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "score"), "entity_person_bridge", F.col("score") / 100.0)
 
 
-def match_lists(left: list[dict], right: list[dict], least: float = 0.0) -> list[tuple]:
-    """Of two ordered lists of names with mails: exact name, then mail, then fuzzy name; a right one is used once. (name_a, name_b, confidence, match_type)."""
-    name_at = {r["name"].lower(): k for k, r in enumerate(right)}
-    mail_at = {r["email"].lower().strip(): k for k, r in enumerate(right) if r.get("email")}
-    used: set[int] = set()
-    out = []
-    sort = lambda n: " ".join(sorted(n.lower().split()))
-    for one in left:
-        name, mail = one["name"], (one.get("email") or "").lower().strip()
-        for at, confidence, kind in ((name_at.get(name.lower()), 1.0, "exact"), (mail_at.get(mail) if mail else None, 0.95, "email")):
-            if at is not None and at not in used:
-                break
-        else:
-            need = 100.0 if len(name.strip()) < 4 else 95.0 if len(name.strip()) < 6 else 88.0
-            score, neg = max(((fuzzy.ratio(sort(name), sort(r["name"])), -k) for k, r in enumerate(right) if k not in used), default=(0.0, 1))
-            if neg > 0 or score < need or score / 100 < least:
-                continue
-            at, confidence, kind = -neg, score / 100, "fuzzy"
-        used.add(at)
-        out.append((name, right[at]["name"], confidence, kind))
-    return out
+def in_turn(wishes: list[tuple]) -> list[tuple]:
+    """Of wishes (left position, stage, -score, right position, ...): each left one in turn gets its first wish that is still free."""
+    got: dict = {}
+    for wish in sorted(wishes):
+        if wish[0] not in got and wish[3] not in {w[3] for w in got.values()}:
+            got[wish[0]] = wish
+    return list(got.values())
+
+
+#: Stages of a match across sources, in order, and the confidence of the first two; a fuzzy match has its ratio's.
+STAGES = ("exact", "email", "fuzzy")
+EXACT, BY_EMAIL, LEAST_RATIO = 1.0, 0.95, 88.0
 
 
 def cross_source(entities: DataFrame, block: str, least: float = 0.0) -> DataFrame:
-    """Greedy one-to-one matches between the sources of each block (name, email, source, pos). The greedy order is sequential, so a block is one group: block finely."""
+    """One-to-one matches between the sources of each block (name, email, source, pos): by equal name, else by address, else by most similar name; in order of pos.
+
+    Wishes come from equi-joins, and from similar names that were found whatever the block; only they, not the entities, are gathered for a pair of sources.
+    """
+    e = entities.select(F.col(block).cast("string").alias("block"), "source", F.col("pos").cast("long").alias("pos"), "name", F.lower(F.trim("email")).alias("mail"), F.lower("name").alias("low"), fuzzy.token_sorted(F.col("name")).alias("key"))
+    mail = F.when(T.valid_email(F.col("mail")), F.col("mail"))
+    left = e.select("block", F.col("source").alias("source_a"), F.col("pos").alias("at_a"), F.col("name").alias("entity_a"), F.col("low").alias("low_a"), mail.alias("mail_a"), F.col("key").alias("key_a"))
+    right = e.select(F.col("block").alias("in"), F.col("source").alias("source_b"), F.col("pos").alias("at_b"), F.col("name").alias("entity_b"), F.col("low").alias("low_b"), mail.alias("mail_b"), F.col("key").alias("key_b"))
+    # of equal names or addresses in a source the last one is meant
+    last = lambda key: right.where(F.col(key).isNotNull()).groupBy("in", "source_b", key).agg(F.max_by(F.struct("at_b", "entity_b"), "at_b").alias("r")).select("in", "source_b", key, "r.*")
+    here = (F.col("block") == F.col("in")) & (F.col("source_a") < F.col("source_b"))
+    wish = lambda df, stage, score: df.select("block", "source_a", "source_b", "at_a", F.lit(stage).alias("stage"), score.alias("score"), "at_b", "entity_a", "entity_b")
+    exact = wish(left.join(last("low_b"), here & (F.col("low_a") == F.col("low_b"))), 0, F.lit(100 * EXACT))
+    mailed = wish(left.join(last("mail_b"), here & (F.col("mail_a") == F.col("mail_b"))), 1, F.lit(100 * BY_EMAIL))
+    keys = e.where("key <> ''").groupBy("key").agg(F.min("name").alias("name")).withColumnRenamed("key", "id")
+    pairs = fuzzy.similar_pairs(keys, LEAST_RATIO, by_length=False)
+    near = pairs.select("a", "b", "score").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(keys.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(100.0).alias("score")))
+    alike = left.join(near, F.col("key_a") == F.col("a")).join(right, here & (F.col("key_b") == F.col("b")))
+    fuzzed = wish(alike.where((F.col("score") >= fuzzy.threshold(F.col("entity_a"))) & (F.col("score") >= 100 * least)), 2, F.col("score"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["source", "pos"])
-        sources = [g.to_dict("records") for _, g in group.groupby("source", sort=True)]
-        rows = [(group[block].iloc[0], *m) for k, a in enumerate(sources) for b in sources[k + 1 :] for m in match_lists(a, b, least)]
+        names = dict(zip(group["at_a"], group["entity_a"])), dict(zip(group["at_b"], group["entity_b"]))
+        got = in_turn(list(zip(group["at_a"], group["stage"], -group["score"], group["at_b"])))
+        rows = [(group["block"].iloc[0], names[0][a], names[1][b], -score / 100, STAGES[stage]) for a, stage, score, b in got]
         return pd.DataFrame(rows, columns=["block", "entity_a", "entity_b", "confidence", "match_type"])
 
-    return entities.groupBy(block).applyInPandas(run, "block string, entity_a string, entity_b string, confidence double, match_type string")
+    return exact.unionByName(mailed).unionByName(fuzzed).groupBy("block", "source_a", "source_b").applyInPandas(run, "block string, entity_a string, entity_b string, confidence double, match_type string")
 
 
 def resolve_document(new: list[dict], known: list[dict]) -> list[dict]:
@@ -153,9 +162,13 @@ def resolve_document(new: list[dict], known: list[dict]) -> list[dict]:
 
 
 def resolve_entities(entities: DataFrame, known: DataFrame) -> DataFrame:
-    """``resolve_document`` for each document's entities; candidates are known names that share a word with one of the document's."""
-    words = lambda df, c: df.withColumn("word", F.explode(F.array_distinct(T.word_tokens(F.col(c)))))
-    candidates = words(entities, "name").select("doc_id", "word").distinct().join(words(known, "name"), "word").select("doc_id", "name", "type", "confidence").distinct()
+    """``resolve_document`` for each document's entities; candidates are the known names that are equal or similar to one of the document's, found by blocking that loses none."""
+    keyed = lambda df: df.withColumn("key", fuzzy.token_sorted(F.col("name"))).where("key <> ''")
+    named, old = keyed(entities).select("doc_id", "key").distinct(), keyed(known)
+    keys = keyed(entities.select("name").unionByName(known.select("name"))).groupBy("key").agg(F.min("name").alias("name")).withColumnRenamed("key", "id")
+    pairs = fuzzy.similar_pairs(keys, LEAST_RATIO, by_length=False)
+    near = pairs.select(F.col("a").alias("key"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("key"), F.col("a").alias("near"))).unionByName(keys.select(F.col("id").alias("key"), F.col("id").alias("near")))
+    candidates = named.join(near, "key").drop("key").withColumnRenamed("near", "key").join(old, "key").select("doc_id", "name", "type", "confidence").distinct()
     e = entities.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "type", "confidence"))).alias("new"))
     c = candidates.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("name", "type", "confidence"))).alias("known"))
 
@@ -169,17 +182,28 @@ def resolve_entities(entities: DataFrame, known: DataFrame) -> DataFrame:
     return e.join(c, "doc_id", "left").mapInPandas(run, "doc_id string, name string, type string, confidence double, merged_into string")
 
 
-def self_identity(persons: DataFrame, mails: list[str]) -> DataFrame:
-    """Edges that make one of all persons with my addresses."""
-    mine = persons.where(T.canonical_email(F.col("email")).isin([m.strip().lower() for m in mails]))
-    return by_key(mine, F.lit("self"), "self_identity")
+def self_identity(persons: DataFrame, mails: list[str], name: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """All persons with my addresses, those that are missing included, and the edges that make one of them.
+
+    Persons get is_self; the first of mine by id is the one that survives and gets ``name`` where one is given.
+    """
+    spark = persons.sparkSession
+    own = spark.createDataFrame([(m,) for m in mails], "raw string").select(T.canonical_email(F.col("raw")).alias("mail")).where("mail <> ''").distinct()  # a person's few addresses
+    held = persons.withColumn("mail", T.canonical_email(F.col("email")))
+    missing = own.join(held.select("mail").distinct(), "mail", "left_anti").select(F.concat(F.lit("person:"), "mail").alias("source_id"), F.col("mail").alias("email"), "mail")
+    everyone = held.unionByName(missing, allowMissingColumns=True).join(own.withColumn("is_self", F.lit(True)), "mail", "left").withColumn("is_self", F.coalesce("is_self", F.lit(False))).drop("mail")
+    mine = everyone.where("is_self")
+    first = mine.agg(F.min("source_id").alias("_first"))  # one row
+    if name is not None:
+        everyone = everyone.join(F.broadcast(first), F.col("source_id") == F.col("_first"), "left").withColumn("name", F.when(F.col("_first").isNotNull(), F.lit(name)).otherwise(F.col("name"))).drop("_first")
+    return everyone, by_key(mine, F.lit("self"), "self_identity")
 
 
 def reconcile(persons: DataFrame, existing: DataFrame, never: DataFrame, mails: list[str] | None = None) -> DataFrame:
     """The whole chain: mail, chat id, name, self, then closure over all of it; blocked pairs get no edge."""
     found = by_email(persons, never).unionByName(by_chat_id(persons, never)).unionByName(by_name(persons, never))
     if mails:
-        found = found.unionByName(self_identity(persons, mails))
+        found = found.unionByName(self_identity(persons, mails)[1])
     pairs = found.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")).unionByName(existing.select("a", "b")).distinct()
     return found.unionByName(same_as(graph.closure(pairs, never), "transitive_closure", F.lit(None).cast("double")))
 

@@ -167,10 +167,25 @@ def test_find_person(spark):
     assert sorted(find("A@gmail.com")) == ["p1", "p3"] and sorted(find("slack-user:T/U1")) == ["p3", "p4"] and find("johnson alice") == ["p1", "p5", "p2"] and find("Zed") == []
 
 
-def test_match_lists_uses_each_once():
-    left = [{"name": "Ann"}, {"name": "ann"}, {"name": "Bert Q", "email": "B@x.org"}, {"name": "Alice Johnson"}]
-    right = [{"name": "ANN"}, {"name": "Someone", "email": "b@x.org"}, {"name": "Alice Johnso"}, {"name": "Alice Johnsa"}]
-    assert identity.match_lists(left, right) == [("Ann", "ANN", 1.0, "exact"), ("Bert Q", "Someone", 0.95, "email"), ("Alice Johnson", "Alice Johnso", 0.96, "fuzzy")]
+def test_cross_source_uses_each_once(spark):
+    left = [("Ann", None), ("ann", None), ("Bert Q", "B@x.org"), ("Alice Johnson", None), ("Cy", "not an address")]
+    right = [("ANN", None), ("Someone", "b@x.org"), ("Alice Johnso", None), ("Alice Johnsa", None), ("Dee", "not an address")]
+    rows = [("k", n, m, source, pos) for source, people in (("s1", left), ("s2", right)) for pos, (n, m) in enumerate(people)] + [("other", "ANN", None, "s2", 0)]
+    got = identity.cross_source(spark.createDataFrame(rows, "block string, name string, email string, source string, pos int"), "block").collect()
+    assert {(r.entity_a, r.entity_b, r.confidence, r.match_type) for r in got} == {("Ann", "ANN", 1.0, "exact"), ("Bert Q", "Someone", 0.95, "email"), ("Alice Johnson", "Alice Johnso", 0.96, "fuzzy")} and len(got) == 3
+
+
+def test_wishes_are_granted_in_turn():
+    """A later left one's better wish waits; one whose wishes are all taken gets none."""
+    wishes = [(0, 2, -90.0, 5), (0, 2, -95.0, 4), (1, 0, -100.0, 4), (1, 2, -91.0, 5), (2, 2, -99.0, 4)]
+    assert [w[:1] + w[3:] for w in identity.in_turn(wishes)] == [(0, 4), (1, 5)]
+
+
+def test_self_identity_makes_missing_persons(spark):
+    people = spark.createDataFrame([("p2", "Me", "Me+work@googlemail.com"), ("p1", "M", "me@gmail.com"), ("p3", "You", "you@x.org")], "source_id string, name string, email string")
+    everyone, edges = identity.self_identity(people, ["me+x@gmail.com", "other@x.org"], "My Name")
+    assert {(r.source_id, r.name, r.is_self) for r in everyone.collect()} == {("p2", "Me", True), ("p1", "My Name", True), ("p3", "You", False), ("person:other@x.org", None, True)}
+    assert {(r.src_id, r.dst_id) for r in edges.collect()} == {("p1", "p2"), ("p1", "person:other@x.org")}
 
 
 def test_resolve_in_order(spark):
@@ -248,6 +263,10 @@ def test_read_only(spark):
     for bad in ("DROP TABLE x", "INSERT INTO x VALUES (1)", "CREATE TABLE t AS SELECT 1", "SET a=b", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a"):
         with pytest.raises(Exception):
             filters.read_only(spark, bad)
+    for bad in ("SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT java_method('java.lang.System', 'nanoTime')", "SELECT * FROM parquet.`/tmp/x`", "SELECT a FROM (SELECT 1 AS a) WHERE a IN (SELECT value FROM text.`/etc/hosts`)"):
+        with pytest.raises(ValueError):
+            filters.read_only(spark, bad)
+    assert filters.read_only(spark, "SELECT '--not a comment' AS a LIMIT 3;").first().a == "--not a comment"
     assert filters.read_only(spark, "SELECT id FROM range(5000)").count() == 1000
 
 
