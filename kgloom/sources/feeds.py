@@ -9,9 +9,11 @@ from __future__ import annotations
 import json
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.types import ArrayType, StructType
 
 SCHEMA = "page int, item string"
 
@@ -114,22 +116,34 @@ def calendar_events(items: DataFrame, account: str) -> DataFrame:
     )
 
 
+_LEAVES = ArrayType(StructType().add("mime", "string").add("name", "string").add("data", "string").add("size", "long"))
+
+
+def message_parts(payload: dict) -> list[tuple]:
+    """(type, file name, data, size) of a message and all its parts, at any depth, in the order in which they are written."""
+    out, stack = [], [payload]
+    while stack:
+        part = stack.pop()
+        body = part.get("body") or {}
+        out.append((part.get("mimeType"), part.get("filename"), body.get("data"), body.get("size")))
+        stack += [p for p in reversed(part.get("parts") or []) if isinstance(p, dict)]
+    return out
+
+
+@F.pandas_udf(_LEAVES)
+def _leaves(items: pd.Series) -> pd.Series:
+    found = (json.loads(i).get("payload") if i else None for i in items)
+    return pd.Series([message_parts(p) if isinstance(p, dict) else [] for p in found])
+
+
 def mail_messages(items: DataFrame, account: str) -> DataFrame:
-    """Flat mail: headers by name, plain body before HTML, at whatever depth of parts up to three."""
-    part = lambda inner: f"mimeType:string,filename:string,body:struct<data:string,attachmentId:string,size:bigint>{inner}"
-    nested = part(f",parts:array<struct<{part(f',parts:array<struct<{part("")}>>')}>>")
-    schema = f"id string, threadId string, historyId string, internalDate string, payload struct<headers:array<struct<name:string,value:string>>,{nested}>"
-    m = items.select(F.from_json("item", schema).alias("m")).select("m.*")
+    """Flat mail: headers by name, plain body before HTML, at whatever depth of parts."""
+    schema = "id string, threadId string, historyId string, internalDate string, payload struct<headers:array<struct<name:string,value:string>>>"
+    m = items.select(F.from_json("item", schema).alias("m"), _leaves("item").alias("leaves")).select("m.*", "leaves")
     header = lambda name: F.get(F.filter("payload.headers", lambda h: F.lower(h["name"]) == name), F.lit(0))["value"]
-    leaf = lambda p: F.struct(p["mimeType"].alias("mime"), p["filename"].alias("name"), p["body"]["data"].alias("data"), p["body"]["size"].alias("size"))
-    none = F.array().cast("array<struct<mime:string,name:string,data:string,size:bigint>>")
-    top = F.array(leaf(F.col("payload")))
-    one = F.coalesce(F.transform("payload.parts", leaf), none)
-    two = F.coalesce(F.flatten(F.transform("payload.parts", lambda p: F.coalesce(F.transform(p["parts"], leaf), none))), none)
-    leaves = F.concat(top, one, two)
     text = lambda kind: F.get(F.filter("leaves", lambda p: (p["mime"] == kind) & p["data"].isNotNull()), F.lit(0))["data"]
     decoded = lambda c: F.make_valid_utf8(F.unbase64(F.translate(c, "-_", "+/")).cast("string"))
-    return m.withColumn("leaves", leaves).select(
+    return m.select(
         F.concat(F.lit(f"gmail://{account}/message/"), "id").alias("source_id"),
         F.col("threadId").alias("thread_id"), F.col("historyId").cast("long").alias("history_id"),
         header("subject").alias("subject"), header("from").alias("sender"), header("to").alias("recipients"), header("date").alias("date"),

@@ -25,7 +25,12 @@ TABLES = {
 
 
 class Store:
-    """The versions of the tables in a shared folder."""
+    """The versions of the tables in a shared folder.
+
+    A write puts new versions beside the old ones and then a head, the next number's, that names all tables. A head is created whole under another name and renamed, and none is ever
+    replaced: after a crash at any step the last head that was renamed still names whole tables. Then heads and versions that neither this head nor the one before names are removed, so
+    readers of the head before stay safe. One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -33,27 +38,41 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _names(self) -> dict[str, str]:
-        head = self._path(f"{self.folder}/head.json")
-        if not self._fs.exists(head):
-            return {}
-        return json.loads(self.spark.read.text(head.toString(), wholetext=True).first()[0])
+    def _heads(self) -> list[int]:
+        if not self._fs.exists(self._path(self.folder)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.folder))]
+        return sorted(int(n[5:-5]) for n in names if n.startswith("head-") and n.endswith(".json") and n[5:-5].isdecimal())
+
+    def _names(self, head: int | None = None) -> dict[str, str]:
+        heads = self._heads() if head is None else [head]
+        return json.loads(self.spark.read.text(f"{self.folder}/head-{heads[-1]}.json", wholetext=True).first()[0]) if heads else {}
 
     def read(self, name: str) -> DataFrame:
         version = self._names().get(name)
         return self.spark.createDataFrame([], TABLES[name]) if version is None else self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{version}")
 
     def write(self, **tables: DataFrame) -> None:
-        names = self._names()
+        heads, names = self._heads(), self._names()
         for name, df in tables.items():
             version = f"{name}-{uuid.uuid4().hex}"
             df.write.parquet(f"{self.folder}/{version}")
             names[name] = version
-        out = self._fs.create(self._path(f"{self.folder}/head.new"), True)
+        made = self._path(f"{self.folder}/new-{uuid.uuid4().hex}")
+        out = self._fs.create(made, False)
         out.write(json.dumps(names).encode())
         out.close()
-        self._fs.delete(self._path(f"{self.folder}/head.json"), False)
-        self._fs.rename(self._path(f"{self.folder}/head.new"), self._path(f"{self.folder}/head.json"))
+        if not self._fs.rename(made, self._path(f"{self.folder}/head-{(heads or [0])[-1] + 1}.json")):
+            raise OSError("the tables' next head is there already: two writers")
+        self._clean(heads, names)
+
+    def _clean(self, heads: list[int], names: dict[str, str]) -> None:
+        named = set(names.values()) | (set(self._names(heads[-1]).values()) if heads else set())
+        stay = named | {f"head-{n}.json" for n in (heads[-1:] + [(heads or [0])[-1] + 1])}
+        for found in self._fs.listStatus(self._path(self.folder)):
+            name = found.getPath().getName()
+            if name not in stay and (name.startswith(("head-", "new-")) or name.split("-")[0] in TABLES):
+                self._fs.delete(found.getPath(), True)
 
 
 def apply_batch(store: Store, events: DataFrame, label: str = "File", embedder=None) -> None:

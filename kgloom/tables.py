@@ -14,6 +14,8 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isEmpty() and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if held.isEmpty():
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kgloom-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()

@@ -4,6 +4,7 @@ import base64
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from kgloom.operators import clustering
@@ -155,3 +156,46 @@ def test_clusters_of_separable_vectors(spark):
     found = {r.id: r.cluster for r in clustering.cluster_embeddings(df, k=3).collect()}
     assert len({found[0], found[1], found[2]}) == 3 and all(found[k] == found[k % 3] for k in range(90))
     assert clustering.cluster_embeddings(df.limit(5)).count() == 0
+
+
+def test_mail_parts_at_any_depth(spark):
+    import base64
+    import json
+
+    encoded = lambda s: base64.urlsafe_b64encode(s.encode()).decode()
+    leaf = {"mimeType": "text/plain", "body": {"data": encoded("deep ünder")}}
+    for kind in ("multipart/alternative", "multipart/related", "multipart/mixed", "multipart/mixed"):
+        leaf = {"mimeType": kind, "body": {}, "parts": [leaf, {"mimeType": "application/pdf", "filename": f"{kind[10:]}.pdf", "body": {"size": 9}}]}
+    item = json.dumps({"id": "m", "threadId": "t", "historyId": "5", "payload": {**leaf, "headers": [{"name": "Subject", "value": "s"}]}})
+    row = feeds.mail_messages(spark.createDataFrame([(item,), (json.dumps({"id": "n"}),)], "item string"), "a").orderBy("source_id").collect()
+    assert row[0].plain == "deep ünder" and {a.name for a in row[0].attachments} == {"alternative.pdf", "related.pdf", "mixed.pdf"} and row[0].subject == "s"
+    assert row[1].plain is None and row[1].attachments == []
+
+
+def test_store_keeps_its_tables_when_a_write_dies(spark, tmp_path, monkeypatch):
+    store = ingest.Store(spark, f"file://{tmp_path}/store")
+    rows = lambda n: spark.createDataFrame([(f"c{k}", "d", k, "t") for k in range(n)], ingest.TABLES["chunks"])
+    store.write(chunks=rows(2))
+
+    class Dying:
+        """A file system that fails at the step named."""
+
+        def __init__(self, fs, step):
+            self.fs, self.step = fs, step
+
+        def __getattr__(self, name):
+            if name == self.step:
+                raise KeyboardInterrupt(name)
+            return getattr(self.fs, name)
+
+    for step in ("create", "rename", "delete"):
+        broken = ingest.Store(spark, f"file://{tmp_path}/store")
+        broken._fs = Dying(broken._fs, step)
+        with pytest.raises(KeyboardInterrupt):
+            broken.write(chunks=rows(7))
+            broken.write(chunks=rows(7))
+            broken.write(chunks=rows(7))
+        assert store.read("chunks").count() == (7 if step == "delete" else 2)
+    store.write(chunks=rows(3))
+    store.write(chunks=rows(4))
+    assert store.read("chunks").count() == 4 and len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("chunks")]) == 2
