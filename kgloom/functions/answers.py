@@ -55,10 +55,11 @@ def triples(answer: Column) -> Column:
 
 def unfenced(answer: Column) -> Column:
     """An answer without the code fence around it."""
-    body = F.trim(answer)
+    blanks = F.lit(" \t\r\n")
+    body = F.trim(answer, blanks)
     lines = F.split(body, "\n")
     inner = F.filter(F.slice(lines, 2, F.size(lines)), lambda x: F.trim(x) != "```")
-    return F.when(body.startswith("```"), F.trim(F.array_join(inner, "\n"))).otherwise(body)
+    return F.when(body.startswith("```"), F.trim(F.array_join(inner, "\n"), blanks)).otherwise(body)
 
 
 def image_answer(answer: Column) -> Column:

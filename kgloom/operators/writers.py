@@ -102,7 +102,7 @@ def predicate(raw: Column) -> Column:
     """Upper case with underscores, synonyms replaced, RELATED_TO where it isn't allowed."""
     name = F.replace(F.upper(F.trim(raw)), F.lit(" "), F.lit("_"))
     name = F.coalesce(T.lookup(SYNONYMS, name), name)
-    return F.when(name.isin(PREDICATES), name).otherwise("RELATED_TO")
+    return F.when(name.isin(*PREDICATES), name).otherwise("RELATED_TO")
 
 
 def latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -88,10 +88,9 @@ def digest(spark, sf_dir):
     return activity.digest(D.activity(spark, sf_dir), ts(SINCE), ts(UNTIL))
 
 
-@query("SELECT count(*) AS new_connections FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-06-30')")
+@query("SELECT count(*) AS new_connections FROM lineitem WHERE l_linenumber <> 1 AND l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-06-30'")
 def new_cross_label_edges(spark, sf_dir):
-    made = D.table(spark, sf_dir, "lineitem").where(F.col("l_shipdate").between(ts("1996-01-01"), ts("1996-06-30"))).select("l_orderkey", "l_partkey").distinct()
-    rows = made.selectExpr("'Email' AS src_label", "'Application' AS dst_label", "timestamp_ntz'1996-02-01' AS created_at")
+    rows = D.table(spark, sf_dir, "lineitem").selectExpr("'Email' AS src_label", "IF(l_linenumber = 1, 'Email', 'Application') AS dst_label", "l_shipdate AS created_at")
     return activity.new_connections(rows, ts("1996-01-01"), ts("1996-06-30"))
 
 
@@ -147,21 +146,21 @@ def vector_topk_filtered(spark, sf_dir):
 
 @query(f"""WITH {VEC}, g AS (SELECT 'v' || lpad(l_linenumber::VARCHAR, 6, '0') AS source_id, l_linenumber AS pos FROM lineitem WHERE l_orderkey = 7 GROUP BY 1, 2),
 h AS (SELECT source_id, row_number() OVER (ORDER BY score DESC, source_id) AS pos FROM (SELECT v.source_id, {COS.format(a='v.vector', b='q.vector')} AS score FROM v, (SELECT vector FROM v WHERE vec_id = 0) q) ORDER BY pos LIMIT 20)
-SELECT 0 AS lane, pos::INT AS pos, source_id FROM g UNION ALL SELECT 1, pos::INT, source_id FROM h WHERE source_id NOT IN (SELECT source_id FROM g) AND (contains(source_id, '1') OR contains(source_id, '2'))""")
+SELECT 0 AS lane, pos::INT AS pos, source_id FROM g UNION ALL SELECT 1, pos::INT, source_id FROM h WHERE source_id NOT IN (SELECT source_id FROM g) AND (contains(source_id, '1') OR contains(source_id, '2')) AND pos % 3 <> 2""")
 def hybrid_merge(spark, sf_dir):
     g = D.table(spark, sf_dir, "lineitem").where("l_orderkey = 7").selectExpr("concat('v', lpad(l_linenumber, 6, '0')) AS source_id", "l_linenumber AS pos").distinct()
     hits = search.vector_search(D.vectors(spark, sf_dir), _query_vector(spark, sf_dir), 20)
-    ranked = hits.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "source_id"))).withColumn("date", F.lit(""))  # twenty rows
+    ranked = hits.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "source_id"))).withColumn("date", F.expr("element_at(array('2020-06-01T10:00:00Z', '2021-06-01', ''), cast((pos + 2) % 3 + 1 AS int))"))  # twenty rows
     import datetime
 
     return search.hybrid_merge(g, ranked, (datetime.date(2020, 1, 1), datetime.date(2020, 12, 31)), ["1", "2"])
 
 
-@query("""SELECT conv_id, score AS rerank_score FROM (SELECT conv_id, (list_contains(w, 'the')::INT + list_contains(w, 'que')::INT + list_contains(w, 'und')::INT) / 3.0::DOUBLE AS score
-FROM (SELECT conv_id, regexp_split_to_array(lower(text), '\\s+') AS w FROM conversations WHERE turn = 0)) WHERE score >= 0.3 ORDER BY score DESC, conv_id LIMIT 20""")
+@query("""SELECT row_id, score AS rerank_score FROM (SELECT row_id, (list_contains(w, 'the')::INT + list_contains(w, 'que')::INT + list_contains(w, 'und')::INT) / 3.0::DOUBLE AS score
+FROM (SELECT conv_id * 1000000 + turn AS row_id, regexp_split_to_array(lower(text), '\\s+') AS w FROM conversations)) WHERE score >= 0.3 ORDER BY score DESC, row_id LIMIT 20""")
 def rerank_threshold(spark, sf_dir):
-    rows = D.table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", "text")
-    return V.rerank(rows, "the que und", 20, 0.3, pos_col="conv_id").select("conv_id", "rerank_score")
+    rows = D.table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000000 + turn AS row_id", "text")
+    return V.rerank(rows, "the que und", 20, 0.3, pos_col="row_id").select("row_id", "rerank_score")
 
 
 @query(f"""WITH {VEC}, s AS (SELECT * FROM v ORDER BY source_id LIMIT 20),
@@ -190,10 +189,10 @@ def central_members(spark, sf_dir):
     return V.central_members(D.vectors(spark, sf_dir), "label", "vec_id").select("cluster", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query(f"WITH {CENTROID} SELECT app, cluster, round(score, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY app ORDER BY score DESC, cluster)::INT AS r FROM (SELECT vec_id AS app, cluster, {COS.format(a='embedding', b='centroid')} AS score FROM embeddings, c WHERE vec_id % 20 = 0) WHERE score >= 0.1) WHERE r <= 3")
+@query(f"WITH {CENTROID} SELECT app, cluster, round(score, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY app ORDER BY score DESC, cluster)::INT AS r FROM (SELECT vec_id AS app, cluster, {COS.format(a='embedding', b='centroid')} AS score FROM embeddings, c) WHERE score >= 0.1) WHERE r <= 3")
 def app_topic_link(spark, sf_dir):
     v = D.vectors(spark, sf_dir)
-    return clustering.link_apps(v.where("vec_id % 20 = 0").selectExpr("vec_id AS app", "vector"), V.centroid_arrays(v, "label"), least=0.1).select("app", "cluster", F.round("score", 6).alias("score"), "rank")
+    return clustering.link_apps(v.selectExpr("vec_id AS app", "vector"), V.centroid_arrays(v, "label"), least=0.1).select("app", "cluster", F.round("score", 6).alias("score"), "rank")
 
 
 @query()
@@ -350,8 +349,9 @@ def snapshot_diff(spark, sf_dir):
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents d WHERE NOT (doc_id % 4 = 0)")
 def content_hash_skip(spark, sf_dir):
-    docs = D.table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
-    return docs.join(docs.where("doc_id % 4 = 0"), ["doc_id", "content_hash"], "left_anti")
+    docs = D.table(spark, sf_dir, "documents")
+    indexed = docs.select("doc_id", T.content_hash(F.expr("IF(doc_id % 4 = 0, text, concat(text, ' then'))")).alias("content_hash"))
+    return docs.select("doc_id", T.content_hash(F.col("text")).alias("content_hash")).join(indexed, ["doc_id", "content_hash"], "left_anti")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)")
@@ -374,18 +374,18 @@ def predicate_normalise(spark, sf_dir):
     return D.table(spark, sf_dir, "events").select("event_id", writers.predicate(raw).alias("rel"))
 
 
-@query("SELECT DISTINCT 'mail:' || l_orderkey AS src_id, 'supp:' || l_suppkey AS dst_id FROM lineitem WHERE l_linenumber <= 4")
+@query("SELECT DISTINCT 'mail:' || l_orderkey AS src_id, 'supp:' || l_suppkey AS dst_id FROM lineitem")
 def edge_merge(spark, sf_dir):
     lines = D.table(spark, sf_dir, "lineitem")
     shape = lambda df: df.selectExpr("'Email' AS src_label", "concat('mail:', l_orderkey) AS src_id", "'MENTIONS' AS rel", "'Person' AS dst_label", "concat('supp:', l_suppkey) AS dst_id")
-    return writers.merge_edges(shape(lines.where("l_linenumber <= 2")).distinct(), shape(lines.where("l_linenumber BETWEEN 2 AND 4"))).select("src_id", "dst_id")
+    return writers.merge_edges(shape(lines.where("l_linenumber <= 2")).distinct(), shape(lines.where("l_linenumber >= 2"))).select("src_id", "dst_id")
 
 
-@query("SELECT p_name AS name FROM (SELECT DISTINCT p_name, p_partkey FROM part WHERE p_partkey % 3 = 0) WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1)")
+@query("SELECT doc_id::VARCHAR AS name, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def orphan_entities(spark, sf_dir):
-    part = D.table(spark, sf_dir, "part").selectExpr("cast(p_partkey AS string) AS name", "p_name")
-    edges = D.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").selectExpr("cast(l_partkey AS string) AS dst_id")
-    return writers.orphans(part, edges, part.where("cast(name AS long) % 3 = 0")).select(F.col("p_name").alias("name"))
+    named = D.table(spark, sf_dir, "documents").selectExpr("cast(doc_id AS string) AS name", "source")
+    edges = D.table(spark, sf_dir, "labels").selectExpr("cast(doc_id AS string) AS dst_id")
+    return writers.orphans(named, edges, named)
 
 
 @query("SELECT conv_id || ':chunk:' || turn AS chunk_id FROM conversations WHERE turn >= conv_id % 4")
@@ -416,12 +416,12 @@ def queue_page(spark, sf_dir):
     return Q.page(D.queue(spark, sf_dir), 50, 25, newest=True).select("id", "source_type")
 
 
-@query("""SELECT 'user:' || user_id AS source_id, id FROM (SELECT user_id, arg_max(event_id, ts) AS id FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+@query("""SELECT 'user:' || user_id AS source_id, id FROM (SELECT user_id, arg_max(event_id, ts) AS id FROM events GROUP BY user_id)
 WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click' AND user_id % 2 = 0) AND NOT (user_id % 5 = 0 AND id % 2 = 0)""")
 def queue_enqueue(spark, sf_dir):
     q = D.queue(spark, sf_dir)
     user = F.substring("source_id", 6, 20).cast("long")
-    new = q.where("source_type = 'purchase'").withColumn("operation", F.when(F.col("id") % 2 == 0, "created").otherwise("modified")).drop("status", "attempts")
+    new = q.withColumn("operation", F.when(F.col("id") % 2 == 0, "created").otherwise("modified")).drop("status", "attempts")
     return Q.enqueue(q.where("source_type = 'click'").where(user % 2 == 0), new, q.where(user % 5 == 0).select("source_id")).select("source_id", "id")
 
 
