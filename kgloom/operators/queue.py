@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .writers import latest
@@ -72,3 +72,37 @@ def failures(log: DataFrame, source_type: str | None = None, limit: int = 50) ->
 
 def counters(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.sum("n").alias("n")).where("n > 0")
+
+
+#: Requests are counted over this many seconds up to and with each one.
+LIMIT_SECONDS = 60
+#: Shares of a day's tokens at which the budget warns and ends.
+WARN_SHARE, HARD_SHARE = 0.80, 1.00
+
+
+def request_rate(requests: DataFrame, per_minute: int, *by: str) -> DataFrame:
+    """Requests (``at`` timestamp) with the number within the last 60 seconds, themselves included, and whether that is more than allowed."""
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    recent = Window.partitionBy(*by).orderBy(micros).rangeBetween(-LIMIT_SECONDS * 1_000_000 + 1, 0)
+    return requests.withColumn("recent", F.count("*").over(recent)).withColumn("over", F.col("recent") > per_minute)
+
+
+def token_budget(requests: DataFrame, daily: int, *by: str) -> DataFrame:
+    """Tokens used on each UTC day (``at``, ``tokens``) and the state of the budget: ok, warned, exhausted."""
+    used = requests.groupBy(*by, F.to_date("at").alias("day")).agg(F.sum("tokens").alias("used"))
+    share = F.col("used") / F.lit(float(daily))
+    return used.withColumn("state", F.when(share >= HARD_SHARE, "exhausted").when(share >= WARN_SHARE, "warned").otherwise("ok"))
+
+
+def import_cursors(cursors: DataFrame, files: DataFrame) -> DataFrame:
+    """Cursors (key, value) with those of old files that are valid JSON and not known yet."""
+    # the parser ignores what follows a value; inside of both brackets it does not
+    within = lambda a, b: F.try_parse_json(F.concat(F.lit(a), "value", F.lit(b))).isNotNull()
+    valid = files.where(within("[", "]") & within('{"x":', "}")).select("key", "value")
+    return cursors.select("key", "value").unionByName(valid.join(cursors.select("key"), "key", "left_anti"))
+
+
+def to_prune(archives: DataFrame, keep: int) -> DataFrame:
+    """Archives (name, created_at) but for the newest ``keep``."""
+    rank = F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("name")))  # a folder's few archives
+    return archives.withColumn("rank", rank).where(F.col("rank") > keep).drop("rank")

@@ -240,3 +240,49 @@ def brief(events: DataFrame, tasks: DataFrame, threads: DataFrame) -> DataFrame:
     rows = events.join(listed.withColumnRenamed("event_id", "source_id"), "source_id", "left").join(threads.select(F.col("event_id").alias("source_id"), "unit"), "source_id", "left")
     text = F.concat_ws("\n", F.concat("title", F.lit(" ("), "start_ts", F.lit(")")), F.concat(F.lit("With: "), F.array_join("attendees", ", ")), F.concat(F.lit("Tasks:\n"), "task_text"), F.concat(F.lit("Thread: "), "unit"))
     return rows.select("source_id", text.alias("brief"))
+
+
+# Characters shown of a chat and of a meeting's description.
+SHOWN_CHAT, SHOWN_DESCRIPTION = 200, 1000
+
+
+def _shown(text: Column, most: int) -> Column:
+    kept = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n"))
+    return F.when(F.length(kept) > most, F.concat(F.rtrim(F.substring(kept, 1, most), F.lit(" \t\r\n")), F.lit("…"))).otherwise(kept)
+
+
+def _section(rows: DataFrame, pos: int, head: Column | str, line: Column, *order: Column | str, empty: str | None = "(none)") -> DataFrame:
+    """One row (pos, text): a heading, which may count the rows as {n}, and a line for each of a brief's few rows; without rows ``empty``, or no section at all."""
+    numbered = rows.select(F.row_number().over(Window.orderBy(*order)).alias("k"), line.alias("line"))
+    whole = numbered.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"), F.count("*").alias("n"))
+    title = F.replace(head if isinstance(head, Column) else F.lit(head), F.lit("{n}"), F.col("n").cast("string"))
+    body = F.when(F.col("n") > 0, F.col("body")).otherwise(F.lit(empty))
+    return whole.where(F.lit(empty is not None) | (F.col("n") > 0)).select(F.lit(pos).alias("pos"), F.concat(title, F.lit("\n"), body).alias("text"))
+
+
+def brief_text(name: str, mail: str, sources: DataFrame, tasks: DataFrame, threads: DataFrame, chats: DataFrame, topics: DataFrame, since_label: str, note: str | None = None, meeting: DataFrame | None = None) -> DataFrame:
+    """The pre-meeting brief as one text. Sections are the rows of ``source_count``, ``open_tasks``, ``outstanding_threads``, ``unanswered_mentions`` (with channel, last_ts, text),
+    ``active_topics`` and ``meeting_context``; a person's note and the meeting are left out where there is none."""
+    who = f"{name or '(unnamed)'}{f' <{mail}>' if mail else ''} — "
+    some = lambda column, before, after="": F.when(F.coalesce(column, F.lit("")) != "", F.concat(F.lit(before), column, F.lit(after)))
+    task = F.concat_ws(" ", F.concat(F.lit("- "), "title"), some(F.col("project"), "(project: ", ")"), some(F.col("due"), "due "), F.when(F.col("flagged"), "[flagged]"))
+    said = _shown(F.regexp_replace(F.col("text"), "\n", " "), SHOWN_CHAT)
+    chat = F.concat(F.lit("- #"), "channel", F.lit(" @ "), F.col("last_ts").cast("string"), F.when(said != "", F.concat(F.lit(" — "), said)).otherwise(""))
+    parts = [
+        _section(sources, 0, "[Identity]", F.concat(F.lit(who), F.col("sources").cast("string"), F.lit(" sources")), F.lit(1)),
+        _section(tasks, 1, "[Open OmniFocus tasks ({n})]", task, F.desc("flagged"), F.asc_nulls_last("due"), F.col("task_id")),
+        _section(threads, 2, f"[Outstanding email threads (last {since_label}, {{n}})]", F.concat(F.lit("- "), "subject", F.lit(" (last reply "), "last_date", F.lit(")")), F.desc("last_date"), F.col("thread")),
+        _section(chats, 3, f"[Unresolved Slack mentions of you (last {since_label}, {{n}})]", chat, F.desc("last_ts"), F.col("channel")),
+        _section(topics, 4, f"[Top active topics (last {since_label})]", F.concat(F.lit("- "), "topic_name", F.lit(" ("), F.col("doc_count").cast("string"), F.lit(" docs)")), F.desc("doc_count"), F.col("topic_name")),
+    ]
+    spark = sources.sparkSession
+    if note is not None:
+        parts.append(spark.range(1).select(F.lit(5).alias("pos"), F.lit("[Obsidian People note]\n" + note.strip()).alias("text")))
+    if meeting is not None:
+        listed = lambda c, before: F.when(F.size(c) > 0, F.concat(F.lit(before), F.array_join(c, ", ")))
+        lines = F.concat_ws("\n", F.concat(F.lit("Event: "), "summary"), some(F.col("start_time"), "When: "), some(F.col("location"), "Where: "), listed("attendees", "Attendees: "), some(_shown(F.col("description"), SHOWN_DESCRIPTION), "Description:\n"), listed("attachments", "Attachments: "))
+        parts.append(_section(meeting, 6, "[Upcoming meeting context]", lines, F.col("event_id"), empty=None))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n"), F.lit("\n")).alias("text"))

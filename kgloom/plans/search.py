@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -11,6 +13,8 @@ from ..operators.graph import without_existing
 
 MOST_TOPICS, MOST_DOCUMENTS, MOST_GAPS = 500, 200, 500
 SEEDS, NEIGHBOURS, THRESHOLD, LIMIT = 20, 10, 0.82, 20
+# Results of a search, hits taken before a reranker, what is said of nothing.
+MOST_RESULTS, BEFORE_RERANK, NOTHING = 100, 50, "No results found."
 
 
 def list_topics(topics: DataFrame, tagged: DataFrame, source: str | None = None) -> DataFrame:
@@ -58,6 +62,61 @@ def context_text(graph_rows: DataFrame, hits: DataFrame) -> DataFrame:
     return graph.where("n > 0").unionByName(vector.where("n > 0")).select("text")
 
 
+def first_rows(hits: DataFrame, k: int | None = None, pos_col: str = "pos") -> DataFrame:
+    """What a reranker that changes nothing gives: the first ``k`` hits in their order."""
+    ordered = hits.orderBy(pos_col)
+    return ordered if k is None else ordered.limit(max(0, k))
+
+
+def ordered_ids(rows: DataFrame) -> DataFrame:
+    """Each source_id once, in the order of its first row: (pos, source_id). The rows are one search's results."""
+    first = rows.where("source_id IS NOT NULL AND source_id <> ''").groupBy("source_id").agg(F.min(F.struct("lane", "pos")).alias("at"))
+    return first.select(F.row_number().over(Window.orderBy("at", "source_id")).alias("pos"), "source_id")
+
+
+def search(
+    question: str,
+    graph_rows: DataFrame,
+    vectors: DataFrame,
+    embed: Callable[[list[str]], list[list[float]]],
+    k: int = 10,
+    source_type: str | None = None,
+    scorer: V.Scorer | None = None,
+    window=None,
+    folders: list[str] | None = None,
+) -> DataFrame:
+    """Graph rows (pos, source_id, line), then the vector hits that they don't cover: (lane, pos, source_id, source_type, line, score).
+
+    ``vectors``: source_id, source_type, text, date, vector. With a ``scorer`` more hits are taken and reranked to ``k``. An empty question is an error.
+    """
+    if not question.strip():
+        raise ValueError("the question is empty")
+    k = max(1, min(int(k), MOST_RESULTS))
+    hits = vector_search(vectors, V.literal(embed([question])[0]), BEFORE_RERANK if scorer else k, source_type)
+    by_score = lambda df, score: df.withColumn("pos", F.row_number().over(Window.orderBy(F.desc(score), *(["pos"] if "pos" in df.columns else ["source_id"]))))  # noqa: E731  at most a thousand rows
+    hits = by_score(hits, "score")
+    if scorer:
+        uncovered = hits.join(graph_rows.select("source_id"), "source_id", "left_anti").select("source_id", "source_type", "text", "date", "score", "pos")
+        hits = by_score(V.rerank(uncovered, question, k, scorer=scorer).withColumn("score", F.col("rerank_score")), "score")
+    merged = hybrid_merge(graph_rows, hits, window, folders)
+    said = hits.select(F.lit(1).alias("lane"), F.col("pos").cast("int").alias("pos"), "source_type", F.col("text").alias("line"), "date", "score")
+    known = graph_rows.select(F.lit(0).alias("lane"), F.col("pos").cast("int").alias("pos"), "line")
+    told = known.unionByName(said, allowMissingColumns=True)
+    return merged.join(told, ["lane", "pos"]).select("lane", "pos", "source_id", "source_type", "line", "date", "score").orderBy("lane", "pos")
+
+
+def search_page(found: DataFrame) -> DataFrame:
+    """What a search says as one text: graph context, semantic context, sources."""
+    graph = found.where("lane = 0").select("pos", "line")
+    hits = found.where("lane = 1").select("pos", "source_type", "source_id", "date", F.col("line").alias("text"))
+    sources = ordered_ids(found).agg(F.array_sort(F.collect_list(F.struct("pos", "source_id"))).alias("s")).where(F.size("s") > 0)
+    listed = sources.select(F.concat(F.lit("[Sources]\n"), F.array_join(F.transform("s", lambda x: x["source_id"]), "\n")).alias("text"))
+    parts = context_text(graph, hits).unionByName(listed)
+    order = F.when(F.col("text").startswith("[Graph"), 0).when(F.col("text").startswith("[Semantic"), 1).otherwise(2)
+    page = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    return page.select(F.when(F.col("text") == "", NOTHING).otherwise(F.col("text")).alias("text"))
+
+
 def confidence(n: int) -> str:
     return "none" if n == 0 else "sparse" if n < 3 else "good"
 

@@ -119,15 +119,69 @@ def render_chat(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("["), chat_clock(m["ts"]), F.lit("] "), F.coalesce(m["user"], F.lit("")), F.lit(": "), F.coalesce(m["text"], F.lit("")))), "\n")
 
 
+FRONT = r"\A---[ \t]*\r?\n(?s:(.*?))\r?\n---[ \t]*(?:\r?\n|\z)"
+
+
+def front_matter(text: Column) -> Column:
+    """The lines between the two rules that a note may begin with, else ''."""
+    return F.regexp_extract(text, FRONT, 1)
+
+
+def _unquoted(value: Column) -> Column:
+    return F.regexp_replace(F.trim(value), r"""^(["'])(.*)\1$""", "$2")
+
+
+def front_values(front: Column, key: str) -> Column:
+    """Values of a key: one after the colon, a list in brackets, or a line with a dash for each; none if the key is not there. Nested keys are not read."""
+    line = F.trim(F.regexp_extract(front, rf"(?m)^{key}:[ \t]*(.*?)[ \t]*$", 1))
+    block = F.regexp_extract(front, rf"(?m)^{key}:[ \t]*\r?\n((?:[ \t]*-[ \t]+.*(?:\r?\n|\z))+)", 1)
+    dashes = F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), F.lit(1)), _unquoted)
+    inside = F.transform(F.split(F.regexp_extract(line, r"^\[(.*)\]$", 1), ","), _unquoted)
+    one = F.when(line.rlike(r"^\[.*\]$"), inside).when(line != "", F.array(_unquoted(line))).otherwise(dashes)
+    return F.filter(one, lambda x: x != "")
+
+
+def note_properties(files: DataFrame, categories_key: str = "categories") -> DataFrame:
+    """(source_id, title, aliases, created, updated, categories, tags, emails, web_clip, source_url) that notes say of themselves; null or empty where they don't."""
+    front = front_matter(F.col("text"))
+    first = lambda key: F.get(front_values(front, key), F.lit(0))
+    url = F.coalesce(first("url"), first("source_url"))
+    mails = F.flatten(F.transform(front_values(front, "emails"), lambda x: F.split(x, ",")))
+    return files.select(
+        "source_id", first("title").alias("title"), front_values(front, "aliases").alias("aliases"), first("created").alias("created"), first("updated").alias("updated"),
+        front_values(front, categories_key).alias("categories"), F.filter(F.transform(front_values(front, "tags"), lambda t: F.ltrim(t, F.lit("#"))), lambda t: t != "").alias("tags"),
+        F.array_distinct(F.filter(F.transform(mails, T.canonical_email), lambda m: m.contains("@"))).alias("emails"), url.isNotNull().alias("web_clip"), url.alias("source_url"),
+    )
+
+
 @parser("obsidian")
 def notes(files: DataFrame) -> DataFrame:
-    """Wiki links, tags outside of code, addresses and source links of notes (source_id, vault, text)."""
-    bare = files.withColumn("text", F.regexp_replace("text", r"(?s)\A---\n.*?\n---\n", ""))
+    """Wiki links, tags outside of code, addresses and source links of notes (source_id, vault, text), and what their front matter says: tags, addresses, and a tag ``category/name`` for each category."""
+    bare = files.withColumn("text", F.regexp_replace("text", FRONT, ""))
     prose = F.regexp_replace("text", r"(?s)```.*?```|`[^`\n]*`", " ")
     linked = bare.withColumn("_l", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<!!)\[\[([^\]|#]+)"), F.lit(1)))))
     tagged = bare.withColumn("_t", F.explode(F.array_distinct(F.regexp_extract_all(prose, F.lit(r"(?:^|\s)#([A-Za-z][\w/-]*)"), F.lit(1)))))
     target = F.concat_ws("/", "vault", F.concat(F.trim("_l"), F.lit(".md")))
-    return hints(linked, "File", "LINKS_TO", "File", target).unionByName(hints(tagged, "File", "TAGGED_BY_USER", "Tag", F.col("_t"))).unionByName(mentions(bare, "File"))
+    said = note_properties(files)
+    name = F.regexp_replace(F.regexp_extract("source_id", r"([^/]*)$", 1), r"\.[^.]*$", "")
+    told = said.withColumn("_t", F.explode("tags"))
+    filed = said.withColumn("_c", F.explode("categories")).withColumn("_t", F.concat(F.lit("omnifocus-tag:"), F.col("_c"), F.lit("/"), name))
+    people = said.withColumn("_m", F.explode("emails"))
+    return (
+        hints(linked, "File", "LINKS_TO", "File", target)
+        .unionByName(hints(tagged, "File", "TAGGED_BY_USER", "Tag", F.col("_t")))
+        .unionByName(hints(told, "File", "TAGGED_BY_USER", "Tag", F.col("_t")))
+        .unionByName(hints(filed, "File", "TAGGED_BY_USER", "Tag", F.col("_t")))
+        .unionByName(hints(people, "File", "MENTIONS", "Person", person(F.col("_m"))))
+        .unionByName(mentions(bare, "File"))
+        .distinct()
+    )
+
+
+def attachment_counters(attachments: DataFrame, *by: str) -> DataFrame:
+    """Attachments (``indexed`` boolean) that were meant to be read, were read, and are known by name alone."""
+    read = F.coalesce(F.col("indexed"), F.lit(False))
+    return attachments.groupBy(*by).agg(F.count("*").alias("intended"), F.count_if(read).alias("indexed"), F.count_if(~read).alias("metadata_only"))
 
 
 def embeds(text: Column) -> Column:
@@ -176,6 +230,25 @@ def applications(rows: DataFrame) -> DataFrame:
     )
 
 
+@parser("homebrew")
+def packages(rows: DataFrame) -> DataFrame:
+    """Packages (source_id, kind, binaries, bundle_id): commands and way of installing; a cask is an application, and the same as the bundle that it brought."""
+    formulae, casks = rows.where("kind = 'formula'"), rows.where("kind = 'cask'")
+    tools = formulae.withColumn("_b", F.explode("binaries"))
+    return (
+        hints(tools, "Tool", "PROVIDES", "Command", F.concat(F.lit("command:"), F.col("_b")))
+        .unionByName(hints(formulae, "Tool", "INSTALLED_VIA", "Source", F.lit("source:brew_formula")))
+        .unionByName(hints(casks, "Application", "INSTALLED_VIA", "Source", F.lit("source:brew_cask")))
+        .unionByName(hints(casks.where("bundle_id <> ''"), "Application", "SAME_AS", "Application", F.concat(F.lit("app://"), F.col("bundle_id"))))
+    )
+
+
+def package_text(name: Column, version: Column, description: Column) -> Column:
+    """``name (v1.2) — description``, without what is missing."""
+    shown = F.when(F.coalesce(version, F.lit("")) != "", F.concat(name, F.lit(" (v"), version, F.lit(")"))).otherwise(name)
+    return F.array_join(F.filter(F.array(shown, description), lambda x: x != ""), " — ")
+
+
 _REQUIREMENT = re.compile(r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(.*?)\s*(?:;.*)?$")
 
 
