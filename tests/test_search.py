@@ -37,7 +37,7 @@ def test_candidates_by_fuzzy_word(spark):
 
 
 def _vectors(spark):
-    rows = [(f"d{k}", "file" if k % 2 else "mail", f"text {k}", "", [1.0, float(k)]) for k in range(8)]
+    rows = [(f"d{k}", "slack" if k % 2 else "gmail", f"text {k}", "", [1.0, float(k)]) for k in range(8)]
     return spark.createDataFrame(rows, "source_id string, source_type string, text string, date string, vector array<double>")
 
 
@@ -46,13 +46,13 @@ def test_search_covers_graph_first(spark):
     found = search.search("q", graph, _vectors(spark), lambda texts: [[1.0, 0.0]], k=3)
     assert [(r.lane, r.source_id, r.line) for r in found.collect()] == [(0, "d1", "one"), (0, "d9", "nine"), (1, "d0", "text 0"), (1, "d2", "text 2")]
     page = search.search_page(found).first().text
-    assert page == "[Graph context]\n- one\n- nine\n\n[Semantic context]\n- [mail] d0\n  text 0\n- [mail] d2\n  text 2\n\n[Sources]\nd1\nd9\nd0\nd2"
+    assert page == "[Graph context]\n- one\n- nine\n\n[Semantic context]\n- [gmail] d0\n  text 0\n- [gmail] d2\n  text 2\n\n[Sources]\nd1\nd9\nd0\nd2"
 
 
 def test_search_reranks_and_filters(spark):
     none = spark.createDataFrame([], "pos int, source_id string, line string")
     last_first = lambda q, texts: [float(t.split()[1]) for t in texts]
-    found = search.search("q", none, _vectors(spark), lambda texts: [[1.0, 0.0]], k=2, source_type="mail", scorer=last_first)
+    found = search.search("q", none, _vectors(spark), lambda texts: [[1.0, 0.0]], k=2, source_type="gmail", scorer=last_first)
     assert [r.source_id for r in found.orderBy("lane", "pos").collect()] == ["d6", "d4"]
     with pytest.raises(ValueError):
         search.search("  ", none, _vectors(spark), lambda texts: [[1.0, 0.0]])
