@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -82,14 +85,24 @@ def overlap_scorer(question: str, texts: list[str]) -> list[float]:
 
 
 def rerank(candidates: DataFrame, question: str, k: int, least: float = 0.0, scorer: Scorer = overlap_scorer, text_col: str = "text", pos_col: str = "pos") -> DataFrame:
-    """Candidates rescored in batches, dropped under ``least``, best first, earlier position first on ties."""
+    """Candidates rescored in batches, dropped under ``least``, best first, earlier position first on ties.
+
+    A scorer that fails, or gives another number of scores, leaves its batch unscored: these rows have no score, are not dropped, and keep their order behind the scored ones.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(rerank_score=[float(x) for x in scorer(question, batch[text_col].fillna("").tolist())])
+            texts = batch[text_col].fillna("").tolist()
+            try:
+                scores = [float(x) for x in scorer(question, texts)]
+            except Exception:
+                log.exception("the scorer failed; %d candidates keep their order", len(texts))
+                scores = []
+            yield batch.assign(rerank_score=pd.Series(scores if len(scores) == len(texts) else [None] * len(texts), index=batch.index, dtype="float64"))
 
     scored = candidates.mapInPandas(run, candidates.schema.simpleString()[7:-1] + ",rerank_score double")
-    return scored.where(F.col("rerank_score") >= least).orderBy(F.desc("rerank_score"), pos_col).limit(max(0, k))
+    scored = scored.withColumn("rerank_score", F.when(~F.isnan("rerank_score"), F.col("rerank_score")))
+    return scored.where((F.col("rerank_score") >= least) | F.col("rerank_score").isNull()).orderBy(F.desc_nulls_last("rerank_score"), pos_col).limit(max(0, k))
 
 
 def hashing_embedder(dims: int = 64) -> Callable[[list[str]], list[list[float]]]:
@@ -109,13 +122,55 @@ def hashing_embedder(dims: int = 64) -> Callable[[list[str]], list[list[float]]]
     return embed
 
 
-def embed_column(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]] | None = None, text_col: str = "text", batch: int = 64) -> DataFrame:
-    """``rows`` with a vector for each text; the model is called for ``batch`` texts at a time."""
+Embedder = Callable[[list[str]], list[list[float]]]
+# Characters of a text that are embedded, and of one that the model finds too long.
+LONGEST_EMBEDDED, LONGEST_AGAIN = 6000, 500
+
+
+class ContextOverflow(ValueError):
+    """An embedder raises this for a text that is longer than its context."""
+
+
+def fitted(text: str, most: int = LONGEST_EMBEDDED) -> str:
+    """What is embedded of a text: its beginning up to the last space, if that is in the second half."""
+    if len(text) <= most:
+        return text
+    space = text.rfind(" ", 0, most)
+    return text[: space if space > most // 2 else most]
+
+
+def embed_texts(model: Embedder, texts: list[str]) -> list[list[float] | None]:
+    """A vector for each text. Where a batch overflows its texts go one by one, and one that still does is cut short; null if even that is too long. Other errors are raised."""
+
+    def exact(part: list[str]) -> list[list[float]]:
+        vectors = model(part)
+        if len(vectors) != len(part):
+            raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
+        return vectors
+
+    def alone(text: str) -> list[float] | None:
+        for part in (text, text[:LONGEST_AGAIN]):
+            try:
+                return exact([part])[0]
+            except ContextOverflow:
+                continue
+        log.warning("a text of %d characters has no vector", len(text))
+        return None
+
+    short = [fitted(t) for t in texts]
+    try:
+        return list(exact(short)) if short else []
+    except ContextOverflow:
+        return [alone(t) for t in short]
+
+
+def embed_column(rows: DataFrame, embedder: Embedder | None = None, text_col: str = "text", batch: int = 64) -> DataFrame:
+    """``rows`` with a vector for each text, null where ``embed_texts`` gives none; the model is called for ``batch`` texts at a time."""
     model = embedder or hashing_embedder()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             texts = part[text_col].fillna("").tolist()
-            yield part.assign(vector=[v for k in range(0, len(texts), batch) for v in model(texts[k : k + batch])])
+            yield part.assign(vector=[v for k in range(0, len(texts), batch) for v in embed_texts(model, texts[k : k + batch])])
 
     return rows.mapInPandas(run, rows.schema.simpleString()[7:-1] + ",vector array<float>")

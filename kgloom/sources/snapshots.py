@@ -35,12 +35,19 @@ def task_changes(current: DataFrame, stored: DataFrame, fields: tuple[str, ...],
 
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*", max_bytes: int = 10 << 20, index_only: Column | None = None) -> DataFrame:
-    """path, mtime_ns, size and sha256 of the files under ``root``; hash '' for large files and those only listed. Content is read for hashed files alone."""
+    """path, mtime_ns, size and sha256 of the files under ``root``; hash '' for large files and those only listed. Two scans: one lists and never asks for content,
+    the other reads files up to ``max_bytes`` alone, as a filter on ``length`` reaches the source."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    listed = F.col("length") > max_bytes
-    if index_only is not None:
-        listed = listed | index_only
-    return files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"), F.when(listed, "").otherwise(F.sha2("content", 256)).alias("sha256"))
+    named = lambda rows, sha: rows.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"), sha.alias("sha256"))
+    small, hidden = F.col("length") <= max_bytes, F.lit(False) if index_only is None else F.coalesce(index_only, F.lit(False))
+    return named(files.where(~small | hidden), F.lit("")).unionByName(named(files.where(small).where(~hidden), F.sha2("content", 256)))
+
+
+def new_files(spark: SparkSession, root: str, glob: str = "*", max_files: int = 1000) -> DataFrame:
+    """A stream of created files (source_id, operation, mtime, size, content) under ``root``. It sees each path once: changes and deletions come from ``file_changes`` of two scans."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).load(root)
+    return stream.select(F.regexp_replace("path", "^file:(//)?", "").alias("source_id"), F.lit(OPERATIONS[0]).alias("operation"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
 
 
 def scan_vault(spark: SparkSession, root: str) -> DataFrame:

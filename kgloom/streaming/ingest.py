@@ -90,7 +90,7 @@ def apply_batch(store: Store, events: DataFrame, label: str = "File", embedder=N
     new_chunks = chunking.chunks(changed)
     new_edges = parsers.mentions(changed, label)
     gone = changed.select("source_id")
-    embedded = V.embed_column(new_chunks, embedder)
+    embedded = V.embed_column(new_chunks, embedder).where("vector IS NOT NULL")
     stale = gone.withColumnRenamed("source_id", "src_id")
     store.write(
         nodes=writers.upsert(nodes, fresh, ["source_id"]).select(*[c.split()[0] for c in TABLES["nodes"].split(", ")]),

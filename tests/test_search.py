@@ -136,3 +136,48 @@ def test_brief_text(spark):
     meeting = one("event_id string, summary string, description string, location string, start_time string, attendees array<string>, attachments array<string>", ("e", "Sync", " why ", None, "2024", ["a", "b"], []))
     text = people.brief_text("", "", **sections, since_label="7d", note=" kind ", meeting=meeting.withColumn("location", F.lit(None).cast("string"))).first().text
     assert text.startswith("[Identity]\n(unnamed) — 2 sources\n") and text.endswith("[Obsidian People note]\nkind\n\n[Upcoming meeting context]\nEvent: Sync\nWhen: 2024\nAttendees: a, b\nDescription:\nwhy\n")
+
+
+def test_embedding_falls_back_on_long_texts():
+    from kgloom.functions import vectors as V
+
+    def model(texts):
+        if any(len(t) > 600 for t in texts):
+            raise V.ContextOverflow
+        return [[float(len(t))] for t in texts]
+
+    assert V.embed_texts(model, ["ab", "x" * 700, "c"]) == [[2.0], [500.0], [1.0]] and V.embed_texts(model, []) == []
+    assert V.fitted("a " * 4000) == ("a " * 3000)[:-1] and V.fitted("x" * 7000) == "x" * 6000 and V.fitted("a b") == "a b"
+
+    def none(texts):
+        raise V.ContextOverflow
+
+    assert V.embed_texts(none, ["a"]) == [None]
+    with pytest.raises(ValueError):
+        V.embed_texts(lambda texts: [], ["a"])
+
+
+def test_a_failing_scorer_keeps_the_order(spark):
+    from kgloom.functions import vectors as V
+
+    rows = spark.createDataFrame([(k, f"t{k}") for k in range(4)], "pos int, text string").coalesce(1)
+
+    def broken(question, texts):
+        raise RuntimeError("gone")
+
+    for scorer in (broken, lambda q, texts: [1.0]):
+        got = V.rerank(rows, "q", 3, 0.5, scorer=scorer).collect()
+        assert [(r.pos, r.rerank_score) for r in got] == [(0, None), (1, None), (2, None)]
+
+
+def test_scan_and_stream_of_files(spark, tmp_path):
+    from kgloom.sources import snapshots
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name, size in (("a.md", 5), ("deep/b.md", 50), ("c.txt", 1)):
+        (tmp_path / "in" / name).write_text("x" * size)
+    got = {r.path.rsplit("/", 1)[1]: (r["size"], len(r.sha256)) for r in snapshots.scan_files(spark, str(tmp_path / "in"), max_bytes=10, index_only=F.col("path").endswith(".txt")).collect()}
+    assert got == {"a.md": (5, 64), "b.md": (50, 0), "c.txt": (1, 0)}
+    query = snapshots.new_files(spark, str(tmp_path / "in"), "*.md").writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).format("parquet").start(str(tmp_path / "out"))
+    query.awaitTermination(60)
+    assert {(r.source_id.rsplit("/", 1)[1], r.operation, len(r.content)) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a.md", "created", 5), ("b.md", "created", 50)}
