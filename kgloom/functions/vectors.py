@@ -44,13 +44,27 @@ def top_k(vectors: DataFrame, query: Column, k: int = 10, where: Column | None =
     return rows.withColumn("score", cosine(F.col(vector_col), query)).orderBy(F.desc("score"), F.asc(id_col)).limit(clamp_k(k))
 
 
+#: Seeds that are broadcast at once: with 4,096 dimensions of 8 bytes, 32 MB.
+SEED_BLOCK = 1000
+
+
 def neighbours(seeds: DataFrame, vectors: DataFrame, k: int, least: float, id_col: str = "source_id", vector_col: str = "vector") -> DataFrame:
-    """(seed, hit, score) of each seed's ``k`` best hits at or over ``least``, itself excluded. ``seeds`` is a stated, bounded set held against all vectors in blocks."""
+    """(seed, hit, score) of each seed's ``k`` best hits at or over ``least``, itself excluded; vectors without a number score nothing.
+
+    ``seeds`` is a stated set held against all vectors in blocks of about ``SEED_BLOCK``, so what is broadcast does not grow with the seeds.
+    """
     s = seeds.select(F.col(id_col).alias("seed"), F.col(vector_col).alias("sv"), norm(F.col(vector_col)).alias("sn"))
     v = vectors.select(F.col(id_col).alias("hit"), F.col(vector_col).alias("hv"), norm(F.col(vector_col)).alias("hn"))
     lengths = F.col("sn") * F.col("hn")
-    scored = v.join(F.broadcast(s), F.col("seed") != F.col("hit")).withColumn("score", F.when(lengths > 0, dot(F.col("sv"), F.col("hv")) / lengths).otherwise(0.0)).where(F.col("score") >= least)
-    best = scored.groupBy("seed", "hit").agg(F.max("score").alias("score"))
+    score = F.when(lengths > 0, dot(F.col("sv"), F.col("hv")) / lengths).otherwise(0.0)
+    blocks = max(1, -(-s.count() // SEED_BLOCK))
+    best = None
+    for block in range(blocks):
+        some = s.where(F.pmod(F.xxhash64("seed", "sv"), F.lit(blocks)) == block) if blocks > 1 else s
+        scored = v.join(F.broadcast(some), F.col("seed") != F.col("hit")).withColumn("score", score).where((F.col("score") >= least) & ~F.isnan("score"))
+        one = scored.groupBy("seed", "hit").agg(F.max("score").alias("score"))
+        best = one if best is None else best.unionByName(one)
+    best = best if blocks == 1 else best.groupBy("seed", "hit").agg(F.max("score").alias("score"))  # rows of one seed can fall into several blocks
     rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "hit"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy, text as T
+from ..functions import fuzzy, text as T, vectors as V
 from ..tables import written
 from . import graph
 
@@ -161,8 +161,18 @@ def resolve_document(new: list[dict], known: list[dict]) -> list[dict]:
     return out
 
 
-def resolve_entities(entities: DataFrame, known: DataFrame) -> DataFrame:
-    """``resolve_document`` for each document's entities; candidates are the known names that are equal or similar to one of the document's, found by blocking that loses none."""
+def same_by_embedding(names: DataFrame, known: DataFrame, embedder: V.Embedder) -> DataFrame:
+    """(name, same_as, score): the known name of highest cosine over the floor for each new name, ties by name. The new names are a batch's and are held in blocks against all known ones."""
+    embedded = lambda df: V.embed_column(df.select("name").where("name IS NOT NULL").distinct(), embedder, text_col="name").where("vector IS NOT NULL")
+    best = V.neighbours(embedded(names), embedded(known), 1, COSINE_FLOOR, id_col="name")
+    return best.where(F.col("score") > COSINE_FLOOR).select(F.col("seed").alias("name"), F.col("hit").alias("same_as"), "score")
+
+
+def resolve_entities(entities: DataFrame, known: DataFrame, embedder: V.Embedder | None = None) -> DataFrame:
+    """``resolve_document`` for each document's entities; candidates are the known names that are equal or similar to one of the document's, found by blocking that loses none.
+
+    With an ``embedder`` a name that is merged into none gets the known one of nearest meaning as ``same_as``: both names stay.
+    """
     keyed = lambda df: df.withColumn("key", fuzzy.token_sorted(F.col("name"))).where("key <> ''")
     named, old = keyed(entities).select("doc_id", "key").distinct(), keyed(known)
     keys = keyed(entities.select("name").unionByName(known.select("name"))).groupBy("key").agg(F.min("name").alias("name")).withColumnRenamed("key", "id")
@@ -179,7 +189,12 @@ def resolve_entities(entities: DataFrame, known: DataFrame) -> DataFrame:
                 rows += [(doc, r["name"], r["type"], r["confidence"], r["merged_into"]) for r in resolve_document([dict(x) for x in new], [dict(x) for x in (old if old is not None else [])])]
             yield pd.DataFrame(rows, columns=["doc_id", "name", "type", "confidence", "merged_into"])
 
-    return e.join(c, "doc_id", "left").mapInPandas(run, "doc_id string, name string, type string, confidence double, merged_into string")
+    merged = e.join(c, "doc_id", "left").mapInPandas(run, "doc_id string, name string, type string, confidence double, merged_into string")
+    if embedder is None:
+        return merged.withColumn("same_as", F.lit(None).cast("string"))
+    near = same_by_embedding(merged.where("merged_into IS NULL"), known, embedder).select("name", "same_as")
+    told = merged.join(near.withColumnRenamed("name", "_name"), F.col("merged_into").isNull() & (F.col("name") == F.col("_name")), "left")
+    return told.select(*merged.columns, "same_as")
 
 
 def self_identity(persons: DataFrame, mails: list[str], name: str | None = None) -> tuple[DataFrame, DataFrame]:

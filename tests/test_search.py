@@ -181,3 +181,24 @@ def test_scan_and_stream_of_files(spark, tmp_path):
     query = snapshots.new_files(spark, str(tmp_path / "in"), "*.md").writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).format("parquet").start(str(tmp_path / "out"))
     query.awaitTermination(60)
     assert {(r.source_id.rsplit("/", 1)[1], r.operation, len(r.content)) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a.md", "created", 5), ("b.md", "created", 50)}
+
+
+def test_entities_alike_in_meaning(spark):
+    from kgloom.operators import identity
+
+    near = {"Machine Learning": [1.0, 0.0], "ML": [0.99, 0.1], "Cooking": [0.0, 1.0], "Odd": [float("nan"), 1.0], "Statistics": [0.9, 0.435]}
+    e = spark.createDataFrame([("d", 0, "ML", None, 0.8), ("d", 1, "Cooking", "X", 0.5), ("e", 0, "machine learning", None, 0.5), ("e", 1, "Odd", None, 0.5), ("f", 0, "ML", None, 0.5)], "doc_id string, pos int, name string, type string, confidence double")
+    k = spark.createDataFrame([("Machine Learning", "Concept", 0.9), ("Statistics", "Concept", 0.9)], "name string, type string, confidence double")
+    got = {(r.doc_id, r.name, r.merged_into, r.same_as) for r in identity.resolve_entities(e, k, lambda texts: [near[t] for t in texts]).collect()}
+    assert got == {("d", "ML", None, "Machine Learning"), ("d", "Cooking", None, None), ("e", "Machine Learning", "Machine Learning", None), ("e", "Odd", None, None), ("f", "ML", None, "Machine Learning")}
+
+
+def test_neighbours_in_blocks_are_those_at_once(spark, monkeypatch):
+    from kgloom.functions import vectors as V
+
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(f"s{k % 30}", [rng.gauss(0, 1) for _ in range(4)]) for k in range(40)], "source_id string, vector array<double>")
+    found = lambda: sorted(tuple(r) for r in V.neighbours(rows, rows, 3, 0.5).collect())
+    at_once = found()
+    monkeypatch.setattr(V, "SEED_BLOCK", 7)
+    assert found() == at_once and len(at_once) > 30
