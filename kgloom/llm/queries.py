@@ -6,8 +6,9 @@ import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprint, language, line_dedup, media, mixing, packing, pii, secret_scan, simhash, toxicity
+from . import conversation, fill_middle, fingerprint, language, line_dedup, media, mixing, oracles, packing, passages, pii, secret_scan, simhash, toxicity
 from .common import read_table
 
 
@@ -36,8 +37,6 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     found = language.identify_languages(read_table(spark, sf_dir, "documents"))
     held_out = F.pmod(language.crc_of_id(), F.lit(language.FOLDS)) == language.HELD_OUT_FOLD
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
@@ -55,7 +54,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_toxicity, op3_secrets, op4_mixing, op5_line_dedup, op6_pii, op7_language, op8_simhash, op9_fingerprint, op10_packing)}
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.passage_report(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair_report(read_table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_toxicity, op3_secrets, op4_mixing, op5_line_dedup, op6_pii, op7_language, op8_simhash, op9_fingerprint, op10_packing, op11_passages, op12_fill_middle, op13_conversations)}
 
 def _secrets_sql() -> str:
     quoted = lambda p: p.replace("'", "''")
@@ -92,6 +106,9 @@ FROM d LEFT JOIN told ON d.doc_id = told.doc_id
 
 ORACLE: dict[str, str] = {
     "op3_secrets": _secrets_sql(),
+    "op11_passages": oracles.PASSAGES,
+    "op12_fill_middle": oracles.FILL_MIDDLE,
+    "op13_conversations": oracles.REPAIR,
     "op5_line_dedup": """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),

@@ -10,12 +10,14 @@ from .test_documents import ODD, prose
 
 CLASHING = ("raw", "found", "w", "part", "row", "fp", "range", "ahead", "gone", "size", "target", "full", "_text", "shard", "rejected", "i", "n", "p", "tie", "of", "_lines", "first")
 #: Rows of the result for each document row; packing gives a row for each piece instead.
-ROW_FOR_ROW = sorted(set(queries.QUERIES) - {"op10_packing"})
+ROW_FOR_ROW = sorted(set(queries.QUERIES) - {"op10_packing", "op13_conversations"})
+CONVERSATIONS = "conv_id long, turn long, role string, text string"
 
 
 def write(spark, docs, labels, folder):
     docs.write.parquet(str(folder / "documents.parquet"))
     labels.write.parquet(str(folder / "labels.parquet"))
+    docs.sparkSession.createDataFrame([], CONVERSATIONS).write.parquet(str(folder / "conversations.parquet"))
     return str(folder)
 
 
