@@ -92,6 +92,11 @@ def scratch():
             _scratch.remove((spark, path))
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that are over: it does so as soon as the driver's JVM has collected their plans."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

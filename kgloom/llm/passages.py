@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, shuffle_partitions
+from .common import Stored, release_shuffles, shuffle_partitions
 
 PHRASE, ANCHOR = 20, 10
 #: Odd multipliers of two independent polynomial hashes, and the factors of a 64-bit mixer.
@@ -192,17 +192,21 @@ def factors(docs: DataFrame) -> DataFrame:
     base, same = _of(bases.df, "doc_id", "hash")
     marked = Stored(spots.join(base, same).select("doc_id", "hash", "base", "spots"), "spots")
     found.drop()
+    release_shuffles(docs.sparkSession)
     spots, same = _of(marked.df, "doc_id", "hash")
     phrases = Stored(_each_once(keyed, repeats.df).join(spots, same).select("text", "spots", "base").mapInArrow(_index_phrases, PHRASES), "phrases")
     place = F.col("base") + F.col("start")
-    index = phrases.df.groupBy("h", "g").agg(F.min(place).alias("source"), F.max(place).alias("last")).where("last > source").select(F.col("h").alias("_h"), F.col("g").alias("_g"), "source")
-    met = phrases.df.join(index, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))).where(place > F.col("source")).select("base", "start", "source")
+    release_shuffles(docs.sparkSession)
+    index = Stored(phrases.df.groupBy("h", "g").agg(F.min(place).alias("source"), F.max(place).alias("last")).where("last > source").select(F.col("h").alias("_h"), F.col("g").alias("_g"), "source"), "index")
+    release_shuffles(docs.sparkSession)
+    met = phrases.df.join(index.df, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))).where(place > F.col("source")).select("base", "start", "source")
     parsed = met.repartition("base").sortWithinPartitions("base", "start").mapInArrow(_parse_documents, FACTORS)
     spans = parsed.groupBy("base").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     base, same = _of(bases.df, "base")
     out = Stored(spans.join(base, same).select("doc_id", "hash", "spans"), "factors").df
-    for table in (marked, phrases, bases, repeats):
+    for table in (marked, phrases, index, bases, repeats):
         table.drop()
+    release_shuffles(docs.sparkSession)
     return out
 
 
