@@ -11,6 +11,8 @@ hash; nothing is compared within a group.
 Only phrases that may occur twice are indexed. Each phrase is stood for by the least of the hashes of its ``PHRASE - ANCHOR + 1`` runs of ``ANCHOR`` words, one in about six of all runs; equal phrases have
 the same one, so a phrase whose run occurs once in the table cannot repeat. That leaves nothing out and saves most of the index.
 
+A document whose whole text (by two hashes of 64 bits) an earlier one has is a single factor, and is not indexed.
+
 Defined cases: a null text has no words; a text of fewer than ``PHRASE`` words loses none; rows that repeat both doc_id and text count as one document and lose the same words; rows of one doc_id, or of none, with
 different texts are documents of their own, in order of a hash of the text, those without an id first; a phrase may overlap its own source (a word repeated many times stays once as a phrase);
 an empty table gives no rows; columns of ``docs`` other than doc_id and text pass through ``dedup_passages`` untouched, whatever their names.
@@ -32,7 +34,7 @@ PHRASE, ANCHOR = 20, 10
 #: Odd multipliers of two independent polynomial hashes, and the factors of a 64-bit mixer.
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-RUNS = "doc_id long, hash long, n_words long, runs array<long>, at array<int>"
+RUNS = "doc_id long, hash long, other long, n_words long, runs array<long>, at array<int>"
 PHRASES = "h long, g int, base long, start int"
 FACTORS = "base long, start int, length int, source long"
 SPAN = "array<struct<start:int,length:int>>"
@@ -99,7 +101,7 @@ def _words(text: pa.Scalar) -> list[bytes]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(PHRASE), "text").alias("other"), "text")
 
 
 def _of(other: DataFrame, *keys: str) -> tuple[DataFrame, Column]:
@@ -119,7 +121,7 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(words))
             runs.append(found[0])
             at.append(found[1])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))], [c.split()[0] for c in RUNS.split(", ")])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "hash", "other")), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))], [c.split()[0] for c in RUNS.split(", ")])
 
 
 def _index_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +172,13 @@ def placed(keys: DataFrame) -> DataFrame:
     return cut.withColumn("before", before).join(F.broadcast(offsets), "part").select("doc_id", "hash", (F.col("before") + F.col("offset")).alias("base"))
 
 
+def _copies(keys: DataFrame) -> DataFrame:
+    """doc_id, hash and n_words of the documents whose whole text an earlier one has: one factor of ``PHRASE`` words or more."""
+    first = Stored(keys.groupBy("hash", "other").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("_hash"), F.col("other").alias("_other"), F.col("first.doc_id").alias("first")), "first")
+    same = (F.col("hash") == F.col("_hash")) & (F.col("other") == F.col("_other"))
+    return keys.where(F.col("n_words") >= PHRASE).join(first.df, same).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "hash", "n_words")
+
+
 def _each_once(docs: DataFrame, repeats: DataFrame) -> DataFrame:
     """``docs`` without the repeats of rows that have both doc_id and text in common."""
     if repeats.isEmpty():
@@ -183,14 +192,16 @@ def factors(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     found = Stored(keyed.mapInArrow(_find_runs, RUNS), "runs")
     runs = found.df
-    counted = runs.groupBy("doc_id", "hash").agg(F.max("n_words").alias("n_words"), F.count("*").alias("n"))
-    repeats = Stored(counted.where("n > 1").select("doc_id", "hash"), "repeats")
-    twice = runs.select(F.explode("runs").alias("_run")).groupBy("_run").agg(F.count("*").alias("n")).where("n > 1").select("_run")
+    counted = Stored(runs.groupBy("doc_id", "hash", "other").agg(F.max("n_words").alias("n_words"), F.count("*").alias("n")), "counted")
+    repeats = Stored(counted.df.where("n > 1").select("doc_id", "hash"), "repeats")
+    copies = Stored(_copies(counted.df), "copies")
+    twice = Stored(runs.select(F.explode("runs").alias("_run")).groupBy("_run").agg(F.count("*").alias("n")).where("n > 1").select("_run"), "twice")
     each = runs.select("doc_id", "hash", F.explode(F.arrays_zip("runs", "at")).alias("r")).select("doc_id", "hash", F.col("r.runs").alias("run"), F.col("r.at").alias("at"))
-    spots = each.join(twice, F.col("run") == F.col("_run")).groupBy("doc_id", "hash").agg(F.collect_set("at").alias("spots"))
-    bases = Stored(placed(counted.select("doc_id", "hash", "n_words")), "bases")
+    spots = each.join(twice.df, F.col("run") == F.col("_run")).groupBy("doc_id", "hash").agg(F.collect_set("at").alias("spots"))
+    bases = Stored(placed(counted.df.select("doc_id", "hash", "n_words")), "bases")
     base, same = _of(bases.df, "doc_id", "hash")
-    marked = Stored(spots.join(base, same).select("doc_id", "hash", "base", "spots"), "spots")
+    copied, as_copied = _of(copies.df.select("doc_id", "hash"), "doc_id", "hash")
+    marked = Stored(spots.join(copied, as_copied, "left_anti").join(base, same).select("doc_id", "hash", "base", "spots"), "spots")
     found.drop()
     release_shuffles(docs.sparkSession)
     spots, same = _of(marked.df, "doc_id", "hash")
@@ -203,8 +214,9 @@ def factors(docs: DataFrame) -> DataFrame:
     parsed = met.repartition("base").sortWithinPartitions("base", "start").mapInArrow(_parse_documents, FACTORS)
     spans = parsed.groupBy("base").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     base, same = _of(bases.df, "base")
-    out = Stored(spans.join(base, same).select("doc_id", "hash", "spans"), "factors").df
-    for table in (marked, phrases, index, bases, repeats):
+    whole = copies.df.select("doc_id", "hash", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("length"))).alias("spans"))
+    out = Stored(spans.join(base, same).select("doc_id", "hash", "spans").unionByName(whole), "factors").df
+    for table in (marked, phrases, index, bases, copies, repeats, twice, counted):
         table.drop()
     release_shuffles(docs.sparkSession)
     return out
