@@ -300,7 +300,8 @@ def failure_list(spark, sf_dir):
 
 
 @query("SELECT event_type, sum(event_id % 3)::BIGINT AS n FROM events GROUP BY 1 HAVING sum(event_id % 3) > 0")
-def attachment_counters(spark, sf_dir):
+def named_counters(spark, sf_dir):
+    """Counters that are not zero, by name."""
     return Q.counters(D.table(spark, sf_dir, "events").selectExpr("event_type", "event_id % 3 AS n"), "event_type")
 
 
@@ -368,10 +369,17 @@ def valid_addresses(spark, sf_dir):
     return rows.withColumn("valid", T.valid_email(F.col("mail")))
 
 
-@query("""SELECT p_partkey, p_partkey || CASE p_size % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.PDF' WHEN 2 THEN '.tar.gz' ELSE '' END AS name, CASE p_size % 4 WHEN 0 THEN 'md' WHEN 1 THEN 'pdf' WHEN 2 THEN 'gz' ELSE '' END AS extension,
-CASE p_size % 4 WHEN 0 THEN 'text/markdown' WHEN 1 THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime, CASE p_size % 4 WHEN 0 THEN 'MD' WHEN 1 THEN 'PDF' ELSE 'OCTET-STREAM' END AS label FROM part""")
+#: Endings of paths and what they are, every row of the table in turn, then some that are none of it.
+ENDINGS = [(f".{e}", e, m) for e, m in T.EXTENSION_MIMES.items()] + [(".PDF", "pdf", "application/pdf"), (".tar.gz", "gz", "application/octet-stream"), ("", "", "application/octet-stream"), ("/.md", "md", "application/octet-stream"), (".Yml", "yml", "text/yaml")]
+_CASE = lambda k: " ".join(f"WHEN {n} THEN '{e[k]}'" for n, e in enumerate(ENDINGS))
+
+
+@query(f"""SELECT p_partkey, CASE WHEN p_partkey % {len(ENDINGS)} = {[e[0] for e in ENDINGS].index("/.md")} THEN '.md' ELSE p_partkey || CASE p_partkey % {len(ENDINGS)} {_CASE(0)} END END AS name,
+CASE p_partkey % {len(ENDINGS)} {_CASE(1)} END AS extension, CASE p_partkey % {len(ENDINGS)} {_CASE(2)} END AS mime,
+CASE p_partkey % {len(ENDINGS)} {" ".join(f"WHEN {n} THEN '{T.MIME_LABELS.get(e[2], e[2].split('/')[1].upper())}'" for n, e in enumerate(ENDINGS))} END AS label FROM part""")
 def path_types(spark, sf_dir):
-    path = F.expr("concat('/h/a.b/', p_partkey, element_at(array('.md', '.PDF', '.tar.gz', ''), p_size % 4 + 1))")
+    """Name, extension, type and label of paths with every known ending."""
+    path = F.concat(F.lit("/h/a.b/"), F.col("p_partkey"), F.element_at(F.array(*(F.lit(e[0]) for e in ENDINGS)), (F.col("p_partkey") % len(ENDINGS) + 1).cast("int")))
     mime = T.mime_of_path(path)
     return D.table(spark, sf_dir, "part").select("p_partkey", T.base_name(path).alias("name"), T.extension(path).alias("extension"), mime.alias("mime"), T.mime_label(mime).alias("label"))
 
@@ -442,21 +450,24 @@ def camera_positions(spark, sf_dir):
 NOW = datetime.datetime(2031, 5, 14, 15, 30, tzinfo=datetime.timezone.utc)
 
 
-@query("SELECT * FROM (VALUES ('36h', '2031-05-13T03:30:00+00:00'), ('5 days', '2031-05-09T15:30:00+00:00'), ('2w', '2031-04-30T15:30:00+00:00'), ('3m', '2031-02-13T15:30:00+00:00'), ('yesterday', '2031-05-13T00:00:00+00:00'), ('last week', '2031-05-07T15:30:00+00:00'), ('now', '2031-05-14T15:30:00+00:00'), ('2031-01-02', '2031-01-02T00:00:00+00:00')) t(said, moment)")
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN now - to_hours(event_id % 50) WHEN 1 THEN now - to_days((event_id % 9)::INT) WHEN 2 THEN now - to_days((7 * (event_id % 5))::INT) WHEN 3 THEN now - to_days((30 * (event_id % 4))::INT)
+WHEN 4 THEN date_trunc('day', now) - to_days(1) WHEN 5 THEN now - to_days(7) WHEN 6 THEN now ELSE TIMESTAMP '2031-01-01' + to_days((event_id % 28)::INT) END AS moment FROM events, (SELECT TIMESTAMP '2031-05-14 15:30:00' AS now)""")
 def relative_times(spark, sf_dir):
-    said = ("36h", "5 days", "2w", "3m", "yesterday", "last week", "now", "2031-01-02")
-    return spark.createDataFrame([(s, times.relative_time(s, NOW).isoformat()) for s in said], "said string, moment string")
+    """What each event's phrase means; every phrase is read once, whatever the number of events."""
+    said = F.expr("""CASE event_id % 8 WHEN 0 THEN concat(event_id % 50, 'h') WHEN 1 THEN concat(event_id % 9, ' days') WHEN 2 THEN concat(event_id % 5, 'w') WHEN 3 THEN concat(event_id % 4, 'm')
+WHEN 4 THEN 'yesterday' WHEN 5 THEN 'last week' WHEN 6 THEN 'now' ELSE concat('2031-01-', lpad(event_id % 28 + 1, 2, '0')) END""")
+    rows = D.table(spark, sf_dir, "events").select("event_id", said.alias("said"))
+    return rows.select("event_id", times.relative_times(F.col("said"), NOW).alias("moment"))
 
 
-@query("""SELECT * FROM (VALUES ('What came in today?', '2031-05-14', '2031-05-14'), ('Who wrote yesterday', '2031-05-13', '2031-05-13'), ('plans of this week', '2031-05-12', '2031-05-14'), ('this month''s bills', '2031-05-01', '2031-05-14'),
-('mails of the last fourteen days', '2031-05-01', '2031-05-14'), ('past 2 weeks', '2031-05-01', '2031-05-14'), ('anything new?', NULL, NULL)) t(question, first, last)""")
+@query("""SELECT conv_id, turn, CASE turn % 7 WHEN 0 THEN DATE '2031-05-14' WHEN 1 THEN DATE '2031-05-13' WHEN 2 THEN DATE '2031-05-12' WHEN 3 THEN DATE '2031-05-01' WHEN 4 THEN DATE '2031-05-14' - (conv_id % 30 + 1)::INT + 1 WHEN 5 THEN DATE '2031-05-08' END AS first,
+CASE turn % 7 WHEN 1 THEN DATE '2031-05-13' WHEN 6 THEN NULL ELSE DATE '2031-05-14' END AS last FROM conversations WHERE turn IS NOT NULL""")
 def question_windows(spark, sf_dir):
-    asked = ("What came in today?", "Who wrote yesterday", "plans of this week", "this month's bills", "mails of the last fourteen days", "past 2 weeks", "anything new?")
-    rows = []
-    for question in asked:
-        window = times.question_window(question, NOW.date())
-        rows.append((question, *((None, None) if window is None else (str(d) for d in window))))
-    return spark.createDataFrame(rows, "question string, first string, last string")
+    """The days that each turn's question is about."""
+    asked = F.expr("""CASE turn % 7 WHEN 0 THEN concat('What came in today', chr(8212), 'and from whom, ', role, '?') WHEN 1 THEN 'Who wrote yesterday\\'s mails?' WHEN 2 THEN '(this week)' WHEN 3 THEN 'bills of this month\u2026'
+WHEN 4 THEN concat('mails of the last ', conv_id % 30 + 1, ' days') WHEN 5 THEN 'what was \u201clast week\u201d' ELSE concat('anything new, ', role, ', in last-week order?') END""")
+    found = times.question_windows(asked, NOW.date())
+    return D.table(spark, sf_dir, "conversations").where("turn IS NOT NULL").select("conv_id", "turn", found["first"].alias("first"), found["last"].alias("last"))
 
 
 @query(r"SELECT conv_id, turn, contains(id, '/') OR length(id) > 20 OR starts_with(id, 'msg-') OR starts_with(id, 'file-') OR starts_with(id, 'source-') AS cited FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'msg-' || conv_id WHEN 1 THEN role || '/' || conv_id ELSE substr(text, 1, (conv_id % 40)::INT) END AS id FROM conversations)")

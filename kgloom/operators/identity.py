@@ -98,10 +98,11 @@ def bridge_entities(entities: DataFrame, persons: DataFrame) -> DataFrame:
 
 def in_turn(wishes: list[tuple]) -> list[tuple]:
     """Of wishes (left position, stage, -score, right position, ...): each left one in turn gets its first wish that is still free."""
-    got: dict = {}
+    got, taken = {}, set()
     for wish in sorted(wishes):
-        if wish[0] not in got and wish[3] not in {w[3] for w in got.values()}:
+        if wish[0] not in got and wish[3] not in taken:
             got[wish[0]] = wish
+            taken.add(wish[3])
     return list(got.values())
 
 
@@ -169,10 +170,11 @@ def same_by_embedding(names: DataFrame, known: DataFrame, embedder: V.Embedder)
 
 
 def resolve_entities(entities: DataFrame, known: DataFrame, embedder: V.Embedder | None = None) -> DataFrame:
-    """``resolve_document`` for each document's entities; candidates are the known names that are equal or similar to one of the document's, found by blocking that loses none.
+    """``resolve_document`` for each document's entities, with confidences from 0 to 1 (none is 0.75); candidates are the known names that are equal or similar to one of the document's, found by blocking that loses none.
 
     With an ``embedder`` a name that is merged into none gets the known one of nearest meaning as ``same_as``: both names stay.
     """
+    entities, known = (df.withColumn("confidence", T.clamp_confidence(F.col("confidence"))) for df in (entities, known))
     keyed = lambda df: df.withColumn("key", fuzzy.token_sorted(F.col("name"))).where("key <> ''")
     named, old = keyed(entities).select("doc_id", "key").distinct(), keyed(known)
     keys = keyed(entities.select("name").unionByName(known.select("name"))).groupBy("key").agg(F.min("name").alias("name")).withColumnRenamed("key", "id")

@@ -22,6 +22,8 @@ def query(sql: str | None = None):
     """Registers a query under its function's name, with its SQL where there is one."""
 
     def keep(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE[f.__name__] = sql

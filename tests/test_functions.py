@@ -108,6 +108,14 @@ WEDNESDAY = date(2031, 10, 15)
         ("last year", (date(2030, 10, 16), WEDNESDAY)),
         ("last month or yesterday", (date(2031, 10, 14),) * 2),
         ("last eleven days", None),
+        ("What came in today—and when?", (WEDNESDAY, WEDNESDAY)),
+        ("yesterday/tomorrow", (date(2031, 10, 14),) * 2),
+        ("today…", (WEDNESDAY, WEDNESDAY)),
+        ("what of “last week”", (date(2031, 10, 9), WEDNESDAY)),
+        ("today's mail", (WEDNESDAY, WEDNESDAY)),
+        ("the last-week report", None),
+        ("last, week", None),
+        ("a_today", None),
         ("at last a week", None),
         ("this day", None),
         ("", None),
@@ -291,3 +299,30 @@ def test_cosine_and_rerank(spark):
     rows = spark.createDataFrame([(0, "red apple"), (1, "green tea"), (2, "red tea"), (3, None)], "pos int, text string")
     assert [r.pos for r in V.rerank(rows, "red tea", 3, 0.1).collect()] == [2, 0, 1] and V.rerank(rows, "red", 0).count() == 0
     assert V.clamp_k(0) == 1 and V.clamp_k(5000) == 1000
+
+
+@pytest.mark.parametrize("ending, mime", [*T.EXTENSION_MIMES.items(), ("exe", "application/octet-stream")])
+def test_every_ending(spark, ending, mime):
+    paths = [(f"/a.b/x.{ending}", mime), (f"x.{ending.upper()}", mime), (f"/a/.{ending}", "application/octet-stream"), (f"x.{ending}/y", "application/octet-stream")]
+    got = spark.createDataFrame(paths, "p string, want string").select(T.mime_of_path(F.col("p")), "want").collect()
+    assert all(r[0] == r[1] for r in got)
+
+
+def test_two_queries_of_one_name_are_refused():
+    from kgloom import queries
+
+    def timeline_all(spark, sf_dir):
+        return None
+
+    with pytest.raises(ValueError):
+        queries.query()(timeline_all)
+
+
+def test_times_in_columns(spark):
+    import datetime
+
+    now = datetime.datetime(2031, 5, 14, 15, 30, tzinfo=datetime.timezone.utc)
+    rows = spark.createDataFrame([("24h",), ("no time",), (None,), ("24h",)], "said string")
+    got = rows.select(times.relative_times(F.col("said"), now).alias("t"), times.question_windows(F.col("said"), now.date()).alias("w")).collect()
+    assert [r.t for r in got] == [datetime.datetime(2031, 5, 13, 15, 30), None, None, datetime.datetime(2031, 5, 13, 15, 30)]
+    assert all(r.w["first"] is None for r in got)

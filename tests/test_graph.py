@@ -277,3 +277,19 @@ def test_binary_and_hybrid(spark):
     v = spark.createDataFrame([(1, "x", "2026-01-01"), (2, "j/Journal/y", "2026-01-02T00:00:00Z"), (3, "journal/z", ""), (4, "w", "2026-01-02"), (5, "journal/q", "2020-01-01")], "pos int, source_id string, date string")
     got = search.hybrid_merge(g, v, (date(2026, 1, 1), date(2026, 1, 31)), ["journal"]).orderBy("lane", "pos").collect()
     assert [(r.lane, r.source_id) for r in got] == [(0, "x"), (1, "j/Journal/y"), (1, "journal/z")]
+
+
+def test_confidences_are_clamped_before_names_are_resolved(spark):
+    e = spark.createDataFrame([("d", 0, "Apollo", "X", None), ("d", 1, "Borealis", "X", 7.0), ("d", 2, "Cassini", "X", float("nan")), ("d", 3, "Delphi", "X", -1.0)], "doc_id string, pos int, name string, type string, confidence double")
+    k = spark.createDataFrame([("Apollo", "T", None), ("Borealis", "T", 0.2), ("Delphi", "T", 9.0)], "name string, type string, confidence double")
+    got = {r.name: r.confidence for r in identity.resolve_entities(e, k).collect()}
+    assert got == {"Apollo": 0.75, "Borealis": 1.0, "Cassini": 0.75, "Delphi": 1.0}
+
+
+def test_many_wishes_take_linear_time():
+    import time
+
+    wishes = [(a, 0, -1.0, b) for a in range(30_000) for b in (a, a + 1)]
+    began = time.time()
+    assert [w[3] for w in identity.in_turn(wishes)] == list(range(30_000))
+    assert time.time() - began < 2
