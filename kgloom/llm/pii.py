@@ -9,7 +9,8 @@ so different values of a format get different pseudonyms, and equal values the s
 * ip: the 32-bit address is permuted as eight hexadecimal digits
 * phone: the ten digits after a country code; its punctuation stays
 * ssn: the nine digits, permuted again until they are valid
-* date: the day's number within its block of 65,536 days (1920-01-01 to 2099-06-06 is one); year-month-day, month/day/year (day/month/year where only that is a date), day.month.year,
+* date: the day's number within its block of 65,536 days (1920-01-01 to 2099-06-06 is one), or of 4,096 in the last block; where the calendar of years 1 to 9999 ends within a
+  block, the number is permuted again until it is a day of that calendar; year-month-day, month/day/year (day/month/year where only that is a date), day.month.year,
   with leading zeros only where the date has them
 * email: the letters and digits of the local part; the domain stays
 
@@ -19,9 +20,13 @@ repeated results; an empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 ROUNDS = 8
 #: Where a session names its secret key, and the public key of tests and demonstrations, which protects nothing.
 KEY_SETTING, KEY = "spark.kgloom.pii.key", "not a secret: set your own"
@@ -36,8 +41,11 @@ DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]|\.[0-9])"
 KINDS = {"email": EMAIL, "ip": IP, "ssn": SSN, "date": DATE, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
-#: Blocks of days that dates stay within begin here.
-FIRST_DAY = "1920-01-01"
+#: Blocks of days that dates stay within begin here; the first and last day of years of four digits, counted from it.
+FIRST_DAY, BLOCK = "1920-01-01", 65536
+LOWEST, HIGHEST = ((date - datetime.date.fromisoformat(FIRST_DAY)).days for date in (datetime.date(1, 1, 1), datetime.date(9999, 12, 31)))
+#: Numbers of a block that are no days: as many steps at most lead back into the calendar.
+OUTSIDE = max(LOWEST % BLOCK, 4096 - 1 - HIGHEST % BLOCK)
 
 
 def _shifted(half: Column, draw: Column, alphabets: tuple[str, ...]) -> Column:
@@ -128,23 +136,27 @@ def _ssn(value: Column, key: str) -> tuple[Column, Column]:
 def _date(value: Column, key: str) -> tuple[Column, Column]:
     iso, slash = value.rlike("^[0-9]{4}-"), value.contains("/")
     parts = F.split(value, "[-/.]")
-    number = lambda k: F.lpad(F.get(parts, F.lit(k)), 2, "0")
+    two_digits = lambda k: F.lpad(F.get(parts, F.lit(k)), 2, "0")
     year = F.get(parts, F.lit(2))
-    written = lambda month, day: F.try_to_date(F.concat_ws("-", year, number(month), number(day)), "yyyy-MM-dd")
+    written = lambda month, day: F.try_to_date(F.concat_ws("-", year, two_digits(month), two_digits(day)), "yyyy-MM-dd")
     month_first, day_first = written(0, 1), written(1, 0)
     # with slashes the month comes first, unless only the other order is a date
     turned = slash & month_first.isNull()
     day = F.when(iso, F.try_to_date(value, "yyyy-MM-dd")).when(slash & ~turned, month_first).otherwise(day_first)
     since = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    block = F.floor(since / 65536).cast("int")
-    moved = feistel(F.lpad(F.lower(F.hex(since - block * 65536)), 4, "0"), "date", key, (HEX,))
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), block * 65536 + F.conv(moved, 16, 10).cast("int"))
+    block = F.floor(since / BLOCK).cast("int")
+    number = lambda x: block * BLOCK + F.conv(x, 16, 10).cast("int")
+    inside = lambda x: number(x).between(LOWEST, HIGHEST)
+    again = lambda x: feistel(x, "date", key, (HEX,))
+    walked = lambda x: F.aggregate(F.sequence(F.lit(1), F.when(inside(x), 1).otherwise(OUTSIDE)), x, lambda y, _: F.when(inside(y), y).otherwise(again(y)))
+    start = F.lpad(F.lower(F.hex(since - block * BLOCK)), F.when(block == HIGHEST // BLOCK, 3).otherwise(4), "0")
+    new = F.date_add(F.lit(FIRST_DAY).cast("date"), number(let(again(start), walked)))
     # numbers without leading zeros stay without
     padded = value.rlike("^(0|[0-9]{2}[./](0|[0-9]{2}[./]))")
     two = lambda n: F.when(padded, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
     month, of_month, full = two(F.month(new)), two(F.dayofmonth(new)), F.date_format(new, "yyyy")
     out = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(turned, F.concat_ws("/", of_month, month, full)).when(slash, F.concat_ws("/", month, of_month, full)).otherwise(F.concat_ws(".", of_month, month, full))
-    return day.isNotNull(), out
+    return since.between(LOWEST, HIGHEST), out
 
 
 def _email(value: Column, key: str) -> tuple[Column, Column]:

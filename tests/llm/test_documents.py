@@ -776,3 +776,35 @@ def test_dates_keep_their_format(spark):
     dates = re.findall(r"[0-9]+[./-][0-9]+[./-][0-9]+", out.text)
     assert all(len(x) == 10 for k, x in enumerate(dates) if k not in (1, 5)) and not dates[1].startswith("0") and "13/02/2024" not in out.text
     assert [int(x) for x in dates[1].split("/")] == [int(x) for x in dates[2].split("/")]
+
+
+def test_dates_at_both_ends_of_the_calendar_are_permuted_within_it(spark):
+    import datetime
+
+    first = datetime.date.fromisoformat(pii.FIRST_DAY)
+    block = lambda k: [first + datetime.timedelta(days=n) for n in range(max(pii.LOWEST, k * pii.BLOCK), min(pii.HIGHEST, (k + 1) * pii.BLOCK - 1) + 1)]
+    for k, step in ((pii.HIGHEST // pii.BLOCK, 1), (pii.LOWEST // pii.BLOCK, 23)):
+        days = block(k)
+        rows = spark.createDataFrame([(n, d.isoformat()) for n, d in enumerate(days[::step])], "doc_id long, text string")
+        got = [r.text for r in pii.pseudonymise(rows).collect()]
+        moved = {datetime.date.fromisoformat(t) for t in got}
+        assert len(moved) == len(got) and moved <= set(days) and all(len(t) == 10 for t in got)
+    assert len(block(pii.HIGHEST // pii.BLOCK)) == pii.HIGHEST % pii.BLOCK + 1
+    odd = spark.createDataFrame([(1, "12/31/9999 and 31.12.9999, 1/1/0001, 0000-01-01")], "doc_id long, text string")
+    out = pii.pseudonymise(odd).first()
+    assert out.n_date == 3 and re.fullmatch(r"\d\d/\d\d/\d{4} and \d\d\.\d\d\.\d{4}, \d{1,2}/\d{1,2}/\d{4}, 0000-01-01", out.text)
+
+
+def test_all_of_two_hundred_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "GROUP", 30)
+    rng = random.Random(77)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for k in range(200)}
+    rows = [(k * 20 + n, " ".join(rng.choice(own) for _ in range(60)), lang) for k, (lang, own) in enumerate(words.items()) for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language.learn_dictionaries(docs)
+    assert set(learned) == set(words) and sum(map(len, learned.values())) <= language.ALL_BYTES
+    few = language.learn_dictionaries(docs, every=200 * 600)
+    assert set(few) == set(words) and all(len(c) <= 600 for c in few.values())
+    some = docs.where("doc_id % 20 = 7")
+    got = {r.doc_id: r.lang_pred for r in language.identify_languages(some, learned).collect()}
+    assert sum(got[k] == lang for k, _, lang in rows if k in got) == len(got) == 200
