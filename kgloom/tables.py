@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,28 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def staged(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a function like ``written`` whose tables go at the end. Each use has its own: others in the session keep theirs."""
+    paths: list[str] = []
+
+    def put(df: DataFrame, label: str = "step") -> DataFrame:
+        paths.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield put
+    finally:
+        for path in paths:
+            remove(spark, path)
+
+
 def swap(df: DataFrame, table: str) -> None:
     """A new version of a catalog table: written whole beside the old one, then named. Readers see the old or the new one."""
     spark, new = df.sparkSession, f"{table}_{uuid.uuid4().hex[:12]}"
