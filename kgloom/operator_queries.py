@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import driver_views as D
 from .functions import answers, text as T, times
-from .operators import filters, graph, identity, queue as Q, writers
+from .operators import density, filters, graph, identity, neighbours, queue as Q, vector_index, writers
 from .plans import activity, people
 from .queries import COS, VEC, query, ts
 from .sources import parsers, snapshots
@@ -540,3 +540,39 @@ def task_edges(spark, sf_dir):
         "concat('todo:', p_partkey) AS source_id", "'Call @Mia' AS name", "concat('write to u', p_size, '@x.org') AS note", "array(p_brand, 'People/Jo') AS tags", "concat('proj:', p_size) AS project", "IF(p_partkey % 2 = 0, concat('todo:', p_partkey - 1), null) AS parent"
     )
     return parsers.tasks(rows).select("src_id", "rel", "dst_id")
+
+
+# --- vectors
+
+
+def _unit_vectors(spark, sf_dir):
+    return neighbours.unit(neighbours.clean(D.vectors(spark, sf_dir), "vec_id"))
+
+
+@query()
+def knn_graph(spark, sf_dir):
+    """About the 15 nearest of every vector; the tests measure its recall against the exact graph."""
+    return neighbours.knn_graph(_unit_vectors(spark, sf_dir)).select("id", "hit", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def density_topics(spark, sf_dir):
+    """Density clusters of all vectors, noise -1; the tests hold them against the definition."""
+    return density.density_clusters(D.vectors(spark, sf_dir).selectExpr("vec_id AS id", "vector"))
+
+
+@query("""WITH v AS (SELECT vec_id AS id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))
+SELECT id, hit, round(d, 6) AS distance FROM (SELECT q.id, v.id AS hit, list_distance(q.e, v.e) AS d, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.e, v.e), v.id) AS r FROM v q JOIN v ON q.id <> v.id WHERE q.id % 20 = 0) WHERE r <= 10""")
+def index_all_lists(spark, sf_dir):
+    """The nearest of every twentieth vector in an index of all, with all its lists probed: the exact result."""
+    vectors = D.vectors(spark, sf_dir).selectExpr("vec_id AS id", "vector")
+    index = vector_index.build(vectors)
+    return index.search(vectors.where("id % 20 = 0"), 10, max(1, index.lists)).select("id", "hit", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def index_probed(spark, sf_dir):
+    """As ``index_all_lists`` with as many lists as a sample of the queries needs; the tests measure its recall."""
+    vectors = D.vectors(spark, sf_dir).selectExpr("vec_id AS id", "vector")
+    index, asked = vector_index.build(vectors), vectors.where("id % 20 = 0")
+    return index.search(asked, 10, index.probes_for(asked)).select("id", "hit", F.round("distance", 6).alias("distance"))

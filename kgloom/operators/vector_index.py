@@ -5,6 +5,8 @@
 * ``search`` takes the ``probes`` nearest lists of each query, so that only their folders are read. Codes alone are read first and give ``WIDER`` times k candidates; the vectors of these are then scored exactly. With all lists probed
   every vector is scored exactly, so the result is that of a full scan.
 
+How many probes a table needs depends on how its vectors lie: ``probes_for`` measures it on a sample of the queries.
+
 A query costs its probes, not the table: with the default of about sqrt(n) lists a probe is about sqrt(n) rows. Queries are a stated set, held in blocks of ``BLOCK``; what is broadcast is a block and the centroids, whose
 size ``build`` bounds. Distances are Euclidean over vectors of length 1, so the order is that of the cosine.
 
@@ -71,6 +73,18 @@ class VectorIndex:
     def drop(self) -> None:
         remove(self.spark, self.path)
 
+    def probes_for(self, queries: DataFrame, k: int = 10, share: float = 0.95, sample: int = 64) -> int:
+        """The least number of probes with which a sample of the queries finds that share of its exact k nearest: how far down each query's order of lists they lie."""
+        asked = N.unit(N.clean(queries)).orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+        if not len(asked) or not self.lists or len(asked["vector"].iloc[0]) != self.centroids.shape[1]:
+            return max(1, self.lists)
+        order = np.argsort(_to_lists(np.stack(asked["vector"].to_numpy()), self.centroids), axis=1, kind="stable")
+        depth = {int(q): np.argsort(lists) for q, lists in zip(asked["id"], order)}
+        found = self._block(asked["id"].to_numpy(), np.stack(asked["vector"].to_numpy()), k, self.lists)
+        hits = found.join(self.rows.select(F.col("id").alias("hit"), "list"), "hit").select("id", "list").collect()  # sample * k rows
+        deep = sorted(int(depth[r["id"]][r["list"]]) + 1 for r in hits)
+        return deep[min(len(deep) - 1, math.ceil(share * len(deep)))] if deep else 1
+
     def search(self, queries: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
         """(id, hit, distance): about the k nearest of each query (id, vector), all of them with every list probed."""
         asked = N.unit(N.clean(queries))

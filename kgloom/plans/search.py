@@ -121,9 +121,18 @@ def confidence(n: int) -> str:
     return "none" if n == 0 else "sparse" if n < 3 else "good"
 
 
+def first_values(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:
+    """(key, values): the k least different values of each key, null keys too. Ranks are cut in each task before the shuffle, so no more than k values of a key leave a task or are gathered."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    least = rows.where(F.col(value).isNotNull()).select(key, value).distinct().withColumn("_rank", rank).where(F.col("_rank") <= k)
+    return least.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("values"))
+
+
 def source_groups(rows: DataFrame) -> DataFrame:
     """Results by source type with up to three ids."""
-    return rows.groupBy("source_type").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("source_id")), 1, 3), ",").alias("ids"))
+    first = first_values(rows, "source_type", "source_id", 3).withColumnRenamed("source_type", "_type")
+    counts = rows.groupBy("source_type").agg(F.count("*").alias("n"))
+    return counts.join(first, F.col("source_type").eqNullSafe(F.col("_type")), "left").select("source_type", "n", F.array_join(F.coalesce("values", F.array().cast("array<string>")), ",").alias("ids"))
 
 
 def suggest_connections(vectors: DataFrame, edges: DataFrame, info: DataFrame, seeds: DataFrame | None = None, threshold: float = THRESHOLD, limit: int = LIMIT, cross_source: bool = False) -> DataFrame:

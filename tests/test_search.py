@@ -202,3 +202,16 @@ def test_neighbours_in_blocks_are_those_at_once(spark, monkeypatch):
     at_once = found()
     monkeypatch.setattr(V, "SEED_BLOCK", 7)
     assert found() == at_once and len(at_once) > 30
+
+
+def test_first_values_hold_no_more_than_they_keep(spark):
+    rows = spark.createDataFrame([(None if k % 7 == 0 else "abc"[k % 3], f"{k % 50:03}") for k in range(400)] + [("z", None), ("a", "000")], "source_type string, source_id string")
+    got = {r.source_type: (r.n, r.ids) for r in search.source_groups(rows).collect()}
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r.source_type, [0, set()])
+        want[r.source_type][0] += 1
+        want[r.source_type][1] |= {r.source_id} - {None}
+    assert got == {k: (n, ",".join(sorted(ids)[:3])) for k, (n, ids) in want.items()}
+    plan = search.first_values(rows, "source_type", "source_id", 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # in each task, and after the shuffle

@@ -85,3 +85,14 @@ def test_odd_tables(spark, index, vectors):
 def test_many_queries_go_in_blocks(vectors, index, monkeypatch):
     monkeypatch.setattr(V, "BLOCK", 17)
     assert hits(index.search(vectors.where("id % 20 = 0"), 10, index.lists)) == plain(vectors, 10)
+
+
+def test_probes_are_measured(spark):
+    points = np.random.default_rng(3).normal(size=(1500, 24))  # no clusters: eight lists would not do
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(points)], "id long, vector array<double>")
+    index, asked = V.build(rows), rows.where("id % 20 = 0")
+    probes = index.probes_for(asked)
+    want, got = plain(rows, 10), hits(index.search(asked, 10, probes))
+    assert 8 < probes < index.lists
+    assert np.mean([len(set(want[q]) & set(got[q])) / 10 for q in want]) >= 0.9
+    index.drop()
