@@ -77,15 +77,18 @@ def _secrets_sql() -> str:
 {name}_m AS (SELECT doc_id, regexp_extract_all(text, '{quoted(pattern)}') AS ms, regexp_split_to_array(text, '{quoted(pattern)}') AS ps FROM d WHERE regexp_matches(text, '{quoted(pattern)}')),
 {name}_u AS (SELECT doc_id, unnest(range(len(ms))) AS k, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p FROM {name}_m),
 {name} AS (SELECT doc_id, s, s + length(m) AS e, m FROM (SELECT doc_id, m, sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY k)::BIGINT - length(m) AS s FROM {name}_u) WHERE {keep})"""
+    same = "|".join(f"{c if c.isalnum() else chr(92) + c}{{8}}" for c in "0123456789abcdefghijklmnopqrstuvwxyz+/_-")
+    part = quoted(secret_scan.PART.replace("(.)" + chr(92) + "1{7}", same))
     size = secret_scan.WINDOW
     runs, highs = [], []
     for name, (chars, threshold) in secret_scan.CLASSES.items():
         runs.append(found(name, f"{chars}{{{size},}}", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')"))
         most = size * (math.log2(size) - threshold) + 1e-9
         c = f"({size} - length(replace(w, x, '')))"
-        highs.append(f"SELECT doc_id, s + i AS s, s + i + {size} AS e FROM (SELECT doc_id, s, i, substr(m, i + 1, {size}) AS w FROM (SELECT doc_id, s, m, unnest(range(length(m) - {size - 1})) AS i FROM {name})) WHERE list_sum(list_transform(list_distinct(string_split(w, '')), lambda x: {c} * log2({c}))) <= {most!r}")
-    same = "|".join(f"{c if c.isalnum() else chr(92) + c}{{8}}" for c in "0123456789abcdefghijklmnopqrstuvwxyz+/_-")
-    allowed = " OR ".join(f"regexp_matches(x, '{p.replace('|(.)' + chr(92) + '1{7}', '|' + same)}')" for p in secret_scan.ALLOWED)
+        highs.append(f"SELECT doc_id, s + i AS s, s + i + {size} AS e FROM (SELECT doc_id, s, i, substr(m, i + 1, {size}) AS w FROM (SELECT doc_id, s, m, unnest(range(length(m) - {size - 1})) AS i FROM {name})) WHERE list_sum(list_transform(list_distinct(string_split(w, '')), lambda x: {c} * log2({c}))) <= {most!r} AND NOT regexp_matches(w, '{part}')")
+    uuid = quoted(secret_scan.WHOLE[2])
+    suspicious = lambda x: f"regexp_matches({x}, '[0-9]') AND regexp_matches({x}, '[A-Za-z]') AND NOT regexp_matches({x}, '{uuid}')"
+    kinds = ", ".join(f"'{k}'" for k in secret_scan.KINDS)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),{found("assign", secret_scan.ASSIGN, f"length(regexp_extract(m, '{quoted(secret_scan.ASSIGN)}', 2)) >= {secret_scan.LEAST_VALUE}")},
 {found("access", secret_scan.ACCESS, "true")},{found("hexes", secret_scan.HEX, "true")},{",".join(runs)},
@@ -93,12 +96,20 @@ base AS (SELECT doc_id, s, 0 AS kind, e FROM assign UNION ALL SELECT doc_id, s,
 high AS ({" UNION ALL ".join(highs)}),
 edge AS (SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < s, true) AS new FROM high),
 island AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY s, e) AS n FROM edge),
-merged AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM island GROUP BY doc_id, n),
-more AS (SELECT m.doc_id, m.s, 3 AS kind, m.e FROM (SELECT m.*, substr(d.text, m.s + 1, m.e - m.s) AS x FROM merged m JOIN d ON m.doc_id = d.doc_id) m
-  WHERE NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND b.s < m.e AND m.s < b.e)),
-named AS (SELECT doc_id, s, kind, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || s || ':' || e AS t FROM (SELECT * FROM base UNION ALL SELECT * FROM more)),
+merged AS (SELECT * FROM (SELECT i.doc_id, i.s, i.e, d.text, substr(d.text, i.s + 1, i.e - i.s) AS x FROM (SELECT doc_id, min(s) AS s, max(e) AS e FROM island GROUP BY doc_id, n) i JOIN d ON i.doc_id = d.doc_id) WHERE {suspicious("x")}),
+around AS (SELECT m.doc_id, m.s, m.e, greatest(m.s - {size}, b.s) AS first, substr(m.text, greatest(m.s - {size}, b.s) + 1, least(m.e + {size}, b.e) - greatest(m.s - {size}, b.s)) AS w FROM merged m JOIN base64 b ON m.doc_id = b.doc_id AND b.s <= m.s AND m.e <= b.e),
+part_m AS (SELECT doc_id, s, e, first, regexp_extract_all(w, '{part}') AS ms, regexp_split_to_array(w, '{part}') AS ps FROM around WHERE regexp_matches(w, '{part}')),
+part_u AS (SELECT doc_id, s, e, first, unnest(range(len(ms))) AS k, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p FROM part_m),
+parts AS (SELECT doc_id, s, e, stop - length(m) AS ps, stop AS pe FROM (SELECT *, first + sum(length(p) + length(m)) OVER (PARTITION BY doc_id, s ORDER BY k)::BIGINT AS stop FROM part_u)),
+cuts AS (SELECT doc_id, s, e, ps AS cs, pe AS ce, false AS taken FROM parts WHERE ps < e AND s < pe
+  UNION ALL SELECT m.doc_id, m.s, m.e, b.s, b.e, true FROM merged m JOIN base b ON m.doc_id = b.doc_id AND b.s < m.e AND m.s < b.e),
+gaps AS (SELECT doc_id, s, e, greatest(s, coalesce(max(ce) OVER (PARTITION BY doc_id, s ORDER BY cs, ce ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s)) AS f, cs AS t FROM cuts
+  UNION ALL SELECT m.doc_id, m.s, m.e, greatest(m.s, coalesce(max(c.ce), m.s)), m.e FROM merged m LEFT JOIN cuts c ON m.doc_id = c.doc_id AND m.s = c.s GROUP BY m.doc_id, m.s, m.e),
+more AS (SELECT doc_id, f AS s, CASE WHEN taken THEN 4 ELSE 3 END AS kind, t AS e FROM
+  (SELECT g.doc_id, g.f, g.t, substr(d.text, g.f + 1, g.t - g.f) AS x, EXISTS (SELECT 1 FROM cuts c WHERE c.doc_id = g.doc_id AND c.s = g.s AND c.taken) AS taken FROM gaps g JOIN d ON g.doc_id = d.doc_id WHERE g.f < g.t) WHERE {suspicious("x")}),
+named AS (SELECT doc_id, s, kind, e, [{kinds}][kind + 1] || ':' || s || ':' || e AS t FROM (SELECT * FROM base UNION ALL SELECT * FROM more)),
 told AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c, count(*) FILTER (kind = 3) AS n,
-  string_agg(t, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(t, ',' ORDER BY s, kind) AS spans FROM named GROUP BY doc_id)
+  string_agg(t, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(t, ',' ORDER BY s, kind, e) AS spans FROM named GROUP BY doc_id)
 SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n, 0) AS n_entropy
 FROM d LEFT JOIN told ON d.doc_id = told.doc_id
 """

@@ -285,3 +285,33 @@ def test_frontier_walks_only_optimal_arcs():
         faults = ("", "blank", "duplicate", "truncated")
         cost, want, _ = cheapest([(x, "t", faults[f]) for x, f in rows])
         assert (after[0][0], "".join(x for row in letters for x, _ in row)) == (cost, want)
+
+
+# --- secrets: the SQL of the whole rule on rows that need it
+
+
+def secret_rows():
+    rng = random.Random(21)
+    draw = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    low = "abcdefghijklmnopqrstuvwxyz0123456789"
+    mixed = low + low.upper() + "+/_-"
+    key = lambda n: draw(n, mixed)
+    rows = [f"the key {key(40)} is here", key(24) + " " + key(19) + " " + key(20), draw(60, "0123456789abcdef"), draw(64, "0123456789ABCDEF") + " x"]
+    rows += [f"{key(26)}example{key(26)}", f"{key(30)}xxxxxx{key(9)}", f"{key(28)}AAAaAAAA{key(30)}", f"EXAMPLE{key(25)}", f"{key(30)}0123456789{key(30)} ä😀 {key(33)}"]
+    rows += [f"password={key(30)} and {key(30)}", f"{key(25)}token={key(40)}", f"AKIA{draw(20, low.upper())}{key(30)}", f"{key(30)}AKIA{draw(16, 'ABCDEFGH2345')}/{key(25)}", f"{key(22)}{draw(30, '0123456789abcdef')}{key(22)}"]
+    rows += ["123e4567-e89b-42d3-a456-426614174000", "a" * 50, "Supercalifragilisticexpialidociouswords", "1234567890123456789012345", None, "", f"secret: 'x' api_key = \"{key(50)}\""]
+    for _ in range(60):
+        parts = [key(rng.randrange(5, 45)) for _ in range(4)] + ["example", "placeholder", "xxxxxxx", "token=", "password: ", "zzzzzzzzz", " ", " word ", "AKIA", "\n", draw(26, "0123456789abcdef"), "é"]
+        rows.append("".join(rng.choice(parts) for _ in range(rng.randrange(2, 9))))
+    return list(enumerate(rows))
+
+
+def test_secrets_against_sql_where_windows_matter(spark, table, tmp_path):
+    table(secret_rows()).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r[0]: tuple(r) for r in queries.op3_secrets(spark, str(tmp_path)).collect()}
+    want = {r[0]: r for r in con.sql(queries.ORACLE["op3_secrets"]).fetchall()}
+    assert got == want
+    kinds = {k.split(":")[0] for r in got.values() for k in r[5].split(",") if k}
+    assert kinds == {"assign", "access", "hex", "entropy", "rest"} and sum(r[6] for r in got.values()) > 40
