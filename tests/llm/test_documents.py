@@ -251,6 +251,9 @@ def test_secrets_and_lines_match_their_sql(table, spark, tmp_path):
     table(rows).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    turns = [(k // 3, k % 3, ("user", "assistant", "system")[k % 3], f"{k}.") for k in range(30)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     for name, sql in queries.ORACLE.items():
         want = con.sql(sql)
         got = queries.QUERIES[name](spark, str(tmp_path)).select(*want.columns)
