@@ -63,5 +63,5 @@ def test_run_on_a_table(spark, table, tmp_path):
 
 
 def test_queries_are_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLE) <= set(queries.QUERIES)
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14)) and set(queries.ORACLE) <= set(queries.QUERIES)
     assert simhash.RADIUS == 2
