@@ -6,15 +6,17 @@ ln a = ln c - ln y - r; the term of least a, together with its t, is the sample.
 generalised Jaccard similarity, sum of minima over sum of maxima of weights; the share of equal samples estimates it.
 
 The edited text of a document ends with the beginning of the next document by id, so rows are dealt in order of doc_id to
-ranges, one text shuffle in all; each range also gets the first row of the next. Inside a range rows stream by.
+ranges, one text shuffle in all; each range also gets the first row of the next. Inside a range rows stream by. An id that many rows share is cut by the
+hash of their texts, and equal rows that alone fill ranges are counted before the shuffle and spread again after it.
 
 Defined cases: null is the empty text; texts without words share one fingerprint, with likeness 1 to each other; a lone document is its own
-next; rows that repeat a doc_id follow each other by text; rows without a doc_id come first; extra columns are not read; an empty table gives no rows.
+next; rows that repeat a doc_id follow each other by their texts' hash; rows without a doc_id come first; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,6 +33,8 @@ SAMPLES, SEED = 64, 17
 #: Terms whose draws a worker keeps, the commonest words soon among them, and so many met last: 64 * 4 floats each.
 KEPT_TERMS, LATE_TERMS, SLICE = 1 << 15, 1 << 14, 1 << 12
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COUNTED = f"{SCHEMA}, copies long"
+LEAST_HASH, MOST_COPIES = -(2**62), 1 << 12
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -140,46 +144,94 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _ranges(docs: DataFrame, parts: int) -> tuple[list, list[tuple]]:
-    """Bounds of ``parts`` ranges of doc_id, and (first doc_id of a range, the range before it) in a circle: a row for each range."""
-    bounds = sorted(set(docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    bounds = [int(b) for b in bounds]
-    # rows without an id come first
-    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id")))["id"]
-    firsts = sorted(((r["range"], r["first"]) for r in docs.groupBy(_range_of(bounds).alias("range")).agg(first.alias("first")).collect()), key=lambda x: x[0])
-    return bounds, [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
-
-
-def _range_of(bounds: list):
+def text_hash():
+    """53 bits, which quantiles keep exactly: they reckon in doubles."""
+    return F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 11)
+
+
+def _bounds(docs: DataFrame, parts: int) -> tuple[list[tuple], list[tuple]]:
+    """Bounds (doc_id, hash) of about ``parts`` ranges of rows, and the keys of which one alone fills ranges.
+
+    Quantiles of doc_id cut the table. An id that several of them name, or none where many rows have none, is cut again by quantiles of its texts' hashes.
+    What several of those name is one text over and over. All lists hold fewer than ``parts`` entries.
+    """
+    if parts == 1:
+        return [], []
+    shares = [k / parts for k in range(1, parts)]
+    ids = Counter(int(b) for b in docs.approxQuantile("doc_id", shares, 0.2 / parts))
+    seen = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("named")).first()
+    hot = {i: n for i, n in ids.items() if n > 1}
+    if (nameless := round(parts * (seen["rows"] - seen["named"]) / max(seen["rows"], 1))) > 1:
+        hot[None] = nameless
+    bounds, heavy = {(i, LEAST_HASH) for i in ids}, []
+    if hot:
+        wanted = F.col("doc_id").isin([i for i in hot if i is not None])
+        cuts = docs.where(F.coalesce(wanted, F.lit(None in hot))).groupBy("doc_id").agg(F.percentile_approx("hash", shares, max(10_000, 10 * parts)).alias("cuts"))
+        for row in cuts.collect():
+            n = hot[row["doc_id"]]
+            found = Counter(row["cuts"][math.ceil(k * parts / n) - 1] for k in range(1, n))
+            bounds |= {(row["doc_id"], h) for h in found}
+            heavy += [(row["doc_id"], h) for h, times in found.items() if times > 1]
+    return sorted(bounds, key=lambda b: (b[0] is not None, b[0] or 0, b[1])), heavy
+
+
+def _range_of(bounds: list[tuple]):
+    """The number of a row's range. Structs are compared field by field, null before any id."""
     if not bounds:
         return F.lit(0)
-    return reached(F.expr(f"array({', '.join(f'{b}L' for b in bounds)})"), F.col("doc_id"), len(bounds))
+    listed = ", ".join(f"named_struct('id', {'cast(null AS bigint)' if i is None else f'{i}L'}, 'hash', {h}L)" for i, h in bounds)
+    return reached(F.expr(f"array({listed})"), F.struct(F.col("doc_id").alias("id"), "hash"), len(bounds))
+
+
+def _counted(docs: DataFrame, heavy: list[tuple]) -> DataFrame:
+    """Rows with ``copies``: equal rows of heavy keys are one, counted before the shuffle; all others stay as they are."""
+    if not heavy:
+        return docs.withColumn("copies", F.lit(1).cast("long"))
+    keys = docs.sparkSession.createDataFrame([(*k, True) for k in heavy], "id long, of_hash long, heavy boolean")  # fewer than ranges
+    marked = docs.join(F.broadcast(keys), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of_hash")), "left")
+    many = marked.where("heavy").groupBy("doc_id", "text", "hash").agg(F.count("*").alias("copies"))
+    return marked.where("heavy IS NULL").select("doc_id", "text", "hash", F.lit(1).cast("long").alias("copies")).unionByName(many)
+
+
+def _circle(rows: DataFrame) -> list[tuple]:
+    """(doc_id and hash of a range's first row, the range before it): a row for each range."""
+    firsts = sorted((r["range"], *r["first"]) for r in rows.groupBy("range").agg(F.min(F.struct("doc_id", "hash")).alias("first")).collect())
+    return [(doc_id, h, firsts[k - 1][0]) for k, (_, doc_id, h) in enumerate(firsts)]
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of whole ranges, in order; the last of each range is marked ``ahead`` and only serves the row before it."""
-    sampler, names = Sampler(), [c.split()[0] for c in SCHEMA.split(", ")]
+    sampler, names = Sampler(), [c.split()[0] for c in COUNTED.split(", ")]
     before = None
     out: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
         columns = list(zip(*out))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
         batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
         out.clear()
         return batch
 
+    def compared(doc_id: int, text: str, own: np.ndarray, following: str, after: np.ndarray) -> tuple:
+        edited = edited_text(text, following)
+        changed = sampler.signature(edited) if edited != text else own
+        return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), to_text(own), to_text(changed), likeness(own, changed), likeness(own, after)
+
     for batch in batches:
-        for where, ahead, doc_id, text in zip(batch.column("range").to_pylist(), batch.column("ahead").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text")):
+        columns = [batch.column(c).to_pylist() for c in ("range", "ahead", "doc_id", "copies")]
+        for where, ahead, doc_id, copies, text in zip(*columns, batch.column("text")):
             text = text.as_py() or ""
             if before is not None and before[0] == where:
-                _, old_id, old_text, old = before
                 signature = sampler.signature(text)
-                edited = edited_text(old_text, text)
-                changed = sampler.signature(edited) if edited != old_text else old
-                out.append((old_id, len(old_text), hashlib.sha256(edited.encode()).hexdigest(), to_text(old), to_text(changed), likeness(old, changed), likeness(old, signature)))
+                out.append((*compared(*before[1:], text, signature), 1))
             elif not ahead:
                 signature = sampler.signature(text)
+            if not ahead and copies > 1:  # each but the last is followed by its equal
+                own = compared(doc_id, text, signature, text, signature)
+                for done in range(0, copies - 1, MOST_COPIES):
+                    out.append((*own, min(MOST_COPIES, copies - 1 - done)))
+                    if len(out) >= 512:
+                        yield flush()
             before = None if ahead else (where, doc_id, text, signature)
             if len(out) >= 512:
                 yield flush()
@@ -189,12 +241,19 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_with_edit(docs: DataFrame) -> DataFrame:
     """The columns of ``SCHEMA`` for every document: its fingerprint, that of its edited text, and likenesses."""
-    spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bounds, circle = _ranges(docs, shuffle_partitions(spark))
-    ahead = spark.createDataFrame(circle, "first long, before int")  # a row for each range
-    here = docs.withColumn("range", _range_of(bounds)).join(F.broadcast(ahead), F.col("doc_id").eqNullSafe(F.col("first")), "left")
+    spark, parts = docs.sparkSession, shuffle_partitions(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("hash"))
+    bounds, heavy = _bounds(docs, parts)
+    ranged = docs.withColumn("range", _range_of(bounds))
+    ahead = spark.createDataFrame(_circle(ranged), "first long, first_hash long, before int")  # a row for each range
+    at_first = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("hash") == F.col("first_hash"))
+    here = _counted(docs, heavy).withColumn("range", _range_of(bounds)).join(F.broadcast(ahead), at_first, "left")
     copies = F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("ahead")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("range"), F.lit(True).alias("ahead")))))
-    dealt = here.select("doc_id", "text", F.explode(copies).alias("to")).select("to.range", "to.ahead", "doc_id", "text")
-    # one look-ahead row closes a range: of rows that repeat an id the first by text
-    ordered = dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "ahead", "doc_id", F.coalesce("text", F.lit("")))
-    return ordered.mapInArrow(_stream, SCHEMA)
+    dealt = here.select("doc_id", "text", "hash", "copies", F.explode(copies).alias("to")).select("to.range", "to.ahead", "doc_id", "text", "hash", "copies")
+    # one look-ahead row closes a range: of rows that repeat an id the first by hash
+    ordered = dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "ahead", "doc_id", "hash", F.coalesce("text", F.lit("")))
+    found = ordered.mapInArrow(_stream, COUNTED)
+    if not heavy:
+        return found.drop("copies")
+    spread = found.repartition(parts)
+    return spread.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")

@@ -601,6 +601,34 @@ def test_fingerprint_of_one_and_of_no_document(table):
     assert fingerprint.fingerprint_with_edit(table([(1, "b"), (1, "a"), (None, "x"), (1, "a")])).count() == 4
 
 
+def test_fingerprints_of_rows_that_share_an_id(table):
+    """A third of the rows has one id, a third has none, and a third of the table is one row over and over."""
+    rng = random.Random(5)
+    rows = [(7, prose(9, rng)) for _ in range(60)] + [(None, "the same row")] * 60 + [(None, prose(8, rng)) for _ in range(20)] + [(100 + k, prose(9, rng)) for k in range(40)]
+    rng.shuffle(rows)
+    docs = table(rows)
+    hashed = docs.select("doc_id", "text", fingerprint.text_hash().alias("hash"))
+    bounds, heavy = fingerprint._bounds(hashed, 24)
+    counted = fingerprint._counted(hashed, heavy).groupBy(fingerprint._range_of(bounds).alias("range")).count().collect()
+    same = hashed.where("text = 'the same row'").first()["hash"]
+    assert heavy == [(None, same)] and max(r["count"] for r in counted) < 24 and sum(r["count"] for r in counted) == 180 - 59
+    order = sorted(((r.doc_id is not None, r.doc_id or 0, r.hash, r.text) for r in hashed.collect()))
+    sampler = fingerprint.Sampler()
+    want = Counter()
+    for (has, doc_id, _, text), following in zip(order, order[1:] + order[:1]):
+        one, after, edited = sampler.signature(text), sampler.signature(following[3]), fingerprint.edited_text(text, following[3])
+        want[(doc_id if has else None, hashlib.sha256(edited.encode()).hexdigest(), fingerprint.to_text(one), fingerprint.likeness(one, after))] += 1
+    spark = docs.sparkSession
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("24", "1"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = Counter((r.doc_id, r.edited_sha256, r.fingerprint, r.near_next) for r in fingerprint.fingerprint_with_edit(docs).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got == want
+
+
 def test_collision_rate_is_the_generalised_jaccard_similarity():
     rng, gaps = random.Random(14), []
     sampler = fingerprint.Sampler(kept=64, late=0)
