@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from .operators import density, filters, graph, identity, neighbours, queue as Q
 from .plans import activity, people
 from .queries import COS, VEC, query, ts
 from .sources import parsers, snapshots
+from .streaming import buckets, labels
+from .tables import remove, shared_folder, written
 
 #: The stored form of a time, in Spark and in DuckDB.
 SPARK_ISO = "date_format({0}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
@@ -576,3 +579,63 @@ def index_probed(spark, sf_dir):
     vectors = D.vectors(spark, sf_dir).selectExpr("vec_id AS id", "vector")
     index, asked = vector_index.build(vectors), vectors.where("id % 20 = 0")
     return index.search(asked, 10, index.probes_for(asked)).select("id", "hit", F.round("distance", 6).alias("distance"))
+
+
+# --- tables kept batch by batch
+
+
+def _kept(spark, make):
+    """The result of ``make(folder)`` as a table; the folder of the store goes."""
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    try:
+        return written(make(folder), "kept")
+    finally:
+        remove(spark, folder)
+
+
+@query("""SELECT o_orderkey::VARCHAR AS order_id, coalesce(r.status, o_orderstatus) AS status, coalesce(r.lines, 0) AS lines
+FROM orders LEFT JOIN (SELECT l_orderkey, 'R' AS status, count(*) AS lines FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) r ON l_orderkey = o_orderkey""")
+def bucketed_upsert(spark, sf_dir):
+    """All orders in buckets; then those with returned lines replace their rows."""
+
+    def make(folder):
+        store = buckets.BucketStore(spark, folder, {"orders": "order_id string, status string, lines long"}, {"orders": "order_id"}, 16)
+        store.write(orders=D.table(spark, sf_dir, "orders").selectExpr("cast(o_orderkey AS string) AS order_id", "o_orderstatus AS status", "0L AS lines"))
+        returned = D.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+        store.upsert("orders", returned.selectExpr("cast(l_orderkey AS string) AS order_id", "'R' AS status", "lines"), ["order_id"])
+        return store.read("orders")
+
+    return _kept(spark, make)
+
+
+@query("""SELECT 'doc:' || doc_id AS source_id, sha256(CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || ' again' ELSE coalesce(text, '') END) AS content_hash, TIMESTAMP '2026-01-02' AS indexed_at FROM documents WHERE doc_id % 3 <> 1""")
+def ingested_documents(spark, sf_dir):
+    """Documents after two batches: created all, then a third of them changed, a third deleted, a third sent again as they were."""
+
+    def make(folder):
+        store = buckets.graph_store(spark, folder, 16)
+        docs = D.table(spark, sf_dir, "documents").selectExpr("concat('doc:', doc_id) AS source_id", "'files' AS source_type", "doc_id % 3 AS turn", "coalesce(text, '') AS text")
+        buckets.apply_batch(store, docs.selectExpr("source_id", "source_type", "'created' AS operation", "text", "timestamp'2026-01-01' AS enqueued_at"))
+        buckets.apply_batch(store, docs.selectExpr("source_id", "source_type", "IF(turn = 1, 'deleted', 'modified') AS operation", "IF(turn = 0, concat(text, ' again'), text) AS text", "timestamp'2026-01-02' AS enqueued_at"))
+        return store.read("nodes").selectExpr("source_id", "content_hash", "cast(indexed_at AS timestamp_ntz) AS indexed_at")
+
+    return _kept(spark, make)
+
+
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 1 AS b FROM customer WHERE c_custkey % 5 <> 4 UNION ALL SELECT c_custkey, c_custkey + 10 FROM customer WHERE c_custkey % 50 = 0 AND c_custkey % 100 <> 0),
+ids AS (SELECT a AS id FROM e UNION SELECT b FROM e UNION SELECT c_custkey + 10 FROM customer WHERE c_custkey % 50 = 0),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT id, id FROM ids UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
+SELECT lpad(a::VARCHAR, 10, '0') AS id, lpad(min(b)::VARCHAR, 10, '0') AS component FROM r GROUP BY a""")
+def kept_labels(spark, sf_dir):
+    """Labels of the customers' chains after a batch that ties some of them and one that unties a half of these again."""
+    key = lambda rows: rows.selectExpr("lpad(cast(a AS string), 10, '0') AS a", "lpad(cast(b AS string), 10, '0') AS b")
+    ties = D.table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").selectExpr("c_custkey AS a", "c_custkey + 10 AS b")
+
+    def make(folder):
+        kept = labels.Labels(spark, folder, 16)
+        kept.add(key(D.table(spark, sf_dir, "customer").where("c_custkey % 5 <> 4").selectExpr("c_custkey AS a", "c_custkey + 1 AS b")))
+        kept.add(key(ties))
+        kept.remove(key(ties.where("a % 100 = 0")), block=True)
+        return kept.table()
+
+    return _kept(spark, make)

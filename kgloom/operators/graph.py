@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import written
+from ..tables import placed, remove, written
 
 #: Relations that tie a person to a document.
 PERSON_RELATIONS = ("MENTIONS", "SENT", "SENT_BY", "AUTHORED", "AUTHORED_BY", "TO", "ORGANIZED_BY", "ATTENDED_BY", "CREATED_BY")
@@ -33,18 +33,27 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the least id reachable over undirected pairs.
 
     Large-star and small-star steps alternate on stored tables until nothing moves, in about log(size) rounds. Minima are aggregated before the shuffle.
+    Only the last table outlives the loop.
     """
-    edges = written(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    spark = pairs.sparkSession
+    edges, path = placed(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    n = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        large, large_path = placed(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        new = written(small, "small")
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
+        new, new_path = placed(small, "small")
+        # sets of equal size are equal if one lies in the other
+        size, settled = new.count(), False
+        if size == n:
+            settled = new.join(edges, ["u", "v"], "left_anti").isEmpty()
+        for done in (path, large_path):
+            remove(spark, done)
+        edges, path, n = new, new_path, size
+        if settled:
             break
-        edges = new
     roots = edges.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 

@@ -58,13 +58,16 @@ class Store:
             version = f"{name}-{uuid.uuid4().hex}"
             df.write.parquet(f"{self.folder}/{version}")
             names[name] = version
+        self._publish(heads, names)
+        self._clean(heads, names)
+
+    def _publish(self, heads: list[int], names: dict) -> None:
         made = self._path(f"{self.folder}/new-{uuid.uuid4().hex}")
         out = self._fs.create(made, False)
         out.write(json.dumps(names).encode())
         out.close()
         if not self._fs.rename(made, self._path(f"{self.folder}/head-{(heads or [0])[-1] + 1}.json")):
             raise OSError("the tables' next head is there already: two writers")
-        self._clean(heads, names)
 
     def _clean(self, heads: list[int], names: dict[str, str]) -> None:
         named = set(names.values()) | (set(self._names(heads[-1]).values()) if heads else set())
@@ -79,9 +82,10 @@ def apply_batch(store: Store, events: DataFrame, label: str = "File", embedder=N
     """One batch of events (source_id, source_type, operation, text, enqueued_at): the last of each document counts.
 
     Deleted documents go from all tables. Documents already indexed with equal content only get a new time. The others' chunks, vectors and hint edges are replaced.
+    Events without a source_id name no document and are passed over.
     """
     nodes, edges, chunks, vectors = (store.read(n) for n in TABLES)
-    last = writers.latest(events, ["source_id"], F.desc("enqueued_at")).withColumn("content_hash", T.content_hash(F.col("text")))
+    last = writers.latest(events.where("source_id IS NOT NULL"), ["source_id"], F.desc("enqueued_at")).withColumn("content_hash", T.content_hash(F.col("text")))
     deleted, live = last.where("operation = 'deleted'"), last.where("operation <> 'deleted'")
     known = nodes.select("source_id", F.col("content_hash").alias("_old"))
     changed = live.join(known, "source_id", "left").where(~F.col("content_hash").eqNullSafe(F.col("_old"))).drop("_old")

@@ -24,11 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
-def written(df: DataFrame, label: str = "step") -> DataFrame:
-    """``df`` as a table in the shared folder."""
+def placed(df: DataFrame, label: str = "step") -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path: for ``remove`` when it has been read."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str = "step") -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    return placed(df, label)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
