@@ -19,31 +19,35 @@ def word_index(entities: DataFrame, name_col: str = "name") -> DataFrame:
     return entities.where(F.col(name_col).isNotNull()).select(F.explode(words(F.col(name_col))).alias("word"), F.col(name_col).alias("name")).distinct()
 
 
-def _pieces(word: Column) -> Column:
-    """A word in three: two edits leave one of them whole, and at most two places from where it was. Empty pieces are left out (see ``near_words``)."""
+def _pieces(word: Column, count: int) -> Column:
+    """A word in ``count`` pieces. Edits that break fewer leave one whole, and at most two places from where it was. Empty pieces are left out (see ``near_words``)."""
     n = F.length(word)
-    cut = lambda k: F.floor(n * k / 3).cast("int")
-    parts = F.transform(F.array(*map(F.lit, range(3))), lambda k: F.struct(k.alias("k"), cut(k).alias("at"), F.substring(word, cut(k) + 1, cut(k + 1) - cut(k)).alias("piece")))
+    cut = lambda k: F.floor(n * k / count).cast("int")
+    parts = F.transform(F.array(*map(F.lit, range(count))), lambda k: F.struct(k.alias("k"), cut(k).alias("at"), F.substring(word, cut(k) + 1, cut(k + 1) - cut(k)).alias("piece")))
     return F.filter(parts, lambda p: p["piece"] != "")
 
 
+def _met_by_pieces(left: DataFrame, right: DataFrame, count: int = 3, shortest: int = 1) -> DataFrame:
+    """(word, near) that share a piece of the right word, by its number, that word's length and a place in reach."""
+    b = right.select(F.col("word").alias("near")).distinct().withColumn("n", F.length("near")).select("near", "n", F.inline(_pieces(F.col("near"), count)))
+    a = left.select("word").distinct().withColumn("m", F.length("word"))
+    # every length in reach, and in it every place in reach of every piece
+    reach = a.select("word", F.explode(F.sequence(F.greatest(F.lit(1), F.col("m") - MOST_EDITS), F.col("m") + MOST_EDITS)).alias("n")).where(F.col("n") >= shortest)
+    cut = lambda k: F.floor(F.col("n") * k / count).cast("int")
+    placed = reach.select("word", "n", F.explode(F.array(*map(F.lit, range(count)))).alias("k")).withColumn("at", cut(F.col("k"))).withColumn("size", cut(F.col("k") + 1) - F.col("at")).where("size > 0")
+    probes = placed.select("word", "n", "k", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - MOST_EDITS), F.col("at") + MOST_EDITS)).alias("p"), "size")
+    probes = probes.select("word", "n", "k", F.expr("substring(word, p + 1, size)").alias("piece"), "size").where("length(piece) = size").distinct()
+    return probes.join(b, ["n", "k", "piece"]).select("word", "near").distinct()
+
+
 def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
     """(word, near) of all words of ``right`` that are at most two edits, and fewer edits than either has characters, from one of ``left``.
 
     Distinct words meet on a piece of the right word, its number and that word's length, so nothing is compared with everything and nothing is lost:
     words of one or two characters allow no or one edit, which leaves a piece that is not empty.
     """
-    b = right.select(F.col("word").alias("near")).distinct().withColumn("n", F.length("near")).select("near", "n", F.inline(_pieces(F.col("near"))))
-    a = left.select("word").distinct().withColumn("m", F.length("word"))
-    # every length in reach, and in it every place in reach of every piece
-    reach = a.select("word", F.explode(F.sequence(F.greatest(F.lit(1), F.col("m") - MOST_EDITS), F.col("m") + MOST_EDITS)).alias("n"))
-    cut = lambda k: F.floor(F.col("n") * k / 3).cast("int")
-    placed = reach.select("word", "n", F.explode(F.array(*map(F.lit, range(3)))).alias("k")).withColumn("at", cut(F.col("k"))).withColumn("size", cut(F.col("k") + 1) - F.col("at")).where("size > 0")
-    probes = placed.select("word", "n", "k", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - MOST_EDITS), F.col("at") + MOST_EDITS)).alias("p"), "size")
-    probes = probes.select("word", "n", "k", F.expr("substring(word, p + 1, size)").alias("piece"), "size").where("length(piece) = size").distinct()
-    met = probes.join(b, ["n", "k", "piece"]).select("word", "near").distinct()
     edits = F.levenshtein("word", "near")
-    return met.where((edits <= MOST_EDITS) & (edits < F.least(F.length("word"), F.length("near"))))
+    return _met_by_pieces(left, right).where((edits <= MOST_EDITS) & (edits < F.least(F.length("word"), F.length("near"))))
 
 
 def candidates(names: DataFrame, index: DataFrame, entities: DataFrame, by: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import driver_views as D
-from .operators import fulltext, queue as Q
+from .operators import fulltext, ranked_words, queue as Q
 from .plans import search
 from .queries import COS, VEC, query
 from .sources import parsers
@@ -116,3 +116,22 @@ def imported_cursors(spark, sf_dir):
 def pruned_archives(spark, sf_dir):
     rows = D.table(spark, sf_dir, "nation").selectExpr("concat('b', n_nationkey) AS name", "timestamp_seconds(n_nationkey * 86400) AS created_at")
     return Q.to_prune(rows, 7).select("name")
+
+
+ALL_WORDS = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+@query(f"""WITH q AS (SELECT DISTINCT s_suppkey, unnest({ALL_WORDS.format('s_name')}) AS word FROM supplier),
+d AS (SELECT name, {ALL_WORDS.format('name')} AS ws FROM (SELECT c_name AS name FROM customer UNION SELECT p_name FROM part) WHERE len({ALL_WORDS.format('name')}) > 0),
+p AS (SELECT name, len(ws) AS n, word AS near, count(*) AS times FROM (SELECT name, ws, unnest(ws) AS word FROM d) GROUP BY ALL),
+f AS (SELECT near, count(*) AS names FROM p GROUP BY near), t AS (SELECT count(*) AS every, avg(len(ws)) AS mean FROM d),
+m AS (SELECT word, near, names, damerau_levenshtein(word, near) AS edits FROM (SELECT DISTINCT word FROM q), f WHERE damerau_levenshtein(word, near) <= 2 AND damerau_levenshtein(word, near) < least(length(word), length(near))),
+s AS (SELECT s_suppkey, name, sum((1 - edits / least(length(word), length(near))) * ln(1 + (every - names + 0.5::DOUBLE) / (names + 0.5)) * times * 2.2::DOUBLE / (times + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM q JOIN m USING (word) JOIN p USING (near), t GROUP BY ALL)
+SELECT s_suppkey, count(name) AS n, round(sum(score), 4) AS total, round(max(score), 6) AS best FROM (SELECT DISTINCT s_suppkey FROM supplier) LEFT JOIN s USING (s_suppkey) GROUP BY s_suppkey""")
+def ranked_candidates(spark, sf_dir):
+    """As ``entity_candidates`` with exchanges as one edit and BM25 scores. DuckDB's distance may edit a part twice; that differs for words like "ca" and "abc" alone, which these tables lack."""
+    names = D.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"))
+    known = D.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).unionByName(D.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))).distinct()
+    entities = known.withColumn("type", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("double"))
+    found = ranked_words.candidates(names, ranked_words.build(known), entities, ["s_suppkey"])
+    return found.groupBy("s_suppkey").agg(F.count("name").alias("n"), F.round(F.sum("score"), 4).alias("total"), F.round(F.max("score"), 6).alias("best"))
