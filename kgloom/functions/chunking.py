@@ -86,14 +86,23 @@ def estimate(text: str | None) -> int:
     return max(1, len(text) // 4) if text else 0
 
 
+def window_bounds(times: list[float], texts: list[str | None], gap: float = 1800, most: int = 512, overlap: int = 3, begin: int = 1) -> list[tuple[int, int, int]]:
+    """(first, end, opener) of the windows of messages in order: ``opener`` is the message that began it, before which come those carried over.
+
+    The ``begin`` first messages are an open window as it was carried over with its opener: they do not close it.
+    """
+    total = [0, *accumulate(estimate(text) for text in texts)]
+    first, opener, bounds = 0, 0, []
+    for at in range(max(1, begin), len(times)):
+        apart = times[at] - times[at - 1] > gap
+        if apart or total[at + 1] - total[first] >= most:
+            bounds.append((first, at, opener))
+            first, opener = at if apart else max(first, at - max(0, overlap)), at
+    return [b for b in [*bounds, (first, len(times), opener)] if b[0] < b[1]]
+
+
 def split_windows(times: list[float], texts: list[str | None], gap: float = 1800, most: int = 512, overlap: int = 3) -> list[list[int]]:
     """Positions of the messages in each window: a longer gap closes one; so does reaching ``most`` tokens, and then the next begins with the last ``overlap`` messages."""
     order = sorted(range(len(times)), key=times.__getitem__)
-    total = [0, *accumulate(estimate(texts[k]) for k in order)]
-    first, bounds = 0, []
-    for at in range(1, len(order)):
-        apart = times[order[at]] - times[order[at - 1]] > gap
-        if apart or total[at + 1] - total[first] >= most:
-            bounds.append((first, at))
-            first = at if apart else max(first, at - max(0, overlap))
-    return [order[s:e] for s, e in [*bounds, (first, len(order))] if s < e]
+    found = window_bounds([times[k] for k in order], [texts[k] for k in order], gap, most, overlap)
+    return [order[s:e] for s, e, _ in found]

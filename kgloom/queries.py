@@ -12,7 +12,7 @@ from .functions import answers, chunking, fuzzy, text as T, times, vectors as V
 from .operators import clustering, filters, graph, identity, queue as Q, writers
 from .plans import activity, people, search
 from .sources import parsers, snapshots
-from .streaming import sessions
+from .streaming import chats, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -435,20 +435,50 @@ def calendar_collisions(spark, sf_dir):
 # --- sessions and chunks
 
 
+def recursive_windows(messages: str, most: int = sessions.MOST, overlap: int = sessions.OVERLAP, gap: int = sessions.GAP) -> str:
+    """SQL (key, session, first, last) of token windows over (key, sent, pos, text): one step of the recursion is one message of each key."""
+    return f"""RECURSIVE m AS (SELECT *, row_number() OVER w AS rn, sum(CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END) OVER w AS upto,
+    coalesce(sent - lag(sent) OVER w > {gap}, FALSE) AS apart FROM ({messages}) WINDOW w AS (PARTITION BY key ORDER BY sent, pos ROWS UNBOUNDED PRECEDING)),
+walk AS (SELECT key, rn, rn AS first, 0::BIGINT AS session, 0 AS window_no, FALSE AS cut FROM m WHERE rn = 1
+  UNION ALL SELECT m.key, m.rn, CASE WHEN m.apart THEN m.rn WHEN m.upto - coalesce(b.upto, 0) >= {most} THEN greatest(walk.first, m.rn - {overlap}) ELSE walk.first END,
+    walk.session + m.apart::INT, CASE WHEN m.apart THEN 0 WHEN m.upto - coalesce(b.upto, 0) >= {most} THEN walk.window_no + 1 ELSE walk.window_no END, m.apart OR m.upto - coalesce(b.upto, 0) >= {most}
+  FROM walk JOIN m ON m.key = walk.key AND m.rn = walk.rn + 1 LEFT JOIN m b ON b.key = walk.key AND b.rn = walk.first - 1),
+bounds AS (SELECT * FROM (SELECT *, coalesce(lead(cut) OVER (PARTITION BY key ORDER BY rn), TRUE) AS ends FROM walk) WHERE ends)"""
+
+
 @query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM g)
 SELECT user_id, session, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS messages FROM s GROUP BY 1, 2""")
 def session_windows(spark, sf_dir):
-    return sessions.sessions(D.table(spark, sf_dir, "events"), "user_id", "ts", "event_id")
+    return sessions.sessions(D.table(spark, sf_dir, "events"), "user_id")
 
 
-@query()
+@query(f"""WITH {recursive_windows("SELECT conv_id AS key, turn * 60.0 AS sent, turn AS pos, text FROM conversations")}
+SELECT key, session, window_no::INT AS "window", (bounds.rn - first + 1)::INT AS messages, f.pos AS first_pos, l.pos AS last_pos
+FROM bounds JOIN m f USING (key) JOIN m l USING (key) WHERE f.rn = bounds.first AND l.rn = bounds.rn""")
 def token_windows(spark, sf_dir):
-    """Sequential: tests hold it against the fixture's cases."""
     rows = D.table(spark, sf_dir, "conversations").withColumn("at", F.col("turn") * 60.0)
     return sessions.token_windows(rows, "conv_id", "turn", "at")
 
 
+CHAT_CHANGES = """SELECT conv_id::VARCHAR AS channel, turn::VARCHAR AS message, turn * 900.0 AS sent, 0.0 AS version, FALSE AS gone, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT conv_id::VARCHAR, turn::VARCHAR, turn * 900.0, 1.0, turn % 4 = 3, 'edited ' || coalesce(text, '') FROM conversations WHERE turn % 4 IN (1, 3)"""
+
+
+def chat_changes(spark, sf_dir):
+    """Conversations as channels: every fourth turn is edited, every fourth deleted."""
+    posted = D.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("channel"), F.col("turn").cast("string").alias("message"), (F.col("turn") * 900.0).alias("at"), F.lit(0.0).alias("version"), F.lit(False).alias("gone"), F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.col("message").cast("long") % 4
+    return posted.union(posted.where(turn.isin(1, 3)).withColumns({"version": F.lit(1.0), "gone": turn == 3, "text": F.concat(F.lit("edited "), "text")}))
+
+
+@query(f"""WITH {recursive_windows(f"SELECT channel AS key, sent, message AS pos, now[3] AS text FROM (SELECT channel, message, sent, max(row(version, gone, text)) AS now FROM ({CHAT_CHANGES}) WHERE sent IS NOT NULL AND channel IS NOT NULL GROUP BY ALL) WHERE NOT now[2]", most=300)}
+SELECT key AS channel, printf('window/%.6f%s-%.6f%s', min(m.sent), min_by(m.pos, m.rn), max(m.sent), max_by(m.pos, m.rn)) AS window_id, min(m.sent)::DOUBLE AS first_at, max(m.sent)::DOUBLE AS last_at,
+  count(*)::INT AS messages, string_agg(m.text, chr(10) ORDER BY m.rn) AS text FROM bounds JOIN m USING (key) WHERE m.rn BETWEEN bounds.first AND bounds.rn GROUP BY key, bounds.rn""")
+def chat_windows(spark, sf_dir):
+    return chats.chat_windows(chat_changes(spark, sf_dir), most=300)
+
+
 @query()
 def chunk_documents(spark, sf_dir):
     return chunking.chunks(D.table(spark, sf_dir, "documents"), id_col="doc_id")
