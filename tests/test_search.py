@@ -29,6 +29,16 @@ def test_near_words_are_those_of_all_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
 
 
+def test_words_that_begin_alike_meet_about_as_often_as_they_are_near(spark):
+    numbers = spark.range(2000).selectExpr("lpad(cast(id AS string), 9, '0') AS word")
+    asked = numbers.where("word < 40")
+    found = fulltext.near_words(asked, numbers)
+    names = [f"{k:09d}" for k in range(2000)]
+    assert {tuple(r) for r in found.collect()} == {(a, b) for a in names[:40] for b in names if edits(a, b) <= 2}
+    # all of these numbers share their first piece: by pieces every one of the 80,000 pairs meets
+    assert found.count() < fulltext._meetings(asked, numbers, False).count() < 40_000
+
+
 def test_candidates_by_fuzzy_word(spark):
     known = spark.createDataFrame([("Kubernetes", "Technology", 0.9), ("Jon Smith", None, None), ("", None, None), (None, None, None)], "name string, type string, confidence double")
     names = spark.createDataFrame([(1, "Kubernets"), (1, None), (2, "Smyth & Co"), (3, "unknown")], "doc int, name string")
