@@ -37,6 +37,19 @@ def test_near_words_equal_all_pairs(spark):
     assert ("abcdefghijklmnop", "badcefghijklmnop", 2) in want and ("ca", "ac", 1) in want and not any(x[:2] == ("ca", "abc") for x in want)
 
 
+def test_numbers_meet_without_python_and_keep_exchanges(spark):
+    frame = lambda words: spark.createDataFrame([(w,) for w in words], "word string")
+    rng = random.Random(3)
+    left = [f"{rng.randrange(3000):07d}" for _ in range(30)] + ["a", "ab", "ba", "abc", "cab", "abcd", "badc"]
+    right = [f"{k:07d}" for k in range(0, 3000, 3)] + ["b", "ba", "bac", "acb", "cabx", "bxa", "bdac", "badc", "x", "bad"]
+    found = R.near_words(frame(left), frame(right))
+    got = [tuple(r) for r in found.collect()]
+    want = {(a, b, osa(a, b)) for a in left for b in right if osa(a, b) <= 2 and osa(a, b) < min(len(a), len(b))}
+    assert set(got) == want and len(got) == len(want)
+    short = R._met_by_patterns(frame(left), frame(right), True)
+    assert "EvalPython" not in short._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ranked_candidates_equal_brute_force(spark):
     names = ["Spark Summit Berlin", "Spark", "spark spark event", "Kafka Summit", "Berlin office", "!!", "Ünder", None]
     entities = spark.createDataFrame([(n, None if k % 2 else "Event", None if k % 3 else 0.5) for k, n in enumerate(names)], "name string, type string, confidence double")
