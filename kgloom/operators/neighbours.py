@@ -2,7 +2,7 @@
 
 Each of ``TREES`` orders sorts all vectors by the signs of random projections of the centred vectors, then by one more projection. Vectors that are close tend to be close in an order, so it is cut into
 leaves of ``LEAF`` rows, however many vectors are equal, and only the rows of a leaf are compared. A round of descent then compares the neighbours of each vector, either way and at most ``POOL`` each, with
-each other; the best ``POOL`` of a vector are kept until the last round. The work for a row is that of its leaves and rounds and doesn't depend on the table's size. The exact graph holds blocks of the table against all of it and is meant for small
+each other; the best ``POOL`` of a vector are kept until the last round, and only what can come among these leaves a task. The work for a row is that of its leaves and rounds and doesn't depend on the table's size. The exact graph holds blocks of the table against all of it and is meant for small
 tables, tests and measures of recall.
 
 Distances are Euclidean; vectors of length 1 are thus compared by cosine. Rows without an id, a vector or a number in it, or with another width than the first row by id have no neighbours; of repeated ids the vector
@@ -44,16 +44,53 @@ def distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.sqrt(((many - one) ** 2).sum(axis=1))
 
 
-def within(ids: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
+def _rough(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all pairs by one product of matrices, those to themselves infinite, and by how much they may be wrong."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = (matrix**2).sum(axis=1)
+        rough = size[:, None] + size[None, :] - 2 * (matrix @ matrix.T)
+        slack = 1e-9 * (size[:, None] + size.max())
+    if not np.isfinite(rough).all():  # lengths too great to be squared: every pair is worked out
+        rough = np.zeros_like(rough)
+    np.fill_diagonal(rough, np.inf)
+    return rough, slack
+
+
+def _worked_out(ids: np.ndarray, matrix: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and exact distances of the pairs wanted, by the first, the distance and the other's id."""
+    one, other = np.nonzero(wanted)
+    step = max(1, (1 << 20) // matrix.shape[1])
+    d = np.concatenate([np.zeros(0), *(distances(matrix[one[k : k + step]], matrix[other[k : k + step]]) for k in range(0, len(one), step))])
+    order = np.lexsort((ids[other], d, one))
+    return one[order], other[order], d[order]
+
+
+def within(ids: np.ndarray, matrix: np.ndarray, k: int) -> pd.DataFrame:
     """Each row's k nearest among the others, ties to the lesser id."""
-    for n, own in enumerate(ids):
-        d = distances(matrix[n], matrix)
-        order = [m for m in np.lexsort((ids, d))[: k + 1] if m != n][:k]
-        yield from ((int(own), int(ids[m]), float(d[m])) for m in order)
+    if len(ids) < 2:
+        return _frame([], [], [])
+    rough, slack = _rough(matrix)
+    last = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] if k < len(ids) - 1 else np.inf
+    one, other, d = _worked_out(ids, matrix, rough <= np.minimum(last + 2 * slack, np.finfo(float).max))
+    rank = np.arange(len(one)) - np.searchsorted(one, one)
+    keep = rank < k
+    return _frame(ids[one[keep]], ids[other[keep]], d[keep])
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["id", "hit", "distance"])
+def closer(ids: np.ndarray, matrix: np.ndarray, reach: np.ndarray) -> pd.DataFrame:
+    """Of each row the others that are no farther than its ``reach``."""
+    if len(ids) < 2:
+        return _frame([], [], [])
+    rough, slack = _rough(matrix)
+    with np.errstate(over="ignore"):
+        wanted = rough <= np.minimum((reach**2)[:, None] * (1 + 1e-9) + 2 * slack, np.finfo(float).max)
+    one, other, d = _worked_out(ids, matrix, wanted)
+    keep = d <= reach[one]
+    return _frame(ids[one[keep]], ids[other[keep]], d[keep])
+
+
+def _frame(ids, hits, d) -> pd.DataFrame:
+    return pd.DataFrame({"id": np.asarray(ids, dtype=np.int64), "hit": np.asarray(hits, dtype=np.int64), "distance": np.asarray(d, dtype=float)})
 
 
 def nearest(edges: DataFrame, k: int, key: str = "id", other: str = "hit") -> DataFrame:
@@ -62,6 +99,11 @@ def nearest(edges: DataFrame, k: int, key: str = "id", other: str = "hit") -> Da
     return edges.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
+def _best(edges: DataFrame, k: int) -> DataFrame:
+    """The k least edges of each id, repeated ones once, in one shuffle."""
+    return nearest(edges.repartition("id").distinct(), k)
+
+
 def orders(vectors: DataFrame, trees: int = TREES, seed: int = SEED) -> DataFrame:
     """Every vector once for each tree, with its place in that tree's order: tree, signs and value."""
     centre = vectors.select(F.posexplode("vector").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("x")).orderBy("pos")
@@ -91,12 +133,14 @@ def leaves(ordered: DataFrame, compare, schema: str, leaf: int = LEAF, extra: tu
         held = None
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            while len(held):
-                n = min(leaf, int((held["tree"] == held["tree"].iloc[0]).argmin()) or len(held))
-                if n == len(held) and n < leaf:
+            tree, at = held["tree"].to_numpy(), 0
+            while at < len(held):
+                n = min(leaf, int(np.searchsorted(tree, tree[at], "right")) - at)
+                if at + n == len(held) and n < leaf:
                     break  # the run may go on in the next batch
-                yield from compare(held.iloc[:n])
-                held = held.iloc[n:].reset_index(drop=True)
+                yield from compare(held.iloc[at : at + n])
+                at += n
+            held = held.iloc[at:].reset_index(drop=True)
         if held is not None and len(held):
             yield from compare(held)
 
@@ -110,18 +154,21 @@ def knn_graph(vectors: DataFrame, k: int = 15, trees: int = TREES, leaf: int = L
         held = put(vectors.select("id", "vector"), "vectors")
 
         def compare(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            yield _frame(list(within(rows["id"].to_numpy(), np.stack(rows["vector"].to_numpy()), pool)))
+            yield within(rows["id"].to_numpy(), np.stack(rows["vector"].to_numpy()), pool)
 
-        graph = put(nearest(leaves(orders(held, trees, seed), compare, EDGES, max(leaf, k + 1)).distinct(), pool), "graph")
+        graph = put(_best(leaves(orders(held, trees, seed), compare, EDGES, max(leaf, k + 1)), pool), "graph")
         for _ in range(rounds):
             back = nearest(graph, pool, "hit", "id").select(F.col("hit").alias("id"), F.col("id").alias("hit"))
-            seen = graph.select("id", "hit").unionByName(back).distinct().join(held.select(F.col("id").alias("hit"), "vector"), "hit")
-            graph = put(nearest(graph.unionByName(_met(seen, pool)).distinct(), pool), "graph")
+            # what is farther from a vector than the last of its full list can't come into it
+            reach = graph.groupBy("id").agg(F.when(F.count("*") >= pool, F.max("distance")).otherwise(float("inf")).alias("reach"))
+            placed = held.join(reach, "id", "left").select(F.col("id").alias("hit"), "vector", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+            seen = graph.select("id", "hit").unionByName(back).distinct().join(placed, "hit")
+            graph = put(_best(graph.unionByName(_met(seen)), pool), "graph")
         return written(nearest(graph, k), "knn")
 
 
-def _met(seen: DataFrame, k: int) -> DataFrame:
-    """What the neighbours of each vector are to each other."""
+def _met(seen: DataFrame) -> DataFrame:
+    """What the neighbours of each vector are to each other, as far as it is in reach."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -135,11 +182,11 @@ def _met(seen: DataFrame, k: int) -> DataFrame:
             yield from each(held)
 
     def each(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        out = []
-        for _, group in rows.groupby("id", sort=False):
-            out += within(group["hit"].to_numpy(), np.stack(group["vector"].to_numpy()), k)
-        if out:
-            yield _frame(out)
+        if not len(rows):
+            return
+        hits, vectors, reach = rows["hit"].to_numpy(), rows["vector"].to_numpy(), rows["reach"].to_numpy()
+        ends = [*(np.flatnonzero(np.diff(rows["id"].to_numpy())) + 1).tolist(), len(rows)]
+        yield pd.concat([closer(hits[a:z], np.stack(vectors[a:z]), reach[a:z]) for a, z in zip([0, *ends], ends)])
 
     return seen.repartition("id").sortWithinPartitions("id", "hit").mapInPandas(run, EDGES)
 
@@ -166,7 +213,7 @@ def exact_graph(vectors: DataFrame, k: int = 15) -> DataFrame:
                     d = distances(np.asarray(vector), matrix.value)
                     order = [m for m in np.lexsort((ids.value, d))[: k + 1] if ids.value[m] != own][:k]
                     out += [(own, int(ids.value[m]), float(d[m])) for m in order]
-                yield _frame(out)
+                yield pd.DataFrame(out, columns=["id", "hit", "distance"])
 
         one = vectors.mapInPandas(run, EDGES)
         best = one if best is None else nearest(best.unionByName(one), k)

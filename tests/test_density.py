@@ -180,6 +180,20 @@ def test_neighbour_graph_finds_the_exact_one(spark):
     assert N.recall(found, exact) >= 0.95
 
 
+def test_only_what_comes_into_a_full_list_leaves_a_task(spark):
+    rng = np.random.default_rng(7)
+    for matrix in (rng.normal(size=(60, 5)), rng.integers(0, 2, size=(60, 3)).astype(float), np.full((9, 2), 1e200) * rng.normal(size=(9, 2))):
+        ids = rng.permutation(len(matrix)) * 3
+        every = [(int(ids[a]), int(ids[b]), float(N.distances(matrix[a], matrix[b : b + 1])[0])) for a in range(len(ids)) for b in range(len(ids)) if a != b]
+        nearest = {own: sorted((d, b) for a, b, d in every if a == own)[:7] for own in ids.tolist()}
+        got = [tuple(r) for r in N.within(ids, matrix, 7).itertuples(index=False)]
+        assert sorted(got) == sorted((a, b, d) for a, found in nearest.items() for d, b in found)
+        reach = np.array([nearest[own][-1][0] if k % 5 else np.inf for k, own in enumerate(ids.tolist())])
+        got = [tuple(r) for r in N.closer(ids, matrix, reach).itertuples(index=False)]
+        assert sorted(got) == sorted(x for x in every if x[2] <= reach[ids.tolist().index(x[0])])
+    assert len(N.within(np.array([4]), np.ones((1, 2)), 3)) == len(N.closer(np.array([4]), np.ones((1, 2)), np.ones(1))) == 0
+
+
 def test_equal_vectors_share_leaves_of_bounded_size(spark):
     sizes = []
     rows = N.clean(table(spark, np.ones((700, 4))))
