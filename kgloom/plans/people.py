@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import times, vectors as V
 from ..operators.filters import is_open
 from ..operators.graph import PERSON_RELATIONS, both_ways
+from ..tables import written
 
 p = lambda name: F.col("props")[name]
 
@@ -27,6 +28,11 @@ def person_documents(cluster: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.where("other_label <> 'Person'").join(cluster.select(F.col("source_id").alias("id")), "id", "left_semi").select(F.col("other_id").alias("doc_id"), "rel")
 
 
+def _documents(cluster: DataFrame, edges: DataFrame) -> DataFrame:
+    """The ids of a person's documents, as a table, found from the cluster as one: their sizes are then known, so edges meet small ones where they are read, before they are made distinct."""
+    return written(person_documents(written(cluster.select("source_id"), "cluster"), edges).select("doc_id").distinct(), "documents")
+
+
 def interactions(cluster: DataFrame, nodes: DataFrame, edges: DataFrame, since: datetime, limit: int = 10) -> DataFrame:
     """Mails, meetings, chats and files of a person since a time, newest first."""
     docs = person_documents(cluster, edges).distinct().join(nodes.withColumnRenamed("source_id", "doc_id"), "doc_id")
@@ -51,9 +57,8 @@ def interactions(cluster: DataFrame, nodes: DataFrame, edges: DataFrame, since:
 
 
 def top_topics(cluster: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
-    docs = person_documents(cluster, edges).select("doc_id").distinct()
-    tagged = edges.where("rel = 'TAGGED' AND dst_label = 'Topic'").select(F.col("src_id").alias("doc_id"), F.col("dst_id").alias("topic_name")).distinct()
-    return tagged.join(docs, "doc_id").groupBy("topic_name").agg(F.count("*").alias("doc_count")).orderBy(F.desc("doc_count"), "topic_name").limit(k)
+    tagged = edges.where("rel = 'TAGGED' AND dst_label = 'Topic'").select(F.col("src_id").alias("doc_id"), F.col("dst_id").alias("topic_name"))
+    return tagged.join(_documents(cluster, edges), "doc_id", "left_semi").distinct().groupBy("topic_name").agg(F.count("*").alias("doc_count")).orderBy(F.desc("doc_count"), "topic_name").limit(k)
 
 
 def active_topics(cluster: DataFrame, nodes: DataFrame, edges: DataFrame, since: datetime, k: int = 5) -> DataFrame:
@@ -79,9 +84,9 @@ def meeting_context(event_id: str, nodes: DataFrame, edges: DataFrame) -> DataFr
 
 def related_people(cluster: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """Others on the person's documents, by the number of documents shared."""
-    docs = person_documents(cluster, edges).select("doc_id").distinct()
-    ends = both_ways(edges.where(F.col("rel").isin(*PERSON_RELATIONS))).where("label = 'Person' AND other_label <> 'Person'").select(F.col("id").alias("other_id"), F.col("other_id").alias("doc_id")).distinct()
-    others = ends.join(docs, "doc_id").join(cluster.select(F.col("source_id").alias("other_id")), "other_id", "left_anti")
+    ends = both_ways(edges.where(F.col("rel").isin(*PERSON_RELATIONS))).where("label = 'Person' AND other_label <> 'Person'").select(F.col("id").alias("other_id"), F.col("other_id").alias("doc_id"))
+    shared = ends.join(_documents(cluster, edges), "doc_id", "left_semi").distinct()
+    others = shared.join(cluster.select(F.col("source_id").alias("other_id")), "other_id", "left_anti")
     return others.groupBy("other_id").agg(F.count("*").alias("shared_count")).orderBy(F.desc("shared_count"), "other_id").limit(k)
 
 

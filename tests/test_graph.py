@@ -293,3 +293,28 @@ def test_many_wishes_take_linear_time():
     began = time.time()
     assert [w[3] for w in identity.in_turn(wishes)] == list(range(30_000))
     assert time.time() - began < 2
+
+
+def test_edges_meet_a_persons_documents_before_they_are_made_distinct(spark):
+    from kgloom.plans import people
+
+    mails = spark.range(3000).selectExpr("'Email' AS src_label", "concat('m', id % 1000) AS src_id", "'MENTIONS' AS rel", "'Person' AS dst_label", "concat('p', id % 7) AS dst_id").distinct()
+    tagged = spark.range(3000).selectExpr("'Email' AS src_label", "concat('m', id % 1000) AS src_id", "'TAGGED' AS rel", "'Topic' AS dst_label", "concat('t', id % 3) AS dst_id").distinct()
+    edges, cluster = mails.unionByName(tagged), spark.createDataFrame([("p1",)], "source_id string")
+    both, want = mails.select("src_id", "dst_id").collect(), {}
+    own = {r.src_id for r in both if r.dst_id == "p1"}
+    for r in both:
+        if r.src_id in own and r.dst_id != "p1":
+            want[r.dst_id] = want.get(r.dst_id, 0) + 1
+    first = sorted(want.items(), key=lambda x: (-x[1], x[0]))[:5]
+    for found, rows in ((people.related_people(cluster, edges), first), (people.top_topics(cluster, edges), None)):
+        got = [tuple(r) for r in found.collect()]
+        assert got == rows if rows is not None else sum(n for _, n in got) >= len(own)
+        lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        depth = lambda line: next(k for k, c in enumerate(line) if c.isalpha())
+        semi = [k for k, x in enumerate(lines) if "Join LeftSemi" in x]
+        assert semi
+        for k in semi:
+            below = lines[k + 1 :]
+            below = below[: next((n for n, x in enumerate(below) if depth(x) <= depth(lines[k])), len(below))]
+            assert not any("Aggregate" in x for x in below)
