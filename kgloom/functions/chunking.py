@@ -7,11 +7,14 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP, LEAST = 512, 64, 100
+#: Characters of chunks that a task holds before it gives them on.
+OUT_CHARS = 1 << 20
+CHUNKS = pa.schema([("chunk_id", pa.string()), ("source_id", pa.string()), ("chunk_index", pa.int32()), ("text", pa.string())])
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 # Fixed value: how a rendered message begins; replies in a thread are indented.
 _MESSAGE = re.compile(r"^(?:  )?\[\d{2}:\d{2} UTC\]", re.MULTILINE)
@@ -71,15 +74,32 @@ def chunk_messages(text: str | None, size: int = SIZE, overlap: int = 3) -> list
     return out
 
 
-def chunks(docs: DataFrame, chunker=chunk_text, id_col: str = "source_id", text_col: str = "text") -> DataFrame:
-    """chunk_id, source_id, chunk_index and text for each chunk of each document."""
+def _framed(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, CHUNKS)], schema=CHUNKS)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chunked(chunker):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(f"{i}:chunk:{k}", i, k, c) for i, t in zip(batch["source_id"], batch["text"]) for k, c in enumerate(chunker(t))]
-            yield pd.DataFrame(rows, columns=["chunk_id", "source_id", "chunk_index", "text"])
+            rows, held = [], 0
+            for i, t in zip(batch.column(0), batch.column(1)):
+                i = i.as_py()
+                new = [(f"{i}:chunk:{k}", i, k, c) for k, c in enumerate(chunker(t.as_py()))]
+                rows += new
+                held += sum(len(r[3]) for r in new)
+                if held >= OUT_CHARS:
+                    yield _framed(rows)
+                    rows, held = [], 0
+            yield _framed(rows)
+
+    return run
+
+
+def chunks(docs: DataFrame, chunker=chunk_text, id_col: str = "source_id", text_col: str = "text") -> DataFrame:
+    """chunk_id, source_id, chunk_index and text for each chunk of each document. Texts are taken from a batch one by one and chunks given on from ``OUT_CHARS`` characters."""
 
-    return docs.select(F.col(id_col).cast("string").alias("source_id"), F.col(text_col).alias("text")).mapInPandas(run, "chunk_id string, source_id string, chunk_index int, text string")
+    return docs.select(F.col(id_col).cast("string").alias("source_id"), F.col(text_col).alias("text")).mapInArrow(_chunked(chunker), "chunk_id string, source_id string, chunk_index int, text string")
 
 
 def estimate(text: str | None) -> int:

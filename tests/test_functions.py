@@ -326,3 +326,17 @@ def test_times_in_columns(spark):
     got = rows.select(times.relative_times(F.col("said"), now).alias("t"), times.question_windows(F.col("said"), now.date()).alias("w")).collect()
     assert [r.t for r in got] == [datetime.datetime(2031, 5, 13, 15, 30), None, None, datetime.datetime(2031, 5, 13, 15, 30)]
     assert all(r.w["first"] is None for r in got)
+
+
+def test_chunks_are_given_on_in_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    from kgloom.functions import chunking
+
+    monkeypatch.setattr(chunking, "OUT_CHARS", 2000)
+    texts = [None, "", *(f"Word {k} stands here. " * (5 * k) for k in range(60))]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(len(texts))]), pa.array(texts)], names=["source_id", "text"])
+    out = list(chunking._chunked(chunking.chunk_text)(iter([batch])))
+    assert len(out) > 10
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert got == [(f"{i}:chunk:{k}", str(i), k, c) for i, t in enumerate(texts) for k, c in enumerate(chunking.chunk_text(t))]
