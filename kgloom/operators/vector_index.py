@@ -29,6 +29,8 @@ from ..tables import remove, shared_folder
 from . import neighbours as N
 
 SAMPLE, TURNS, WIDER, BLOCK, FILE_ROWS, SEED = 50_000, 12, 4, 1000, 100_000, 42
+#: Hits that a task holds before it gives them on.
+OUT_ROWS = 20_000
 #: Centroids are broadcast: 64 MB at most.
 CENTROID_BYTES = 64 << 20
 ROWS = "list int, id long, code binary, scale double, vector array<double>"
@@ -120,22 +122,32 @@ class VectorIndex:
 
 
 def _scan(held, k: int, of, with_list: bool = False):
-    """Of each batch the k nearest to each query that asks for its lists."""
+    """Of each batch the k nearest to each query that asks for its lists, given on in frames of about ``OUT_ROWS``: what a task holds doesn't grow with queries and lists."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix, asks, centroids = held.value
         for batch in batches:
-            out = []
             for number, rows in batch.groupby("list", sort=False):
+                found, held_rows = [], 0
                 hits, vectors = rows["id"].to_numpy(), of(rows, centroids[number])
                 for q in asks[number]:
                     d = N.distances(matrix[q], vectors)
                     first = np.argpartition(d, k)[: k + 1] if len(d) > k + 1 else np.arange(len(d))
                     first = np.flatnonzero(d <= d[first].max())  # with all that tie
-                    order = [m for m in first[np.lexsort((hits[first], d[first]))][: k + 1] if hits[m] != ids[q]][:k]
-                    out += [(int(ids[q]), int(hits[m]), float(d[m]), int(number)) for m in order]
-            frame = pd.DataFrame(out, columns=["id", "hit", "distance", "list"])
-            yield frame if with_list else frame.drop(columns="list")
+                    order = first[np.lexsort((hits[first], d[first]))][: k + 1]
+                    order = order[hits[order] != ids[q]][:k]
+                    found.append((np.full(len(order), ids[q]), hits[order], d[order]))
+                    held_rows += len(order)
+                    if held_rows >= OUT_ROWS:
+                        yield framed(found, number)
+                        found, held_rows = [], 0
+                if found:
+                    yield framed(found, number)
+
+    def framed(found: list, number: int) -> pd.DataFrame:
+        own, hits, d = (np.concatenate(x) for x in zip(*found))
+        frame = pd.DataFrame({"id": own, "hit": hits, "distance": d})
+        return frame.assign(list=np.int32(number)) if with_list else frame
 
     return run
 

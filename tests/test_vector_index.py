@@ -96,3 +96,25 @@ def test_probes_are_measured(spark):
     assert 8 < probes < index.lists
     assert np.mean([len(set(want[q]) & set(got[q])) / 10 for q in want]) >= 0.9
     index.drop()
+
+
+def test_a_scan_gives_its_hits_on_in_small_frames(monkeypatch):
+    import types
+
+    import pandas as pd
+
+    monkeypatch.setattr(V, "OUT_ROWS", 50)
+    rng = np.random.default_rng(2)
+    matrix, vectors = rng.normal(size=(30, 4)), rng.normal(size=(40, 4))
+    held = types.SimpleNamespace(value=(np.arange(30), matrix, {n: list(range(30)) for n in range(4)}, np.zeros((4, 4))))
+    batch = pd.DataFrame({"list": np.repeat(np.arange(4), 10), "id": np.arange(40), "vector": list(vectors)})
+    frames = list(V._scan(held, 5, lambda rows, c: np.stack(rows["vector"].to_numpy()), True)(iter([batch])))
+    assert max(map(len, frames)) < 50 + 5 and len(frames) > 8
+    got = {(r.id, r.list): [] for f in frames for r in f.itertuples()}
+    for f in frames:
+        for r in f.itertuples():
+            got[r.id, r.list].append(r.hit)
+    for q in range(30):
+        for n in range(4):
+            d = [(float(np.sqrt(((matrix[q] - vectors[m]) ** 2).sum())), m) for m in range(n * 10, n * 10 + 10) if m != q]
+            assert got[q, n] == [m for _, m in sorted(d)[:5]]
