@@ -130,14 +130,18 @@ def apply_batch(store: BucketStore, events: DataFrame, label: str = "File", embe
     changes nothing but its files; an empty one writes nothing.
     """
     with staged(store.spark) as put:
-        last = put(writers.latest(events.where("source_id IS NOT NULL"), ["source_id"], F.desc("enqueued_at")).withColumn("content_hash", T.content_hash(F.col("text"))), "batch")
-        here = store.touched(last, "source_id")
+        named = events.where("source_id IS NOT NULL")
+        here = store.touched(named, "source_id")
         if not here:
             return
-        deleted, live = last.where("operation = 'deleted'"), last.where("operation <> 'deleted'")
         nodes = store.read("nodes", here)
         known = nodes.select("source_id", F.col("content_hash").alias("_old"))
-        changed = put(live.join(known, "source_id", "left").where(~F.col("content_hash").eqNullSafe(F.col("_old"))).drop("_old"), "changed")
+        # the last event of a document and what is known of it meet in one shuffle; only texts that are read again are stored
+        read = named.withColumn("text", F.when(F.coalesce(F.col("operation"), F.lit("")) != "deleted", F.col("text")))
+        last = writers.latest(read, ["source_id"], F.desc("enqueued_at")).withColumn("content_hash", T.content_hash(F.col("text"))).join(known, "source_id", "left")
+        new = F.coalesce((F.col("operation") != "deleted") & ~F.col("content_hash").eqNullSafe(F.col("_old")), F.lit(False))
+        last = put(last.withColumn("new", new).withColumn("text", F.when(F.col("new"), F.col("text"))).drop("_old"), "batch")
+        deleted, live, changed = last.where("operation = 'deleted'"), last.where("operation <> 'deleted'"), last.where("new").drop("new")
         gone = deleted.select("source_id").unionByName(changed.select("source_id"))
         content = store.touched(gone, "source_id")
         targets = deleted.select(F.col("source_id").alias("dst_id"))

@@ -131,3 +131,33 @@ def test_labels_equal_a_full_run_after_adds_splits_and_blocks(spark, tmp_path):
     assert {(r.id, r.component) for r in kept.store.read("members").collect()} == set(brute(ids, pairs).items())
     kept.add(spark.createDataFrame([], PAIR))
     assert kept.table().count() == len(ids)
+
+
+def test_a_batch_stores_only_texts_that_are_read_again(spark, tmp_path, monkeypatch):
+    import contextlib
+
+    from kgloom.streaming import buckets
+
+    stored, kept = [], buckets.staged
+
+    @contextlib.contextmanager
+    def watched(session):
+        with kept(session) as put:
+
+            def seen(df, label="step"):
+                table = put(df, label)
+                if "text" in table.columns:
+                    stored.append((label, sorted((r.source_id, r.text) for r in table.select("source_id", "text").where("text IS NOT NULL").collect())))
+                return table
+
+            yield seen
+
+    monkeypatch.setattr(buckets, "staged", watched)
+    store = buckets.graph_store(spark, str(tmp_path / "store"), 4)
+    frame = lambda rows: spark.createDataFrame(rows, "source_id string, source_type string, operation string, text string, enqueued_at string").selectExpr("source_id", "source_type", "operation", "text", "cast(enqueued_at AS timestamp) AS enqueued_at")
+    buckets.apply_batch(store, frame([(k, "files", "created", f"text {k}", "2026-01-01") for k in "abc"]))
+    stored.clear()
+    buckets.apply_batch(store, frame([("a", "files", "modified", "text a", "2026-01-02"), ("b", "files", "modified", "other", "2026-01-02"), ("c", "files", "deleted", "text c", "2026-01-02")]))
+    assert stored == [("batch", [("b", "other")]), ("chunks", [("b", "other")])]
+    assert sorted((r.source_id, str(r.indexed_at)[:10]) for r in store.read("nodes").collect()) == [("a", "2026-01-02"), ("b", "2026-01-02")]
+    assert [(r.source_id, r.text) for r in store.read("chunks").orderBy("source_id").collect()] == [("a", "text a"), ("b", "other")]
