@@ -549,7 +549,7 @@ def task_edges(spark, sf_dir):
 
 
 def _unit_vectors(spark, sf_dir):
-    return neighbours.unit(neighbours.clean(D.vectors(spark, sf_dir), "vec_id"))
+    return neighbours.packed(neighbours.clean(D.vectors(spark, sf_dir), "vec_id"), cosine=True)
 
 
 @query()

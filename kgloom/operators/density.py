@@ -75,7 +75,8 @@ def _forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def spanning_forest(edges: DataFrame, put, parts: int) -> DataFrame:
     """Forests of ever fewer tasks, down to one."""
     while True:
-        edges = put(edges.repartition(parts, F.xxhash64("a", "b")).mapInPandas(_forests, FOREST), "forest")
+        dealt = edges.repartition(parts, F.xxhash64("a", "b")) if parts > 1 else edges.coalesce(1)
+        edges = put(dealt.mapInPandas(_forests, FOREST), "forest")
         if parts == 1:
             return edges
         parts = max(1, parts // FANIN)
@@ -92,7 +93,7 @@ def _components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _links(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """Of a leaf: each vector's edge of least mutual reachability into another component."""
-    ids, parts, cores, matrix = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["core"].to_numpy(), np.stack(rows["vector"].to_numpy())
+    ids, parts, cores, matrix = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["core"].to_numpy(), N.matrix_of(rows["vector"])
     out = []
     for n, own in enumerate(ids):
         other = np.flatnonzero(parts != parts[n])
@@ -148,7 +149,7 @@ def _dense_forest(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("id")
         ids = rows["id"].to_numpy()
-        found = dense_tree(np.stack(rows["vector"].to_numpy()), least)
+        found = dense_tree(N.matrix_of(rows["vector"]), least)
         yield pd.DataFrame([(int(ids[a]), int(ids[b]), w) for w, a, b in found], columns=["a", "b", "w"])
 
     return run
@@ -233,7 +234,7 @@ def density_clusters(vectors: DataFrame, least: int = LEAST, k: int = N.POOL, co
     spark = vectors.sparkSession
     rows = N.clean(vectors)
     with staged(spark) as put:
-        held = put(N.unit(rows) if cosine else rows, "held")
+        held = put(N.packed(rows, cosine), "held")
         n = held.count()
         if n < max(2, corpus):
             return spark.createDataFrame([], "id long, cluster long")

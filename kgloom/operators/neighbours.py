@@ -5,6 +5,9 @@ leaves of ``LEAF`` rows, however many vectors are equal, and only the rows of a
 each other; the best ``POOL`` of a vector are kept until the last round, and only what can come among these leaves a task. The work for a row is that of its leaves and rounds and doesn't depend on the table's size. The exact graph holds blocks of the table against all of it and is meant for small
 tables, tests and measures of recall.
 
+In a round the vectors whose neighbours are compared are dealt into blocks, and a vector goes once to a block, with all those there that it is a neighbour of, not once to each of them. There are as many blocks as cores, and more
+where a block's vectors would take over ``BLOCK_BYTES``; a vector is never sent more often than it has neighbours. Two that a vector had as neighbours a round before have met and are not compared again. Vectors travel packed: as floats where these are their numbers.
+
 Distances are Euclidean; vectors of length 1 are thus compared by cosine. Rows without an id, a vector or a number in it, or with another width than the first row by id have no neighbours; of repeated ids the vector
 that is first by value counts; ties go to the lesser id; extra columns are not read.
 """
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from ..tables import staged, written
 
 TREES, LEAF, POOL, ROUNDS, DEPTH, SEED = 6, 128, 48, 3, 24, 42
+#: Vectors of one block of a round, at most.
+BLOCK_BYTES = 1 << 29
 EDGES = "id long, hit long, distance double"
 
 
@@ -39,6 +44,46 @@ def unit(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("_n", norm).withColumn("vector", F.when(F.col("_n") > 0, F.transform("vector", lambda x: x / F.col("_n"))).otherwise(F.col("vector"))).drop("_n")
 
 
+def packed(rows: DataFrame, cosine: bool = False) -> DataFrame:
+    """(id, vector) with a vector as bytes: what its numbers are divided by (below zero if the numbers are doubles), then the numbers, as floats if these are the same. ``cosine``: as ``unit`` makes them."""
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)) if cosine else F.lit(0.0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for vector, by in zip(batch["vector"], batch["by"]):
+                with np.errstate(over="ignore"):
+                    short = vector.astype(np.float32)
+                same = bool((short == vector).all())
+                by = by if by > 0 else 1.0
+                out.append(np.float64(by if same else -by).tobytes() + (short if same else vector).tobytes())
+            yield pd.DataFrame({"id": batch["id"], "vector": out})
+
+    return rows.select("id", "vector", norm.alias("by")).mapInPandas(run, "id long, vector binary")
+
+
+def opened(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Packed vectors as a matrix of their numbers and a column that these are to be divided by."""
+    sizes = vectors.str.len().to_numpy()
+    parts, places = [], []
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        raw = np.frombuffer(b"".join(vectors.iloc[at]), np.uint8).reshape(len(at), size)
+        by = raw[:, :8].copy().view(np.float64)
+        parts.append((raw[:, 8:].copy().view(np.float32 if by[0, 0] > 0 else np.float64), np.abs(by)))
+        places.append(at)
+    back = np.argsort(np.concatenate(places))
+    return tuple(np.concatenate(x)[back] for x in zip(*parts))
+
+
+def matrix_of(vectors: pd.Series) -> np.ndarray:
+    """Vectors, packed or as arrays, as the rows of a matrix."""
+    if isinstance(vectors.iloc[0], bytes):
+        numbers, by = opened(vectors)
+        return numbers / by
+    return np.stack(vectors.to_numpy())
+
+
 def distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Of a vector to others, the same for a pair in any company."""
     return np.sqrt(((many - one) ** 2).sum(axis=1))
@@ -77,13 +122,15 @@ def within(ids: np.ndarray, matrix: np.ndarray, k: int) -> pd.DataFrame:
     return _frame(ids[one[keep]], ids[other[keep]], d[keep])
 
 
-def closer(ids: np.ndarray, matrix: np.ndarray, reach: np.ndarray) -> pd.DataFrame:
-    """Of each row the others that are no farther than its ``reach``."""
-    if len(ids) < 2:
+def closer(ids: np.ndarray, matrix: np.ndarray, reach: np.ndarray, new: np.ndarray | None = None) -> pd.DataFrame:
+    """Of each row the others that are no farther than its ``reach``; with ``new``, pairs of which one row at least is new."""
+    if len(ids) < 2 or new is not None and not new.any():
         return _frame([], [], [])
     rough, slack = _rough(matrix)
     with np.errstate(over="ignore"):
         wanted = rough <= np.minimum((reach**2)[:, None] * (1 + 1e-9) + 2 * slack, np.finfo(float).max)
+    if new is not None:
+        wanted &= new[:, None] | new[None, :]
     one, other, d = _worked_out(ids, matrix, wanted)
     keep = d <= reach[one]
     return _frame(ids[one[keep]], ids[other[keep]], d[keep])
@@ -105,22 +152,32 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
 
 
 def orders(vectors: DataFrame, trees: int = TREES, seed: int = SEED) -> DataFrame:
-    """Every vector once for each tree, with its place in that tree's order: tree, signs and value."""
-    centre = vectors.select(F.posexplode("vector").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("x")).orderBy("pos")
-    mean = np.array([r["x"] for r in centre.collect()])  # one vector
+    """Every vector, packed or not, once for each tree, with its place in that tree's order: tree, signs and value."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total = 0, 0.0
+        for batch in batches:
+            if len(batch):
+                n, total = n + len(batch), total + matrix_of(batch["vector"]).sum(axis=0)
+        if n:
+            yield pd.DataFrame({"n": [n], "total": [total]})
+
+    found = vectors.select("vector").mapInPandas(sums, "n long, total array<double>").collect()  # one vector a task
+    mean = np.sum([r["total"] for r in found], axis=0) / max(1, sum(r["n"] for r in found))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = np.random.default_rng(seed).normal(size=(trees, DEPTH + 1, len(mean)))
+        planes = np.random.default_rng(seed).normal(size=(trees, DEPTH + 1, mean.size))
         for batch in batches:
             if not len(batch):
                 continue
-            centred = np.stack(batch["vector"].to_numpy()) - mean
+            centred = matrix_of(batch["vector"]) - mean
             for tree in range(trees):
                 seen = centred @ planes[tree].T
                 signs = (seen[:, :-1] > 0) @ (1 << np.arange(DEPTH - 1, -1, -1))
                 yield batch.assign(tree=tree, signs=signs, value=seen[:, -1])
 
-    return vectors.mapInPandas(run, "id long, vector array<double>, tree int, signs long, value double")
+    kind = vectors.schema["vector"].dataType.simpleString()
+    return vectors.select("id", "vector").mapInPandas(run, f"id long, vector {kind}, tree int, signs long, value double")
 
 
 def leaves(ordered: DataFrame, compare, schema: str, leaf: int = LEAF, extra: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
@@ -148,47 +205,66 @@ def leaves(ordered: DataFrame, compare, schema: str, leaf: int = LEAF, extra: tu
 
 
 def knn_graph(vectors: DataFrame, k: int = 15, trees: int = TREES, leaf: int = LEAF, pool: int = POOL, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """(id, hit, distance): about the k nearest of every vector. ``vectors`` as from ``clean``. Stored until the session ends."""
+    """(id, hit, distance): about the k nearest of every vector. ``vectors`` as from ``clean`` or ``packed``. Stored until the session ends."""
     spark, pool = vectors.sparkSession, max(k, pool)
     with staged(spark) as put:
-        held = put(vectors.select("id", "vector"), "vectors")
+        held = put(vectors.select("id", "vector") if dict(vectors.dtypes)["vector"] == "binary" else packed(vectors), "vectors")
+        size = held.agg(F.sum(F.length("vector")).alias("n")).first()["n"] or 0
+        blocks = max(1, spark.sparkContext.defaultParallelism, -(-size * pool // BLOCK_BYTES))
 
         def compare(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            yield within(rows["id"].to_numpy(), np.stack(rows["vector"].to_numpy()), pool)
+            yield within(rows["id"].to_numpy(), matrix_of(rows["vector"]), pool)
 
         graph = put(_best(leaves(orders(held, trees, seed), compare, EDGES, max(leaf, k + 1)), pool), "graph")
-        for _ in range(rounds):
+        links = None
+        for turn in range(rounds):
             back = nearest(graph, pool, "hit", "id").select(F.col("hit").alias("id"), F.col("id").alias("hit"))
             # what is farther from a vector than the last of its full list can't come into it
             reach = graph.groupBy("id").agg(F.when(F.count("*") >= pool, F.max("distance")).otherwise(float("inf")).alias("reach"))
             placed = held.join(reach, "id", "left").select(F.col("id").alias("hit"), "vector", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
-            seen = graph.select("id", "hit").unionByName(back).distinct().join(placed, "hit")
-            graph = put(_best(graph.unionByName(_met(seen)), pool), "graph")
-        return written(nearest(graph, k), "knn")
+            links = _links(graph.select("id", "hit").unionByName(back), links)
+            links = put(links, "links") if turn < rounds - 1 else links
+            graph = put(_best(graph.unionByName(_met(links, placed, blocks)), pool), "graph")
+        return written(graph if k == pool else nearest(graph, k), "knn")
+
+
+def _links(seen: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(id, hit, new), each pair once: new if it is not one of ``before``."""
+    marked = seen.withColumn("now", F.lit(True))
+    if before is not None:
+        marked = marked.unionByName(before.select("id", "hit", F.lit(False).alias("now")))
+    once = marked.repartition("hit").groupBy("id", "hit").agg(F.max("now").alias("now"), F.min("now").alias("new"))
+    return once.where("now").select("id", "hit", "new")
 
 
-def _met(seen: DataFrame) -> DataFrame:
-    """What the neighbours of each vector are to each other, as far as it is in reach."""
+def _met(links: DataFrame, placed: DataFrame, blocks: int) -> DataFrame:
+    """What the neighbours of each vector are to each other, as far as it is in reach and one of them is new."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = held["id"].iloc[-1] if len(held) else None
-            whole = held[held["id"] != last]
-            yield from each(whole)
-            held = held[held["id"] == last]
-        if held is not None:
-            yield from each(held)
-
-    def each(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if not len(rows):
+        rows = [(b["hit"].to_numpy(), b["reach"].to_numpy(), *opened(b["vector"]), b["new"].str.len().to_numpy(), b["old"].str.len().to_numpy(), np.concatenate(b["new"].to_numpy()), np.concatenate(b["old"].to_numpy())) for b in batches if len(b)]
+        if not rows:
             return
-        hits, vectors, reach = rows["hit"].to_numpy(), rows["vector"].to_numpy(), rows["reach"].to_numpy()
-        ends = [*(np.flatnonzero(np.diff(rows["id"].to_numpy())) + 1).tolist(), len(rows)]
-        yield pd.concat([closer(hits[a:z], np.stack(vectors[a:z]), reach[a:z]) for a, z in zip([0, *ends], ends)])
+        hits, reach, numbers, by, n_new, n_old, new, old = (np.concatenate(x) for x in zip(*rows))
+        del rows
+        every = np.arange(len(hits))
+        ids, at, fresh = np.concatenate([new, old]), np.concatenate([np.repeat(every, n_new), np.repeat(every, n_old)]), np.arange(len(new) + len(old)) < len(new)
+        order = np.argsort(ids, kind="stable")
+        ids, at, fresh = ids[order], at[order], fresh[order]
+        ends = [*(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        out = []
+        for a, z in zip([0, *ends], ends):
+            own = at[a:z]
+            out.append(closer(hits[own], numbers[own] / by[own], reach[own], fresh[a:z]))
+            if len(out) == 200:
+                yield pd.concat(out)
+                out = []
+        if out:
+            yield pd.concat(out)
 
-    return seen.repartition("id").sortWithinPartitions("id", "hit").mapInPandas(run, EDGES)
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    ids = lambda wanted: F.collect_list(F.when(wanted, F.col("id")))
+    dealt = links.repartition("hit").groupBy("hit", block).agg(ids(F.col("new")).alias("new"), ids(~F.col("new")).alias("old"))
+    return dealt.join(placed, "hit").repartitionById(blocks, "block").select("hit", "vector", "reach", "new", "old").mapInPandas(run, EDGES)
 
 
 #: Vectors that are held against all others at once by the exact graph: 32 MB at 4,096 dimensions.
@@ -204,13 +280,13 @@ def exact_graph(vectors: DataFrame, k: int = 15) -> DataFrame:
         some = vectors.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas()  # about BLOCK vectors
         if not len(some):
             continue
-        ids, matrix = spark.sparkContext.broadcast(some["id"].to_numpy()), spark.sparkContext.broadcast(np.stack(some["vector"].to_numpy()))
+        ids, matrix = spark.sparkContext.broadcast(some["id"].to_numpy()), spark.sparkContext.broadcast(matrix_of(some["vector"]))
 
         def run(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = []
-                for own, vector in zip(batch["id"], batch["vector"]):
-                    d = distances(np.asarray(vector), matrix.value)
+                for own, vector in zip(batch["id"], matrix_of(batch["vector"]) if len(batch) else ()):
+                    d = distances(vector, matrix.value)
                     order = [m for m in np.lexsort((ids.value, d))[: k + 1] if ids.value[m] != own][:k]
                     out += [(own, int(ids.value[m]), float(d[m])) for m in order]
                 yield pd.DataFrame(out, columns=["id", "hit", "distance"])

@@ -205,3 +205,57 @@ def test_equal_vectors_share_leaves_of_bounded_size(spark):
 
     sizes = [r.hit for r in N.leaves(N.orders(rows, trees=2), count, N.EDGES, 100).collect()]
     assert sum(sizes) == 1400 and max(sizes) == 100
+
+
+def test_packed_vectors_are_the_same_numbers(spark):
+    rng = np.random.default_rng(2)
+    floats = rng.normal(size=(40, 7)).astype(np.float32).astype(float)
+    mixed = np.vstack([floats[:20], rng.normal(size=(20, 7)), np.zeros((1, 7)), np.full((1, 7), 1e200), np.full((1, 7), -0.0)])
+    for points in (floats, mixed):
+        rows = N.clean(table(spark, points)).coalesce(1)
+        for cosine, plain in ((False, rows), (True, N.unit(rows))):
+            got = N.packed(rows, cosine).toPandas().sort_values("id")
+            want = np.stack([r.vector for r in plain.orderBy("id").collect()])
+            assert np.array_equal(N.matrix_of(got["vector"]), want)
+    assert set(N.packed(N.clean(table(spark, floats)), True).toPandas()["vector"].map(len)) == {8 + 4 * 7}
+
+
+def test_neighbours_meet_in_blocks_unless_they_have_met(spark):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(60, 4))
+    links = {(int(a), int(b)): bool(rng.random() < 0.3) for a in range(60) for b in rng.choice(60, 9, replace=False) if a != b}
+    reach = rng.uniform(0.5, 3, 60)
+    placed = N.packed(table(spark, points)).join(spark.createDataFrame([(k, float(x)) for k, x in enumerate(reach)], "id long, reach double"), "id").withColumnRenamed("id", "hit")
+    seen = spark.createDataFrame([(a, b, new) for (a, b), new in links.items()], "id long, hit long, new boolean")
+    want = set()
+    for a, one in links:
+        for b, other in links:
+            if a == b and one != other and (links[a, one] or links[b, other]):
+                d = float(N.distances(points[one], points[[other]])[0])
+                want |= {(one, other, d)} if d <= reach[one] else set()
+    for blocks in (1, 7):
+        assert {tuple(r) for r in N._met(seen, placed, blocks).collect()} == want
+    before = spark.createDataFrame([(1, 2, True), (3, 4, False)], "id long, hit long, new boolean")
+    now = spark.createDataFrame([(1, 2), (1, 2), (5, 6)], "id long, hit long")
+    assert {tuple(r) for r in N._links(now, before).collect()} == {(1, 2, False), (5, 6, True)}
+
+
+def test_a_round_does_not_send_a_vector_to_each_neighbour(spark):
+    def shuffled():
+        jvm, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+        jvm.listenerBus().waitUntilEmpty(60_000)
+        stages = jvm.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(stages.apply(k).stageId(), stages.apply(k).attemptId()): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    points = np.random.default_rng(4).normal(size=(3000, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(points)], "id long, vector array<float>")
+    before = shuffled()
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 48)
+    try:
+        found = density.density_clusters(rows, dense=0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert found.count() == 3000
+    # 48 vectors of 512 bytes in three rounds alone are 74 kB a vector
+    assert sum(v for k, v in shuffled().items() if k not in before) < 45_000 * 3000
