@@ -259,3 +259,13 @@ def test_a_round_does_not_send_a_vector_to_each_neighbour(spark):
     assert found.count() == 3000
     # 48 vectors of 512 bytes in three rounds alone are 74 kB a vector
     assert sum(v for k, v in shuffled().items() if k not in before) < 45_000 * 3000
+
+
+def test_no_size_has_another_result(spark):
+    """5,100 vectors by default; with ``most`` and ``dense`` as if there were too many: always the definition's clusters, of all vectors."""
+    points = blobs(5100, seed=13)
+    want = density.condensed(density.dense_tree(points, 10), len(points), 10)
+    assert len(set(want.tolist())) > 4 and (want == -1).sum() > 50
+    for given in ({}, {"most": 1000, "dense": 0}):
+        found = labels_of(density.density_clusters(table(spark, points), cosine=False, **given), len(points))
+        assert same_partition(found, want)
